@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hammerline.llm import packing, simhash, tokenstore
+from hammerline.llm import decontaminate, packing, simhash, substring, tokenstore
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,17 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.sha2(F.col("repeats.kept"), 256).alias("kept_sha256")
+    return found.select("doc_id", "repeats.n_words", "repeats.n_removed", kept)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.report(decontaminate.find_windows(docs, _table(spark, sf_dir, "benchmark")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -30,6 +41,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_store": op3_token_store,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op7_decontamination": op7_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
