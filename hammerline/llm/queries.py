@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hammerline.llm import decontaminate, packing, simhash, substring, tokenstore
+from hammerline.llm import decontaminate, packing, pagetext, quality, simhash, substring, tokenstore, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,56 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "repeats.n_words", "repeats.n_removed", kept)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    measured = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select("doc_id", *[f"quality.{c}" for c in measured])
+
+
+#: Rules of the query (fixed values).
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+#: Site names whose pages make up the block list of the query (fixed values).
+LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.filter(F.col("url").rlike(f"://([^/?#]*[.])?({'|'.join(LISTED_SITES)})[.]")).select("url")
+    return urls.judge_urls(pages, URL_RULES, listed)
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+k AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www[.]', '') || regexp_replace(path, '/+$', '') END AS key FROM p),
+rules(verdict, h, s) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
+    ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+fit AS (SELECT page_id, h || s AS rule, verdict FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s)
+    QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || s) DESC, length(h) DESC) = 1),
+listed AS (SELECT DISTINCT key FROM k WHERE key IS NOT NULL
+    AND regexp_matches(url, '://([^/?#]*[.])?(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)[.]'))
+SELECT k.page_id, k.host, k.path, fit.rule,
+    coalesce(fit.verdict, CASE WHEN listed.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM k LEFT JOIN fit USING (page_id) LEFT JOIN listed USING (key)"""
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.report(decontaminate.find_windows(docs, _table(spark, sf_dir, "benchmark")))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pagetext.extract(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -42,8 +87,14 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_token_store": op3_token_store,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_url_filters": op8_url_filters,
     "op7_decontamination": op7_decontamination,
+    "op9_html_main_text": op9_html_main_text,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": quality.oracle_sql(),
+    "op8_url_filters": OP8_SQL,
+}
