@@ -121,7 +121,9 @@ def measures(docs: DataFrame, text_col: str = "text", repeat_words: int = 5) ->
         F.col("__failed").alias("base_failed"),
         F.col("__chars").alias("char_divergence"),
         F.col("__by_words").alias("word_divergence"),
-        (~F.col("__failed") & close).alias("kept"),
+        # Not deterministic, so that a filter on the verdict stays above this step: below, it would hold
+        # all expressions of the steps at once, again and again inside their lambdas.
+        (~F.col("__failed") & close & (F.spark_partition_id() >= 0)).alias("kept"),
     )
     return step.select("__row.*", result.alias("quality"))
 

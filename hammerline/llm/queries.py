@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hammerline.llm import decontaminate, packing, pagetext, quality, simhash, substring, tokenstore, urls
+from hammerline.llm import decontaminate, lmscore, packing, pagetext, quality, simhash, substring, tokenstore, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    learned, weights = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, learned, weights)
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     folder = tokenstore.write_tokens(docs)
@@ -23,6 +29,11 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lmscore.score(_table(spark, sf_dir, "documents"), good)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     kept = F.sha2(F.col("repeats.kept"), 256).alias("kept_sha256")
@@ -85,7 +96,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_token_store": op3_token_store,
+    "op4_lm_score": op4_lm_score,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_url_filters": op8_url_filters,

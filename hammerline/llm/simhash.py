@@ -106,3 +106,13 @@ def near_duplicates(
         "component_id",
         "n_links",
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2) -> DataFrame:
+    """docs with one document of each component of near-duplicates: the one with the smallest id, once.
+    Rows with a null id stay, one of each different text."""
+    named = docs.filter(F.col(id_col).isNotNull())
+    found = near_duplicates(named, id_col, text_col, shingle_words, radius)
+    least = found.select(F.col("component_id").alias(id_col)).distinct()
+    kept = named.join(least, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()).dropDuplicates([text_col]))

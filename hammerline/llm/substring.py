@@ -15,6 +15,7 @@ one hash of each source, and no pair of documents is ever listed.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from hammerline.llm.common import new_folder, open_fs, stored
 _K = 0x9E3779B97F4A7C15
 _K_INVERSE = pow(_K, -1, 1 << 64)
 
+_WORD = re.compile(rb"[^ \t-\r]+")
+
 SOURCE_BYTES = 8_000_000
 SLICE_WORDS = 2_000_000
 PACKED = "slice int, src long, packed binary"
@@ -357,3 +360,35 @@ def _cut(text: str | None, starts: np.ndarray, window: int) -> dict:
         at = span["end"]
     kept += words[at:]
     return {"n_words": len(words), "n_removed": len(words) - len(kept), "kept": b" ".join(kept).decode("utf-8", "surrogatepass"), "spans": spans}
+
+
+def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the words of the spans and the white space between them."""
+    raw = text.encode("utf-8", "surrogatepass")
+    places = [(m.start(), m.end()) for m in _WORD.finditer(raw)]
+    out, last = [], 0
+    for a, b in spans:
+        out.append(raw[last : places[a][0]])
+        last = places[b - 1][1]
+    return b"".join([*out, raw[last:]]).decode("utf-8", "surrogatepass")
+
+
+def without_repeats(found: DataFrame, text_col: str = "text") -> DataFrame:
+    """Documents of remove_repeats without the removed words, all else as it was; those of which no word
+    is left go, those that had none stay."""
+    at, kept = found.columns.index(text_col), found.drop("repeats")
+    names, schema = kept.columns, kept.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column(at), batch.column(batch.num_columns - 1)):
+                spans = [(s["start"], s["end"]) for s in spans.as_py()]
+                texts.append(cut_words(text.as_py(), spans) if spans else text.as_py())
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    r = F.col("repeats")
+    left = found.filter((r.n_removed < r.n_words) | (r.n_words == 0)).withColumn("repeats", r.spans)
+    return left.mapInArrow(run, schema)
