@@ -1,4 +1,9 @@
 """All registered queries of the price-analytics side, with their SQL twins."""
 
+from hammerline.plans import market, trade
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (market, trade):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
