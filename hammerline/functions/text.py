@@ -81,8 +81,8 @@ def parse_year(text: Column) -> Column:
 
 
 def parse_denomination(text: Column) -> tuple[Column, Column]:
-    """(value, unit) of the first number with a known unit; fractions as a/b."""
-    pattern = r"([0-9]+/[0-9]+|[0-9]+(?:[.,][0-9]+)?) (" + "|".join(UNITS) + r")\b"
+    """(value, unit) of the first number with a known unit; fractions as a/b, a euro cent is a cent."""
+    pattern = r"([0-9]+/[0-9]+|[0-9]+(?:[.,][0-9]+)?) (?:euros? (?=cents?\b))?(" + "|".join(UNITS) + r")\b"
     t = norm(text)
     number, unit = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
     parts = F.split(number, "/")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hammerline.operators import advice, matching, stats, valuation
+from hammerline.operators import advice, backtest, matching, stats, valuation
 from hammerline.sources import derived as d
 
 AS_OF = d.AS_OF
@@ -305,3 +305,20 @@ add("normalize_grade", lambda s, f: matching.grade(d.comparables(s, f), "grade_r
     f"WITH {PAIRS} SELECT grade_raw, grade_bucket, numeric_grade, grading_company, false AS is_details, count(*) AS n FROM pairs GROUP BY ALL")
 add("grade_distance", lambda s, f: matching.grade(_pairs(s, f), "grade_raw").select("target_id", "seq", matching.bucket_distance(F.col("t_grade_bucket"), F.col("grade_bucket")).alias("distance")), f"WITH {PAIRS} SELECT target_id, seq, bd AS distance FROM dist")
 add("grade_weight", lambda s, f: matching.classify(_pairs(s, f)).select("target_id", "seq", "grade_weight"), f"WITH {PAIRS} SELECT target_id, seq, grade_weight FROM matched")
+
+
+# --- backtests, metal ----------------------------------------------------------------------------------
+
+CASES = f"""{d.COMPARABLES_SQL}, {PRICED}, {ELIGIBLE},
+cases0 AS (SELECT target_id, seq, price, count(price) OVER past AS past_n, quantile_cont(price, 0.5) OVER past AS predicted FROM eligible
+  WINDOW past AS (PARTITION BY target_id ORDER BY auction_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)),
+cases AS (SELECT *, abs(predicted - price) / price AS pct_error, abs(predicted - price) / price <= 0.25 AS within,
+    CASE WHEN past_n >= 10 THEN 'HIGH' WHEN past_n >= 3 THEN 'MEDIUM' WHEN past_n >= 1 THEN 'LOW' ELSE 'NONE' END AS label FROM cases0 WHERE seq % 10 = 0)"""
+add("run_backtest", lambda s, f: r4(backtest.run_backtest(d.comparables(s, f))), f"WITH {CASES} SELECT {cols('target_id seq past_n label within', 'price', 'predicted', 'pct_error')} FROM cases")
+_REPORT = "count(*) AS cases, count(pct_error) AS scored, round(avg(within::INT), 4) AS hit_rate, round(avg(pct_error), 4) AS mean_error, round(-quantile_disc(-pct_error, 0.5), 4) AS median_error"
+add("backtest_report", lambda s, f: r4(backtest.backtest_report(backtest.run_backtest(d.comparables(s, f)))), f"WITH {CASES} SELECT label, {_REPORT} FROM cases GROUP BY label UNION ALL SELECT NULL, {_REPORT} FROM cases")
+add(
+    "metal_value",
+    lambda s, f: r4(d.specs(s, f).select("id", (F.col("weight_g") * F.col("fineness_per_mille") / 1000 * F.when(F.col("primary_metal") == "gold", 2000.0).when(F.col("primary_metal") == "silver", 25.0) / 1.08 / 31.1034768).alias("eur"))),
+    f"WITH {d.SPECS_SQL} SELECT id, round(weight_g * fineness_per_mille / 1000 * CASE primary_metal WHEN 'gold' THEN 2000 WHEN 'silver' THEN 25 END / 1.08 / 31.1034768, 4) AS eur FROM specs",
+)
