@@ -1,9 +1,9 @@
 """All registered queries of the price-analytics side, with their SQL twins."""
 
-from hammerline.plans import market, texts, trade
+from hammerline.plans import listings, market, texts, trade
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (market, trade, texts):
+for _part in (market, trade, texts, listings):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
