@@ -45,7 +45,9 @@ def count(docs: DataFrame, targets: DataFrame, vocabulary: str, id_col: str = "d
     those whose id is in targets (one column). Each task sends a row a slot at most."""
     size = vocabulary_size(vocabulary)
     chosen = targets.select(F.col(targets.columns[0]).alias("id")).filter("id is not null").distinct().withColumn("chosen", F.lit(True))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).join(chosen, "id", "left").select("chosen", "t")
+    # The chosen ids grow with the documents, so they are never broadcast: both sides are dealt by id.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    rows = rows.join(chosen.hint("shuffle_hash"), "id", "left").select("chosen", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, totals = bpe.encoder(vocabulary).encode, np.zeros((2, size + PAIR_BUCKETS), np.int64)
