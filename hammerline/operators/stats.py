@@ -44,11 +44,10 @@ def weighted_quantiles(rows: DataFrame, keys: list[str], value: str, weight: str
 
 def robust_z(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """rows with sample_n, med, mad and z = 0.6745 * (value - med) / mad, 0 where mad is 0."""
-    med = rows.groupBy(*keys).agg(F.median(value).alias("med"), F.count(value).alias("sample_n"))
-    rows = rows.join(med, keys)
-    mad = rows.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
-    z = F.when(F.col("mad") == 0, 0.0).otherwise(0.6745 * (F.col(value) - F.col("med")) / F.col("mad"))
-    return rows.join(mad, keys).withColumn("z", z)
+    group = Window.partitionBy(*keys)  # one shuffle, which the quantiles by the same keys share
+    rows = rows.withColumn("med", F.median(value).over(group)).withColumn("sample_n", F.count(value).over(group))
+    rows = rows.withColumn("mad", F.median(F.abs(F.col(value) - F.col("med"))).over(group))
+    return rows.withColumn("z", F.when(F.col("mad") == 0, 0.0).otherwise(0.6745 * (F.col(value) - F.col("med")) / F.col("mad")))
 
 
 def flag_outliers(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
