@@ -81,9 +81,9 @@ def parse_year(text: Column) -> Column:
 
 
 def parse_denomination(text: Column) -> tuple[Column, Column]:
-    """(value, unit) of the first number with a known unit; fractions as a/b, a euro cent is a cent."""
+    """(value, unit) of the first number with a known unit; fractions as a/b, decimal commas as points, a euro cent is a cent."""
     pattern = r"([0-9]+/[0-9]+|[0-9]+(?:[.,][0-9]+)?) (?:euros? (?=cents?\b))?(" + "|".join(UNITS) + r")\b"
-    t = norm(text)
+    t = norm(F.regexp_replace(F.coalesce(text, F.lit("")), "([0-9]),([0-9])", "$1.$2"))
     number, unit = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
     parts = F.split(number, "/")
     value = F.when(F.size(parts) == 2, F.get(parts, 0).try_cast("double") / F.nullif(F.get(parts, 1).try_cast("double"), F.lit(0.0)))

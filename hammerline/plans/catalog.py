@@ -1,9 +1,9 @@
 """All registered queries of the price-analytics side, with their SQL twins."""
 
-from hammerline.plans import identities, listings, market, texts, trade
+from hammerline.plans import catalogue, identities, listings, market, texts, trade
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (market, trade, texts, listings, identities):
+for _part in (market, trade, texts, listings, identities, catalogue):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

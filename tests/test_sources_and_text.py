@@ -28,7 +28,7 @@ def test_numbers(spark, raw, value):
     assert spark.createDataFrame([(raw,)], "x string").select(t.parse_number(F.col("x")).alias("v")).first().v == value
 
 
-@pytest.mark.parametrize(("raw", "found"), [("1/2 Dollar", (0.5, "dollar")), ("1000 lire", (1000.0, "lira")), ("25 Euro cents", (25.0, "cent")), ("2 Euro", (2.0, "euro")), ("", (None, None))])
+@pytest.mark.parametrize(("raw", "found"), [("1/2 Dollar", (0.5, "dollar")), ("1000 lire", (1000.0, "lira")), ("25 Euro cents", (25.0, "cent")), ("2 Euro", (2.0, "euro")), ("0,5 Euro", (0.5, "euro")), ("", (None, None))])
 def test_denominations(spark, raw, found):
     value, unit = t.parse_denomination(F.col("x"))
     row = spark.createDataFrame([(raw,)], "x string").select(value.alias("v"), unit.alias("u")).first()
