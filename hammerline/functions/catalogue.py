@@ -93,12 +93,15 @@ def without_references(text: Column) -> Column:
 
 def money(text: Column) -> tuple[Column, Column]:
     """(amount, currency) of the first number with a currency's sign or code on either side."""
-    seg = F.regexp_extract(F.coalesce(text, F.lit("")), f"(?i)({MONEY})", 1)
+    found = t.let(F.regexp_extract(F.coalesce(text, F.lit("")), f"(?i)({MONEY})", 1), _money)
+    return found["amount"], found["currency"]
+
+
+def _money(seg: Column) -> Column:
     currency = F.lit(None).cast("string")
     for code, sign in reversed(SIGNS.items()):
         currency = F.when(seg.rlike(f"(?i){sign}"), code).otherwise(currency)
-    amount = t.parse_number(F.regexp_extract(seg, f"({NUMBER})", 1))
-    return F.when(seg != "", amount), F.when(seg != "", currency)
+    return F.struct(t.parse_number(F.nullif(F.regexp_extract(seg, f"({NUMBER})", 1), F.lit(""))).alias("amount"), currency.alias("currency"))
 
 
 @F.pandas_udf(StringType())

@@ -21,6 +21,11 @@ STOP = ["the", "and", "with", "for", "der", "die", "das", "les", "des", "los", "
 UNITS = {"cents": "cent", "cent": "cent", "dollars": "dollar", "dollar": "dollar", "euros": "euro", "euro": "euro", "francs": "franc", "franc": "franc", "lire": "lira", "lira": "lira", "marks": "mark", "mark": "mark", "pence": "penny", "penny": "penny"}
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: long expressions that use a column often would outgrow generated code."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def norm(text: Column) -> Column:
     """Lower case, no accents, quarters and halves as words, only letters, digits, points and slashes."""
     t = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
@@ -65,7 +70,10 @@ def variant_matches(wanted: Column, title: Column) -> Column:
 
 def parse_number(raw: Column) -> Column:
     """Numbers in European and US writing: the last separator is the decimal one; several points are thousands."""
-    t = F.regexp_replace(F.coalesce(raw, F.lit("")), r"[^0-9.,\-]", "")
+    return let(F.regexp_replace(F.coalesce(raw, F.lit("")), r"[^0-9.,\-]", ""), _number)
+
+
+def _number(t: Column) -> Column:
     comma, point = F.length(t) - F.length(F.replace(t, F.lit(","))), F.length(t) - F.length(F.replace(t, F.lit(".")))
     last_comma = F.length(t) - F.instr(F.reverse(t), ",")
     last_point = F.length(t) - F.instr(F.reverse(t), ".")
