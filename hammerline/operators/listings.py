@@ -105,3 +105,32 @@ def listing_cards(pages: DataFrame) -> DataFrame:
     found = found.filter((F.col("item_id") != "") & ~F.col("gone") & (F.col("price") > 0) & (F.col("price") <= 200000))
     found = found.groupBy("page_id", "item_id").agg(F.max_by(F.struct("best.t", "price"), F.struct("best.n", "price")).alias("b"))
     return found.select("page_id", "item_id", F.col("b.t").alias("title"), "b.price")
+
+
+def strict_filter(listings: DataFrame) -> DataFrame:
+    """Adds reasons against a listing as evidence of a specification: what a title doesn't state is one as well."""
+    title = F.coalesce("title", F.lit(""))
+    value, unit = t.parse_denomination(title)
+    agrees = lambda found, wanted: F.coalesce(found == wanted, F.lit(False)) | wanted.isNull()
+    reasons = F.array(
+        F.when(asset_class(title) != "COIN", "NOT_COIN"),
+        F.when(t.product_scope(title) == "SET", "NOT_SINGLE_COIN"),
+        F.when(~(agrees(value, F.col("t_value")) & agrees(unit, F.col("t_unit"))), "DENOMINATION_MISMATCH"),
+        F.when(~agrees(t.parse_year(title), F.col("t_year")), "YEAR_MISMATCH"),
+        F.when(~agrees(country_of(title), F.col("t_country")), "COUNTRY_MISMATCH"),
+    )
+    return listings.withColumn("reasons", F.array_compact(reasons))
+
+
+def title_score(listings: DataFrame, similarity) -> DataFrame:
+    """Adds title_score: likeness of the title and the search's words, and a bonus for each field that agrees."""
+    title = F.coalesce("title", F.lit(""))
+    value, unit = t.parse_denomination(title)
+    wanted = F.concat_ws(" ", "t_country", F.col("t_value").cast("int").cast("string"), "t_unit", "t_year")
+    bonus = lambda ok, points: F.when(F.coalesce(ok, F.lit(False)), points).otherwise(0.0)
+    extra = (
+        bonus(country_of(title) == F.col("t_country"), 0.18) + bonus((value == F.col("t_value")) & (unit == F.col("t_unit")), 0.22)
+        + bonus(t.parse_year(title) == F.col("t_year"), 0.2) + bonus(grade_tier(title) == F.col("t_grade"), 0.08)
+    )
+    score = F.when(F.trim(title) == "", 0.0).otherwise(similarity(t.norm(title), t.norm(wanted)) + extra)
+    return listings.withColumn("title_score", score)
