@@ -32,3 +32,11 @@ def backtest_report(cases: DataFrame) -> DataFrame:
         F.count("*").alias("cases"), F.count("pct_error").alias("scored"), F.avg(F.col("within").cast("double")).alias("hit_rate"), F.avg("pct_error").alias("mean_error"),
         F.expr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -pct_error)").alias("median_error"),
     )
+
+
+def report_lines(report: DataFrame) -> DataFrame:
+    """(label, line): the report as text; a label without scored cases gets no finding."""
+    label = F.coalesce("label", F.lit("ALL"))
+    none = F.format_string("%s: %d cases, none scored, no finding", label, F.col("cases"))
+    line = F.format_string("%s: %d cases, %d scored, %d percent within a quarter", label, F.col("cases"), F.col("scored"), F.round(F.col("hit_rate") * 100).cast("long"))
+    return report.select(label.alias("label"), F.when(F.col("scored") == 0, none).otherwise(line).alias("line"))
