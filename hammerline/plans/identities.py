@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hammerline.operators import identity, specs
+from hammerline.operators import identity, resolver, specs
 from hammerline.plans import texts
+from hammerline.plans.catalogue import K, pick, sql_pick
 from hammerline.plans.market import r4
 from hammerline.plans.trade import AUDIT, FIRSTS, QUEUE, queue
 from hammerline.sources import derived as d
@@ -87,3 +88,36 @@ add(
     lambda s, f: r4(d.specs(s, f).join(d.observations(s, f).groupBy(F.col("item_id").alias("id")).agg(F.min("weight_g").alias("seen_w"), F.min("diameter_mm").alias("seen_d")), "id", "left").select("id", F.coalesce("weight_g", "seen_w").alias("weight_g"), F.coalesce("diameter_mm", "seen_d").alias("diameter_mm"))),
     f"WITH {d.OBSERVATIONS_SQL}, {d.SPECS_SQL}, o AS (SELECT item_id, min(weight_g) AS w, min(diameter_mm) AS dm FROM observations GROUP BY ALL) SELECT id, round(coalesce(weight_g, w) + 1e-7, 4) AS weight_g, round(coalesce(diameter_mm, dm) + 1e-7, 4) AS diameter_mm FROM specs LEFT JOIN o ON item_id = id",
 )
+
+#: A small alias table: kind, alias, country, currency, first and last year, special value (fixed values).
+ALIASES = [
+    ("country", "usa", "US", None, None, None, None), ("country", "united states", "US", None, None, None, None), ("country", "germany", "DE", None, None, None, None),
+    ("country", "switzerland", "CH", None, None, None, None), ("country", "swiss", "CH", None, None, None, None), ("country", "liechtenstein", "LI", None, None, None, None),
+    ("currency", "dollar", "US", "USD", 1793, None, None), ("subunit", "cents", "US", "USD", 1793, None, None), ("special", "quarter", "US", "USD", 1793, None, 0.25),
+    ("currency", "mark", "DE", "DEM", 1948, 2001, None), ("currency", "euro", "DE", "EUR", 2002, None, None), ("subunit", "cents", "DE", "EUR", 2002, None, None),
+    ("currency", "franc", "CH", "CHF", 1850, None, None), ("currency", "swiss franc", "CH", "CHF", 1850, None, None), ("currency", "franc", "LI", "CHF", 1924, None, None),
+]
+#: Texts and what they resolve to: status, country, currency, value, year, confidence (by hand; fixed values).
+RESOLVED = [
+    ("5 mark Germany 1970", "resolved", "DE", "DEM", 5, 1970, 1),
+    ("5 mark Germany 1900", "review", "DE", "DEM", 5, 1900, 0.73),
+    ("quarter dollar 1964 USA", "resolved", "US", "USD", 0.25, 1964, 1),
+    ("5 franc", "review", "CH", "CHF", 5, None, 0.85),
+    ("10 swiss franc Liechtenstein 1930", "resolved", "LI", "CHF", 10, 1930, 1),
+    ("25 cents USA 1964", "resolved", "US", "USD", 0.25, 1964, 1),
+    ("Germany 1970", "review", "DE", "DEM", None, 1970, 0.8),
+    ("nothing here", "unresolved", None, None, None, None, 0),
+    ("5 mark Germany 1970 replica", "review", "DE", "DEM", 5, 1970, 1),
+    ("5 mark Germny 1970", "resolved", "DE", "DEM", 5, 1970, 1),
+    ("KM# 5 2 euro Germany 2005", "resolved", "DE", "EUR", 2, 2005, 1),
+]
+
+
+def _resolved(s, f):
+    kinds = "kind string, alias string, country_code string, currency_code string, valid_from int, valid_to int, special_value double"
+    texts = d.table(s, f, "part").select(K, pick([r[0] for r in RESOLVED]).alias("text"))
+    return resolver.resolve_identity(texts, s.createDataFrame(ALIASES, kinds), K, "text")
+
+
+_SHOWN = (("status", "VARCHAR"), ("country", "VARCHAR"), ("currency", "VARCHAR"), ("value", "DOUBLE"), ("year", "INTEGER"), ("confidence", "DOUBLE"))
+add("resolve_identity", lambda s, f: r4(_resolved(s, f)), f"SELECT {K}, " + ", ".join(f"{sql_pick([r[i + 1] for r in RESOLVED], kind)} AS {n}" for i, (n, kind) in enumerate(_SHOWN)) + " FROM part")
