@@ -184,6 +184,8 @@ add(
 )
 _Z = "WITH {0} SELECT target_id, seq, sample_n, round(med, 4) AS med, round(mad, 4) AS mad, round(z, 4) AS z, outlier_flag FROM flagged"
 add("robust_z", lambda s, f: r4(_sales(s, f).select("target_id", "seq", "sample_n", "med", "mad", "z", "outlier_flag")), _Z.format(SALES))
+# DuckDB keeps the sign of a rounded zero, Spark does not.
+ORACLES["robust_z"] = ORACLES["robust_z"].replace("round(z + 1e-7, 4) AS z", "round(z + 1e-7, 4) + 0.0 AS z")
 add(
     "mad",
     lambda s, f: r4(stats.robust_z(d.dealer_prices(s, f).filter("price > 0"), ["target_id"], "price").groupBy("target_id").agg(F.max("med").alias("med"), F.max("mad").alias("mad"))),
