@@ -90,16 +90,18 @@ def parse_year(text: Column) -> Column:
 
 def parse_denomination(text: Column) -> tuple[Column, Column]:
     """(value, unit) of the first number with a known unit; fractions as a/b, decimal commas as points, a euro cent is a cent."""
+    found = let(norm(F.regexp_replace(F.coalesce(text, F.lit("")), "([0-9]),([0-9])", "$1.$2")), _denomination)
+    return found["value"], found["unit"]
+
+
+def _denomination(t: Column) -> Column:
     pattern = r"([0-9]+/[0-9]+|[0-9]+(?:[.,][0-9]+)?) (?:euros? (?=cents?\b))?(" + "|".join(UNITS) + r")\b"
-    t = norm(F.regexp_replace(F.coalesce(text, F.lit("")), "([0-9]),([0-9])", "$1.$2"))
     number, unit = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
     parts = F.split(number, "/")
     value = F.when(F.size(parts) == 2, F.get(parts, 0).try_cast("double") / F.nullif(F.get(parts, 1).try_cast("double"), F.lit(0.0)))
     value = value.otherwise(F.replace(number, F.lit(","), F.lit(".")).try_cast("double"))
-    canonical = F.lit(None).cast("string")
-    for alias, name in UNITS.items():
-        canonical = F.when(unit == alias, name).otherwise(canonical)
-    return value, canonical
+    canonical = F.element_at(F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair]), unit)
+    return F.struct(value.alias("value"), canonical.alias("unit"))
 
 
 def identity_key(*parts: Column) -> Column:
