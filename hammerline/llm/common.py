@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the cluster names none (tests, one machine) a new temporary folder is set.
+    Only where the cluster names none and the master is local (tests, one machine) a new temporary folder
+    is set; elsewhere executors would not share it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,17 +35,42 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
     """Writes df as Parquet to the shared folder and returns the table read from there.
 
     This cuts lineage, computes df once, and survives lost executors.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as keep it apart from the columns that df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id and text are chosen (id, x: the hash that xxhash64 gives of the text), each
+    once: only rows that are equal in both are repetitions of one another."""
+    own = free_name(docs, "__x")
+    keys = chosen.select(F.col("id").alias(f"{own}id"), F.col("x").alias(own)).distinct()
+    marked = docs.withColumn(own, F.xxhash64(F.col(text_col).cast("string"))).withColumn(f"{own}id", F.col(id_col).cast("long"))
+    return marked.join(keys, [f"{own}id", own], "left_semi").dropDuplicates([f"{own}id", own]).select(docs.columns)
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes the folder of a table that stored() returned and that no later step reads."""
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        where, path = open_fs(folder)
+        if where.get_file_info(path).type == fs.FileType.Directory:
+            where.delete_dir(path)
+
+
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and path of a folder that all executors share (file, hdfs, s3, gs)."""
     if "://" not in uri and not uri.startswith("file:"):
@@ -58,16 +91,16 @@ def write_file(uri: str, parts: list[bytes]) -> None:
     where.move(draft, path)
 
 
-def batches_of(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts hold about `limit` bytes at most (one row at least)."""
-    import pyarrow.compute as pc
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a mapInArrow, after which the worker gives freed memory back: Spark keeps workers for
+    later tasks, also of other stages, and what an allocator holds back would add up beside the executor."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            with contextlib.suppress(AttributeError, OSError):
+                ctypes.CDLL(None).malloc_trim(0)
 
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    at = total = 0
-    for i, size in enumerate(sizes):
-        if total and total + size > limit:
-            yield batch.slice(at, i - at)
-            at, total = i, 0
-        total += int(size)
-    if at < batch.num_rows:
-        yield batch.slice(at)
+    return wrapped

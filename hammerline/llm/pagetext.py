@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hammerline.llm.common import released
+
 #: Elements that begin and end a block (fixed values).
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl",
@@ -28,6 +30,10 @@ ASIDE_NAMES = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookie\w*|consent|disqus|footer|form|header|masthead|menu|modal|nav\w*|"
     r"newsletter|notice|popup|promo\w*|related|repl(?:y|ies)|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])"
 )
+#: Elements that hold parts of a page, whose names tell what they hold; a name of any other inside an article
+#: tells nothing. Elements that may stand in a page's head (fixed values).
+HOLDERS = {"div", "section", "ul", "ol", "dl", "table", "tr", "td", "tbody", "header", "article", "main", "details"}
+IN_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
 #: Elements that can't stay open when a new block of their kind begins (fixed values).
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -56,7 +62,13 @@ class Flattener(HTMLParser):
         self.count: dict[str, int] = {}
         self.asides = 0
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """What begins with <![ has no meaning in a page and is passed over to its end, whatever it holds."""
+        return self.parse_bogus_comment(i, 0)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.count.get("head") and tag not in IN_HEAD:  # a head that was never closed
+            self._pop(next(k for k, (name, _) in enumerate(self.open) if name == "head"))
         closes = CLOSES.get(tag) or ({"p"} if tag in BLOCK else set())
         if closes and self.open:
             for k in range(len(self.open) - 1, -1, -1):
@@ -72,7 +84,8 @@ class Flattener(HTMLParser):
             self.now.parts.append(" ")
         if tag in VOID:
             return
-        named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
+        telling = tag in HOLDERS or not self._in("article", "main")
+        named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v) if telling else ""
         header = tag == "header" and not self._in("article", "main")
         aside = tag in AROUND or header or bool(named and tag not in ("html", "body", "article", "main") and ASIDE_NAMES.search(named))
         self.open.append((tag, aside))
@@ -204,7 +217,9 @@ def main_text(html: str | None, tree: tuple | float) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row a page: id_col, url_col, text (empty if none). Null and empty pages have an empty text;
-    ids and urls may repeat or be null. Pages are judged one by one, so nothing is shuffled."""
+    ids and urls may repeat or be null. Pages are judged one by one, so nothing is shuffled. Malformed pages
+    are read as far as they go: unclosed, misplaced and unknown markup ends nothing. A very long page takes
+    memory in proportion. Columns but these three don't matter, whatever they are called."""
     tree = trained_tree()
     rows = pages.select(id_col, url_col, F.col(html_col).cast("string").alias("__html"))
 
@@ -215,4 +230,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     schema = rows.schema
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in list(schema)[:2])
-    return rows.mapInArrow(run, f"{kinds}, text string")
+    return rows.mapInArrow(released(run), f"{kinds}, text string")

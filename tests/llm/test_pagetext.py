@@ -1,3 +1,5 @@
+import random
+
 from hammerline.llm import pagetext
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head>
@@ -40,3 +42,20 @@ def test_tree_separates_its_table():
     table = np.array(pagetext.LABELLED, dtype=float)
     right = [pagetext.is_main(pagetext.trained_tree(), list(r[:-1])) == bool(r[-1]) for r in table]
     assert sum(right) >= 0.97 * len(table)
+
+
+def test_malformed_pages_are_read_as_far_as_they_go(spark):
+    rng = random.Random(6)
+    bits = ["<", ">", "<!", "<![", "<![foo[ x ]]>", "<![CDATA[ y ]]>", "<!--", "-->", "<?", "?>", "</", "/>", "<p", "<p>", "</p>", "<div class=", '"', "'", "=", "&", "&#", "&#x110000;",
+            "&amp", "word ", "<article>", "</article>", "<script>", "</script>", "<title>", "<head>", "<svg", "\x00", "é", "]]>", "<a href=x>", "<textarea>", "<br/>", "<!DOCTYPE", "[", "]"]
+    pages = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(4000)]
+    tree = pagetext.trained_tree()
+    assert all(isinstance(pagetext.main_text(p, tree), str) for p in pages)
+    rows = [(k, "u", p, "t") for k, p in enumerate(["<![foo[ x ]]>", "<![ x", *pages[:50]])]
+    assert pagetext.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).filter("text is null").count() == 0
+
+
+def test_names_inside_an_article_and_an_unclosed_head():
+    tree, words = pagetext.trained_tree(), "some words of the article that go on for a while and tell a story to its end"
+    page = f'<html><head><title>t</title><body><article><p>{words}</p><p class="share-price">{words} again</p><div class="share">share this</div></article></body></html>'
+    assert pagetext.main_text(page, tree) == f"{words}\n\n{words} again"
