@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Small transducers read a clause word by word: one each for negation, for reported speech and for a target
-(a person spoken to or about). They are composed into one machine, whose state says under which of them
-an insult or a threat stands; the weights of insults and threats are summed for each such reading of a
-matched clause, and a logistic model of these sums scores the document. A short list of insults is built
-in; more, also beginnings of words, and the model's weights are learned from labelled rows.
+Small transducers read a clause word by word: for negation, for reported speech, for a target (a person
+spoken to or about), for an insult and for a threat. They are composed into one machine. Its state says
+under which of the others an insult or a threat has come, and how far the nearest target lies before it;
+an insult or a threat whose target comes behind it is held open for some words and is settled by the
+target or by the clause's end. A threat without a target is no match. What is settled adds its arc's weight
+to its reading of the clause, and a logistic model of the matched clauses' sums scores the document. A
+short list of insults is built in; more, also beginnings of words, and the model's weights are learned from
+labelled rows: the learned entries are insult arcs like the built-in ones, with weights of their own.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hammerline.llm.common import stored
+from hammerline.llm.common import released, stored
 
 #: Built-in words (fixed values), English, German, French and Spanish.
 INSULTS = set(
@@ -56,6 +59,16 @@ def _reported() -> Transducer:
     return Transducer(arcs, {})
 
 
+#: How many words a negation reaches, and a target to what stands behind it and before it.
+NEGATION_REACH, TARGET_REACH, TARGET_BEHIND = 5, 5, 4
+
+
+def _pending(symbol: str) -> Transducer:
+    """Open (state above 0) for some words behind an insult or a threat, until a target settles it."""
+    arcs = {(s, symbol): TARGET_BEHIND for s in range(TARGET_BEHIND + 1)} | {(s, TARGET): 0 for s in range(TARGET_BEHIND + 1)}
+    return Transducer(arcs, {s: s - 1 for s in range(1, TARGET_BEHIND + 1)})
+
+
 class Grammar:
     """The composed machine: a state of each transducer; arcs of the composition are made when first used."""
 
@@ -69,7 +82,18 @@ class Grammar:
         return found
 
 
-GRAMMAR = Grammar(_after(NEGATION, 3), _reported(), _after(TARGET, 5))
+GRAMMAR = Grammar(_after(NEGATION, NEGATION_REACH), _reported(), _after(TARGET, TARGET_REACH), _pending(INSULT), _pending(THREAT))
+START = (0, 0, 0, 0, 0)
+
+
+def reading(symbol: str, state: tuple[int, ...], target: bool) -> str:
+    """Of an insult or a threat that comes in that state, with a target before or behind it or without."""
+    negated, reported = state[:2]
+    if symbol == THREAT:
+        return "threat_at_target" if target and not negated and not reported else "threat"
+    return "reported" if reported else "negated" if negated else "at_target" if target else "plain"
+
+
 FEATURES = ["plain", "at_target", "negated", "reported", "threat", "threat_at_target", "matched_clauses", "hits"]
 
 
@@ -103,24 +127,35 @@ def clause_features(text: str | None, lexicon: _Lexicon) -> list[float]:
     sums, clauses, matched, hits = Counter(), 1, 0, 0
     read = [lexicon[t] for t in tokens]
     if any(weight for _, weight in read):
-        state, words, clauses, here = (0, 0, 0), 0, 0, False
-        for token, (symbol, weight) in zip(tokens, read):
+        state, words, clauses, here = START, 0, 0, False
+        pending: dict[str, list[tuple[int, tuple[int, ...], float]]] = {INSULT: [], THREAT: []}
+
+        def settle(symbol: str, target: bool) -> bool:
+            """Adds what is held open to its readings, the target counting within its reach; whether a clause
+            matches by it."""
+            found = False
+            for at, then, weight in pending[symbol]:
+                sums[name := reading(symbol, then, then[2] > 0 or (target and words - at <= TARGET_BEHIND))] += weight
+                found |= name != "threat"
+            pending[symbol] = []
+            return found
+
+        for token, (symbol, weight) in zip([*tokens, "."], [*read, (OTHER, 0.0)]):
             if token in _ENDS:
+                here |= settle(INSULT, False) | settle(THREAT, False)
                 clauses, matched, here = clauses + (words > 0), matched + here, False
-                state, words = (0, 2 if state[1] == 2 else 0, 0), 0
+                state, words = (0, 2 if state[1] == 2 else 0, 0, 0, 0), 0
                 continue
             words += 1
+            after = GRAMMAR.step(state, QUOTE if token in _QUOTES else symbol)
+            for k, kind in ((3, INSULT), (4, THREAT)):
+                if pending[kind] and (symbol == TARGET or not after[k]):
+                    here |= settle(kind, symbol == TARGET)
             if weight:
-                negated, reported, target = state
-                threat = symbol == THREAT
-                if threat:
-                    reading = "threat_at_target" if target and not negated and not reported else "threat"
-                else:
-                    reading = "reported" if reported else "negated" if negated else "at_target" if target else "plain"
-                sums[reading] += weight
-                here, hits = here or not threat or reading == "threat_at_target", hits + (not threat)
-            state = GRAMMAR.step(state, QUOTE if token in _QUOTES else symbol)
-        clauses, matched = max(1, clauses + (words > 0)), matched + here
+                hits += symbol != THREAT
+                pending[symbol].append((words, state, weight))
+            state = after
+        clauses = max(1, clauses)
     n = max(1, len(tokens))
     return [*(float(np.log1p(100 * sums[f] / n)) for f in FEATURES[:6]), matched / clauses, float(np.log1p(hits))]
 
@@ -131,7 +166,8 @@ def held_out(id_col: str):
 
 
 def learn_lexicon(sample: DataFrame, size: int = 4000) -> dict[str, float]:
-    """Words (with $) and beginnings of 4 to 8 letters that stand out in toxic texts, with their log odds.
+    """Words (with $) and beginnings of 4 to 8 letters that stand out in toxic texts, with their log odds: the
+    `size` that stand out most, which bounds what is broadcast as `most` bounds what is learned from.
 
     Occurrences are counted up to three a document, and only what several documents show counts."""
 
@@ -212,7 +248,9 @@ def score(
     docs: DataFrame, learned: dict[str, float], weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row a document: id_col, held_out, score (0 to 1), predicted (1 from 0.5 on). A null or empty
-    text scores as one in which no clause matches. Only the text enters a score."""
+    text scores as one in which no clause matches. Only the text enters a score. Repeated rows and ids keep
+    their rows, equal texts score equal, null ids are not held out, an empty table gives none. Very long texts
+    are read whole, in one pass. Columns but these two don't matter, whatever they are called."""
     shared = docs.sparkSession.sparkContext.broadcast((learned, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,4 +262,4 @@ def score(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     rows = docs.select(id_col, held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(released(run), f"`{id_col}` {rows.schema[0].dataType.simpleString()}, held_out boolean, score double, predicted int")
