@@ -2,10 +2,14 @@
 
 A target model (of chosen documents) and a background model (of all documents) are bigram models over the
 same vocabulary, the ids of one public tokenizer, and of the same form. A document's score is the mean
-over its tokens of the background's loss minus the target's: higher, more like the target.
-
-Counts come from all documents. Pairs of ids are counted in a fixed number of hash buckets, so a model's
-size is bounded by the vocabulary and that number, which is what makes it fit to be broadcast.
+over its tokens of the background's loss minus the target's: higher, more like the target. A document is
+scored by what the models know without it: its own occurrences are taken off the counts first, or every
+document, and those of the target most, would score what it had itself taught.
+
+Every text is encoded once and its ids are kept in the shared folder. All pairs of neighbouring ids that
+occur are counted, each by itself, so what is gathered grows with the corpus: sources of documents send
+their different pairs to slices of the pairs' hashes, which are one to one, and get the totals back. Only
+counts of single ids, as many as the vocabulary has, are broadcast.
 """
 
 from __future__ import annotations
@@ -14,116 +18,197 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hammerline.llm import bpe
-
-PAIR_BUCKETS = 1 << 20
-START = 0
-
-
-def vocabulary_size(vocabulary: str) -> int:
-    from tokenizers import Tokenizer
-
-    return max(Tokenizer.from_file(vocabulary).get_vocab(with_added_tokens=True).values()) + 1
-
-
-def pair_buckets(ids: np.ndarray, size: int) -> np.ndarray:
-    """Bucket of each id with the one before it (START before the first), behind the `size` single ids."""
-    before = np.concatenate([[START], ids[:-1]]).astype(np.uint64)
-    h = (before << np.uint64(32) | ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return size + (h >> np.uint64(44)).astype(np.int64) % PAIR_BUCKETS
+from hammerline.llm import bpe, packed
+from hammerline.llm.common import released, stored
 
+#: A source has so many ids or documents at least, but for the last of a task; a slice about so many pairs.
+SOURCE_IDS, SOURCE_DOCS, SLICE_PAIRS = 500_000, 50_000, 1_000_000
+#: Weight of the single ids' probabilities in a pair's.
+WEIGHT = 50.0
+_ODD = 0x9E3779B97F4A7C15
 
-def _ids(text: str | None, encode) -> np.ndarray:
-    return np.frombuffer(encode(text), "<u4").astype(np.int64)
 
-
-def count(docs: DataFrame, targets: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(slot, background, target): how often each id and each pair's bucket occurs in all documents and in
-    those whose id is in targets (one column). Each task sends a row a slot at most."""
-    size = vocabulary_size(vocabulary)
-    chosen = targets.select(F.col(targets.columns[0]).alias("id")).filter("id is not null").distinct().withColumn("chosen", F.lit(True))
-    # The chosen ids grow with the documents, so they are never broadcast: both sides are dealt by id.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    rows = rows.join(chosen.hint("shuffle_hash"), "id", "left").select("chosen", "t")
+def _encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
+    """(src, keys, sizes, ids): stored sources, a row each, ids packed little-endian."""
+    kind_of_id = f"<u{bpe.id_width(vocabulary)}"
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t"))
+    kind = rows.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, totals = bpe.encoder(vocabulary).encode, np.zeros((2, size + PAIR_BUCKETS), np.int64)
+        part, made, keys, sizes, ids = TaskContext.get().partitionId() << 32, 0, [], [], []
 
-        def add(texts: list[list[np.ndarray]]) -> None:
-            for k, parts in enumerate(texts):
-                if parts:
-                    slots, n = np.unique(np.concatenate(parts), return_counts=True)
-                    totals[k, slots] += n
+        def close() -> pa.RecordBatch:
+            key = pa.concat_arrays(keys)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), v) for v in (key, pa.array(np.concatenate(sizes), pa.int32()))]
+            columns = [pa.array([part + made], pa.int64()), *lists, pa.array([np.concatenate(ids).tobytes()], pa.large_binary()).cast(pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["src", "keys", "sizes", "ids"])
 
         for batch in batches:
-            held, pending = [[], []], 0
-            for chosen, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = _ids(text.as_py(), encode)
-                held[bool(chosen)] += [ids, pair_buckets(ids, size)] if len(ids) else []
-                pending += len(ids)
-                if pending > 500_000:
-                    add(held)
-                    held, pending = [[], []], 0
-            add(held)
-        totals[0] += totals[1]
-        slots = np.flatnonzero(totals[0])
-        for a in range(0, len(slots), 100_000):
-            part = slots[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(totals[0, part]), pa.array(totals[1, part])], ["slot", "background", "target"])
-
-    counts = rows.mapInArrow(run, "slot int, background long, target long")
-    return counts.groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-class Model:
-    """P(id | id before) = (pair + k * P(id)) / (before + k), with P(id) = (n + 1) / (all + size)."""
-
-    def __init__(self, counts: np.ndarray, size: int, k: float = 50.0):
-        single = counts[:size].astype(np.float64)
-        self.k, self.pairs = k, counts[size:].astype(np.float32)
-        self.single = ((single + 1) / (single.sum() + size)).astype(np.float32)
-        self.before = single.astype(np.float32)
-
-    def losses(self, ids: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        """Nats of each token; the first has START before it, which is as frequent as it is as an id."""
-        before = np.concatenate([[START], ids[:-1]])
-        pair = np.minimum(self.pairs[slots], self.before[before])  # a shared bucket can hold more than the context
-        return -np.log((pair + self.k * self.single[ids]) / (self.before[before] + self.k))
+            for at, found, n in bpe.encoder(vocabulary).slices(batch.column(1)):
+                ends, first = np.concatenate([[0], np.cumsum(n)]), 0
+                while first < len(n):
+                    room = SOURCE_IDS - sum(map(len, ids))
+                    last = min(int(np.searchsorted(ends, ends[first] + room)), first + SOURCE_DOCS - sum(map(len, sizes)), len(n))
+                    last = max(last, first + 1)
+                    keys.append(batch.column(0).slice(at + first, last - first))
+                    sizes.append(n[first:last])
+                    ids.append(found[ends[first] : ends[last]].astype(kind_of_id))
+                    first = last
+                    if sum(map(len, ids)) >= SOURCE_IDS or sum(map(len, sizes)) >= SOURCE_DOCS:
+                        yield close()
+                        made, keys, sizes, ids = made + 1, [], [], []
+        if keys:
+            yield close()
+
+    return stored(rows.mapInArrow(released(run), f"src long, keys array<{kind}>, sizes array<int>, ids binary"), "encoded", **packed.SHORT_GROUPS)
+
+
+class _Source:
+    """A source's documents as arrays: ids, each one's document, the id before it (`size` before the first),
+    and the hash of the pair."""
+
+    def __init__(self, sizes: pa.Array, ids: bytes, size: int):
+        self.sizes, self.size = sizes.to_numpy().astype(np.int64), size
+        self.ids = np.frombuffer(ids, f"<u{len(ids) // max(1, self.sizes.sum()) or 4}").astype(np.int64)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.ends = np.cumsum(self.sizes)
+        self.before = np.concatenate([[size], self.ids[:-1]]) if len(self.ids) else self.ids
+        self.before[(self.ends - self.sizes)[self.sizes > 0]] = size
+        self.hash = (self.before * (size + 1) + self.ids).astype(np.uint64) * np.uint64(_ODD)
+
+    def own(self, values: np.ndarray, room: int) -> np.ndarray:
+        """For each token, how often its document has its value (below `room`)."""
+        _, entry, n = np.unique(self.doc * room + values, return_inverse=True, return_counts=True)
+        return n[entry]
+
+
+def _sources(batches: Iterator[pa.RecordBatch], size: int, flags: str) -> Iterator[tuple[int, pa.Array, _Source, np.ndarray]]:
+    """(src, keys, source, whether each document is of the target)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            src = batch.column(0)[k].as_py()
+            source = _Source(batch.column(2)[k].values, packed.read_row(batch.column(3)[k].as_py(), src, "ids").as_py(), size)
+            chosen = np.zeros(len(source.sizes), bool)
+            for at in packed.of_source(flags, src, ["at"]).column("at"):
+                chosen[at.values.to_numpy()] = True
+            yield src, batch.column(1)[k].values, source, chosen
+
+
+def _singles(rows: DataFrame, size: int, flags: str) -> np.ndarray:
+    """Counts of [background, target][as an id, as what stands before one][id]: as many as the vocabulary has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((2, 2, size + 1), np.int64)
+        for _, _, source, chosen in _sources(batches, size, flags):
+            mine = chosen[source.doc]
+            for k, values in enumerate((source.ids, source.before)):
+                totals[0, k] += np.bincount(values, minlength=size + 1)
+                totals[1, k] += np.bincount(values[mine], minlength=size + 1)
+        flat = totals.reshape(4, size + 1)
+        at = np.flatnonzero(flat[0] + flat[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *map(pa.array, flat[:, at])], ["id", "a", "b", "c", "d"])
+
+    counts = rows.mapInArrow(run, "id long, a long, b long, c long, d long").groupBy("id").agg(*[F.sum(c).alias(c) for c in "abcd"])
+    table, out = counts.toArrow(), np.zeros((4, size + 1))
+    for k, c in enumerate("abcd"):
+        out[k, table.column("id").to_numpy()] = table.column(c).to_numpy()
+    return out.reshape(2, 2, size + 1)
+
+
+def _ask(src: int, source: _Source, chosen: np.ndarray, bits: int) -> pa.RecordBatch:
+    """A source's different pairs, how often it has them, and how often in target documents."""
+    pairs, n = np.unique(source.hash, return_counts=True)
+    here, times = np.unique(source.hash[chosen[source.doc]], return_counts=True)
+    m = np.zeros(len(pairs), "<u4")
+    m[np.searchsorted(pairs, here)] = times
+    n = n.astype("<u4")
+    return packed.sent(src, [(s, pairs[a:b].astype("<u8").tobytes() + n[a:b].tobytes() + m[a:b].tobytes()) for s, a, b in packed.slices(pairs, bits)])
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Of one slice: the totals of each source's pairs."""
+    table = table.combine_chunks()
+    s, srcs, parts = table.column("slice")[0].as_py(), table.column("src").to_pylist(), [b.as_py() for b in table.column("packed")]
+    sizes = [len(b) // 16 for b in parts]
+    pairs = np.concatenate([np.frombuffer(b, "<u8", n) for b, n in zip(parts, sizes)])
+    distinct, entry = np.unique(pairs, return_inverse=True)
+    totals = np.zeros((2, len(distinct)), np.int64)
+    for k in range(2):
+        np.add.at(totals[k], entry, np.concatenate([np.frombuffer(b, "<u4", n, (8 + 4 * k) * n) for b, n in zip(parts, sizes)]))
+    kind = "<u4" if totals.max() < 1 << 32 else "<u8"
+    rows, at = [], 0
+    for src, n in zip(srcs, sizes):
+        mine = entry[at : at + n]
+        at += n
+        rows.append((src, totals[0, mine].astype(kind).tobytes() + totals[1, mine].astype(kind).tobytes()))
+    return packed.answers(s, rows)
+
+
+def _losses(pair, single, before, total, size: int) -> np.ndarray:
+    """Nats of P(id | before) = (pair + WEIGHT * P(id)) / (before + WEIGHT), with P(id) = (single + 1) / (total + size)."""
+    return -np.log((pair + WEIGHT * (single + 1) / (total + size)) / (before + WEIGHT))
 
 
 def score(
     docs: DataFrame, targets: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row a document: id_col, n_tokens, target_loss, background_loss (mean nats a token), score (their
-    difference, background minus target). Texts without tokens (null, empty) have null losses and score 0.
-    Without targets the target model is uniform. Repeated and null ids keep their rows."""
+    difference, background minus target).
+
+    targets has the chosen ids in its first column. Texts without tokens (null, empty) have null losses and
+    score 0. Without targets the target model is uniform. Repeated and null ids keep their rows; a repeated
+    id that is chosen is so in all of them, a null one never. A very long text is a source of its own.
+    Columns but these two don't matter.
+    """
     vocabulary = vocabulary or bpe.default_vocabulary()
-    size = vocabulary_size(vocabulary)
-    table = count(docs, targets, vocabulary, id_col, text_col).toArrow()  # at most size + PAIR_BUCKETS rows
-    counts = np.zeros((2, size + PAIR_BUCKETS), np.int64)
-    slots = table.column("slot").to_numpy()
-    counts[0, slots], counts[1, slots] = table.column("background").to_numpy(), table.column("target").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast((Model(counts[1], size), Model(counts[0], size)))
+    size = bpe.vocabulary_size(vocabulary)
+    sources = _encoded(docs, vocabulary, id_col, text_col)
+    n_ids = sources.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    bits = packed.slice_bits(n_ids // 2, SLICE_PAIRS)
+    wanted = targets.select(F.col(targets.columns[0]).alias("k")).filter("k is not null").distinct()
+    rows = sources.select("src", "keys", "sizes", F.col("_metadata.file_path"))
+    ids = sources.select("src", F.posexplode("keys").alias("at", "k"))
+    # Chosen ids grow with the documents: both sides are dealt by id, and a source gets back where its own lie.
+    flags = ids.join(wanted.hint("merge"), "k", "left_semi").groupBy("src").agg(F.collect_list("at").alias("at"))
+    flags = packed.by_source(flags, "chosen")
+    singles = docs.sparkSession.sparkContext.broadcast(_singles(rows, size, flags))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for src, _, source, chosen in _sources(batches, size, flags):
+            yield _ask(src, source, chosen, bits)
+
+    totals = packed.exchange(rows.mapInArrow(released(ask), packed.PACKED), _answer, "pairs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, (target, background) = bpe.encoder(vocabulary).encode, shared.value
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                ids = _ids(text.as_py(), encode)
-                if len(ids):
-                    slots = pair_buckets(ids, size) - size
-                    t, b = float(target.losses(ids, slots).mean(dtype=np.float64)), float(background.losses(ids, slots).mean(dtype=np.float64))
-                    rows.append((len(ids), t, b, b - t))
-                else:
-                    rows.append((0, None, None, 0.0))
-            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, "n_tokens", "target_loss", "background_loss", "score"])
-
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("t"))
-    kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double")
+        known = singles.value
+        for src, keys, source, chosen in _sources(batches, size, flags):
+            n, means = source.sizes, []
+            if len(source.ids):
+                pairs, entry = np.unique(source.hash, return_inverse=True)
+                found = [np.frombuffer(b, f"<u{len(b) // 2 // (hi - lo)}").reshape(2, -1) for (_, lo, hi), b in zip(packed.slices(pairs, bits), packed.read_answers(totals, src).values(), strict=True)]
+                found = np.concatenate(found, axis=1)
+                own_pair, own_id, length = source.own(entry, len(pairs)), source.own(source.ids, size), n[source.doc]
+                # As what stands before: as often as as an id, but for the text's end.
+                last = source.ids[source.ends[source.doc] - 1]
+                own_before = np.concatenate([[1], own_id[:-1]]) - (source.before == last)
+                own_before[source.before == size] = 1
+                for k, off in enumerate((np.ones(len(entry), np.int64), chosen[source.doc].astype(np.int64))):
+                    single, before = known[k]
+                    total = single.sum()
+                    loss = _losses(
+                        found[k][entry] - off * own_pair, single[source.ids] - off * own_id, before[source.before] - off * own_before, total - off * length, size
+                    )
+                    means.append(np.bincount(source.doc, loss, len(n)) / np.maximum(n, 1))
+            else:
+                means = [np.zeros(len(n)), np.zeros(len(n))]
+            background, target = means
+            empty = n == 0
+            columns = [pa.array(n), pa.array(target, mask=empty), pa.array(background, mask=empty), pa.array(np.where(empty, 0.0, background - target))]
+            yield pa.RecordBatch.from_arrays([keys, *columns], [id_col, "n_tokens", "target_loss", "background_loss", "score"])
+
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    return rows.mapInArrow(released(run), f"`{id_col}` {kind}, n_tokens long, target_loss double, background_loss double, score double")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hammerline.llm import bpe
-from hammerline.llm.common import stored
+from hammerline.llm.common import released, stored
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -134,22 +134,24 @@ def pieces(
     vocabulary = vocabulary or bpe.default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, seen = bpe.encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes(), Counter()
+        seen: Counter[int] = Counter()
         part = TaskContext.get().partitionId()
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((key, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), part, seen[n]))
-                    seen[n] += 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
-            columns = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            keys = batch.column(0).to_pylist()
+            for first, ids, sizes in bpe.encoder(vocabulary).slices(batch.column(1)):
+                ids, rows, at = memoryview(bpe.ended(ids, sizes, end_id)).cast("B"), [], 0
+                for key, size in zip(keys[first:], (sizes + 1).tolist()):
+                    for k, (start, n) in enumerate(cut(size, capacity)):
+                        a = 4 * (at + start)
+                        rows.append((key, k, start, n, zlib.crc32(ids[a : a + 4 * n]), part, seen[n]))
+                        seen[n] += 1
+                    at += size
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(released(run), PIECES)
 
 
 def place(found: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -161,7 +163,8 @@ def place(found: DataFrame, capacity: int = 2048) -> DataFrame:
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = parts.select("length", "part", before.alias("base"))
-    ranked = found.join(bases, ["length", "part"]).withColumn("rank", F.col("nth") + F.col("base"))
+    # Rows of a task and a length are many and short and grow with the corpus: dealt by both, never broadcast.
+    ranked = found.join(bases.hint("shuffle_hash"), ["length", "part"]).withColumn("rank", F.col("nth") + F.col("base"))
     kept = [c for c in found.columns if c not in ("part", "nth")]
     shared = found.sparkSession.sparkContext.broadcast(runs)  # a few rows for each length up to the capacity
 
@@ -195,10 +198,11 @@ def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str | None = None,
     vocabulary = vocabulary or bpe.default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = bpe.encoder(vocabulary).encode
         for batch in batches:
-            ids = [np.append(np.frombuffer(encode(t.as_py()), "<u4"), np.uint32(end_id)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
+            for first, ids, sizes in bpe.encoder(vocabulary).slices(batch.column(1)):
+                ends = np.concatenate([[0], np.cumsum(sizes + 1)])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bpe.ended(ids, sizes, end_id), pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sizes)), lists], ["doc_id", "ids"])
 
     encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("t")).mapInArrow(run, "doc_id long, ids array<bigint>")
     parts = packed.join(encoded, "doc_id").select(

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hammerline.llm import bpe
-from hammerline.llm.common import new_folder, open_fs, stored
+from hammerline.llm.common import new_folder, open_fs, released, stored
 
 MARK = b"HLTOKS01"
 MANIFEST = "shard long, n_records long, n_ids long, n_null long, first_key long, last_key long"
@@ -89,9 +89,12 @@ class ShardWriter:
         self.keys: list[int | None] = []
         self.sizes: list[int] = []
 
-    def add(self, key: int | None, ids: np.ndarray) -> None:
-        self.keys.append(key)
-        self.sizes.append(len(ids))
+    def add(self, keys: list[int | None], ids: np.ndarray, sizes: list[int]) -> None:
+        """Documents in order: their keys, all their ids, how many each has."""
+        if len(ids) and int(ids.max()) >> 8 * int(self.kind[-1]):
+            raise ValueError(f"an id does not fit {self.kind[-1]} bytes")
+        self.keys += keys
+        self.sizes += sizes
         self.out.write(ids.astype(self.kind).tobytes())
 
     def close(self) -> dict:
@@ -174,30 +177,33 @@ def write_tokens(
     text_col: str = "text",
     end_id: int = 0,
     folder: str | None = None,
-    id_bytes: int = 2,
+    id_bytes: int | None = None,
 ) -> str:
     """Encodes every whole text (null: empty), appends end_id and writes the store; returns its folder.
 
     Documents are in ascending order of their id (null ids first; equal ids by a hash of their text, so
-    that even a hot id is spread over shards). id_bytes is 2 for vocabularies below 65,536 ids, else 4.
+    that even a hot id is spread over shards). An id takes 2 bytes where all of the vocabulary's fit and 4
+    otherwise, or id_bytes; one that doesn't fit is an error. Other columns don't matter.
     """
     spark, vocabulary = docs.sparkSession, vocabulary or bpe.default_vocabulary()
     folder = folder or new_folder(spark, "tokens")
+    width = id_bytes or (bpe.id_width(vocabulary) if end_id < 1 << 16 else 4)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
     n = max(1, rows.rdd.getNumPartitions())
     rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, out = bpe.encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes(), None
+        out = None
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                out = out or ShardWriter(folder, TaskContext.get().partitionId(), id_bytes)
-                out.add(key, np.frombuffer(encode(text.as_py()) + end, "<u4"))
+            keys = batch.column(0).to_pylist()
+            for at, ids, sizes in bpe.encoder(vocabulary).slices(batch.column(1)):
+                out = out or ShardWriter(folder, TaskContext.get().partitionId(), width)
+                out.add(keys[at : at + len(sizes)], bpe.ended(ids, sizes, end_id), (sizes + 1).tolist())
         if out:
             row = out.close()
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([(k, pa.int64()) for k in row]))
 
-    made = stored(rows.select("id", "t").mapInArrow(run, MANIFEST), "shards")
+    made = stored(rows.select("id", "t").mapInArrow(released(run), MANIFEST), "shards")
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     made.withColumn("base", before).coalesce(1).write.parquet(f"{folder}/manifest")
     return folder

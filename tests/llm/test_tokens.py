@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hammerline.llm import bpe, packing, tokenstore
@@ -14,7 +15,6 @@ def reference():
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(bpe.default_vocabulary())
-    found.encode_special_tokens = True
     return lambda text: found.encode(text or "", add_special_tokens=False).ids
 
 
@@ -26,12 +26,42 @@ def rows():
     return [(k, t, "n", 1) for k, t in zip(keys, texts)]
 
 
-def test_encoder_is_exact(reference):
+def encoded(encoder, texts):
+    out = []
+    for at, ids, sizes in encoder.slices(pa.array(texts, pa.string())):
+        assert at == len(out)
+        out += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    return out
+
+
+def test_encoder_is_exact(reference, monkeypatch):
     rng = random.Random(3)
-    encode = bpe.Encoder(bpe.default_vocabulary(), keep=20).encode
-    for _ in range(1500):
-        text = "".join(rng.choice(ODD) for _ in range(rng.randint(0, 40)))
-        assert np.frombuffer(encode(text), "<u4").tolist() == reference(text), repr(text)
+    encoder = bpe.Encoder(bpe.default_vocabulary())
+    ends = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|> a", "a<|endoftext|>", "<|endoftext", "\n \n", "foo\n \nbar", "foo \n bar"]
+    texts = [None, "", *ends, *["".join(rng.choice(ODD) for _ in range(rng.randint(0, 40))) for _ in range(3000)]]
+    assert encoder.by_words and encoded(encoder, texts) == [reference(t) for t in texts]
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 400)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 3000)
+    monkeypatch.setattr(bpe, "CUT", 60)
+    texts += ["".join(rng.choice(ODD) for _ in range(800)), "some words, and more of them. " * 60, "x" * 3000]
+    assert encoded(encoder, texts) == [reference(t) for t in texts]
+    assert encoded(encoder, []) == []
+
+
+def test_other_vocabularies_are_encoded_whole():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    encoder, library, texts = bpe.Encoder(file), Tokenizer.from_file(file), ["A Word, twice a word!", "", None, "  x\ny "]
+    assert not encoder.by_words
+    assert encoded(encoder, texts) == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_that_do_not_fit_are_an_error(tmp_path):
+    writer = tokenstore.ShardWriter(str(tmp_path), 0, 2)
+    with pytest.raises(ValueError, match="fit"):
+        writer.add([1], np.array([70_000], "<u4"), [1])
 
 
 def test_store_round_trip(spark, rows, reference):
