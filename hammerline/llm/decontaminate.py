@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hammerline.llm.common import stored
+from hammerline.llm.common import free_name, released, stored
 
 #: Bytes of a UTF-8 text to word bytes: A-Z lower-cased; 0-9, a-z and all non-ASCII stay; the rest separates.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -64,8 +64,10 @@ def find_windows(
     item_text_col: str = "text",
     slice_chars: int = 32_000_000,
 ) -> DataFrame:
-    """docs, all columns kept, with contamination struct<n_words, n_hit, items array<string>,
-    spans array<struct<start, end>>> (word positions, merged and in order).
+    """docs, all columns kept, and last contamination struct<n_words, n_hit, items array<string>,
+    spans array<struct<start, end>>, rest> (word positions, merged and in order; rest is the text without the
+    spans and what lies between their words, null where there are none). Where docs have a column of that
+    name the last column has an underscore more.
 
     The benchmark's windows are broadcast only while its texts have `slice_chars` characters or fewer.
     A larger one is cut into slices of items of that size; the documents are scanned slice by slice and
@@ -75,7 +77,7 @@ def find_windows(
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t"))
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     slices = -(-total // slice_chars)
-    found = docs.withColumn("contamination", F.lit(None).cast(_HITS))
+    found = docs.withColumn(free_name(docs, "contamination"), F.lit(None).cast(_HITS))
     for k in range(max(1, slices)):
         part = items if slices <= 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k)
         found = _scan(found, [(r.i, r.t) for r in part.toLocalIterator()], size, text_col)
@@ -83,7 +85,7 @@ def find_windows(
     return found
 
 
-_HITS = "struct<n_words: bigint, n_hit: bigint, items: array<string>, spans: array<struct<start: int, end: int>>>"
+_HITS = "struct<n_words: bigint, n_hit: bigint, items: array<string>, spans: array<struct<start: int, end: int>>, rest: string>"
 
 
 def _scan(docs: DataFrame, items: list[tuple[str, str | None]], size: int, text_col: str) -> DataFrame:
@@ -104,11 +106,11 @@ def _scan(docs: DataFrame, items: list[tuple[str, str | None]], size: int, text_
                 spans = merged(spans)
                 n_hit = sum(b - a for a, b in spans)
                 ids = sorted(i for i in found if i is not None)
-                hits.append({"n_words": len(words), "n_hit": n_hit, "items": ids, "spans": [{"start": a, "end": b} for a, b in spans]})
+                hits.append({"n_words": len(words), "n_hit": n_hit, "items": ids, "spans": [{"start": a, "end": b} for a, b in spans], "rest": cut_words(text.as_py(), spans) if spans else None})
             kind = batch.schema.field(batch.num_columns - 1).type
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, kind)], schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -123,7 +125,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row a document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    c = F.col("contamination")
+    c = F.col(f"`{found.columns[-1]}`")
     return found.select(
         id_col,
         c.n_words.alias("n_words"),
@@ -137,20 +139,9 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def without_hits(found: DataFrame, text_col: str = "text", most_share: float = 0.5) -> DataFrame:
     """Documents without their contaminated words: a span goes with all that lies between its words, and
     documents of which more than `most_share` of the words are hit go whole. Clean ones stay as they are."""
-    at, kept = found.columns.index(text_col), found.drop("contamination")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, hit in zip(batch.column(at), batch.column(batch.num_columns - 1)):
-                hit, text = hit.as_py(), text.as_py()
-                texts.append(cut_words(text, [(s["start"], s["end"]) for s in hit["spans"]]) if hit["spans"] else text)
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
-
-    c = F.col("contamination")
-    return found.filter(c.n_hit <= most_share * c.n_words).mapInArrow(run, kept.schema)
+    c = F.col(f"`{found.columns[-1]}`")
+    left = found.filter(c.n_hit <= most_share * c.n_words)
+    return left.withColumn(text_col, F.coalesce(c.rest, F.col(text_col))).drop(found.columns[-1])
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hammerline.llm.common import free_name
+
 WHITE = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
 
@@ -43,7 +45,7 @@ def divergence(found: Column, reference: list[float]) -> Column:
 
 
 def measures(docs: DataFrame, text_col: str = "text", repeat_words: int = 5) -> DataFrame:
-    """docs, all columns kept, with a struct quality of: n_words, word_chars, n_symbols, n_dup_lines,
+    """docs, all columns kept, and last a struct quality of: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, char_divergence, word_divergence (null below the least lengths), kept."""
     k = repeat_words
     own = ["__row"]  # the document as it is, so that no name can clash
@@ -125,17 +127,21 @@ def measures(docs: DataFrame, text_col: str = "text", repeat_words: int = 5) ->
         # all expressions of the steps at once, again and again inside their lambdas.
         (~F.col("__failed") & close & (F.spark_partition_id() >= 0)).alias("kept"),
     )
-    return step.select("__row.*", result.alias("quality"))
+    return step.select("__row.*", result.alias(free_name(docs, "quality")))
 
 
 def judge(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the struct quality; null texts have no words and fail. A column named quality is replaced.
+    """docs and last the struct quality (with an underscore more where docs have a column of that name); null
+    texts have no words and fail.
+
+    The references are English, German, French and Spanish. A longer text of another language is far from
+    all four and is not kept: a corpus of other languages needs references of its own.
 
     A text passes if it passes the base rules and its character classes, and in longer texts its common
     words, lie within the limits of the nearest language reference. All of it is one pass without a
     shuffle. Null ids, repeated rows and other columns stay as they are.
     """
-    return measures(docs.drop("quality"), text_col)
+    return measures(docs, text_col)
 
 
 def oracle_sql() -> str:

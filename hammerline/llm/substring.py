@@ -16,18 +16,18 @@ one hash of each source, and no pair of documents is ever listed.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 import xxhash
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hammerline.llm.common import new_folder, open_fs, stored
+from hammerline.llm import packed
+from hammerline.llm.common import free_name, released, stored
 
 #: The multiplier of the rolling hash (fixed value: an odd 64-bit number) and its inverse modulo 2**64.
 _K = 0x9E3779B97F4A7C15
@@ -35,24 +35,18 @@ _K_INVERSE = pow(_K, -1, 1 << 64)
 
 _WORD = re.compile(rb"[^ \t-\r]+")
 
-SOURCE_BYTES = 8_000_000
+SOURCE_BYTES = 4_000_000
 SLICE_WORDS = 2_000_000
-PACKED = "slice int, src long, packed binary"
 
 
-class _Powers:
-    """Powers of the multiplier and of its inverse, as far as the longest document so far."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the multiplier and of its inverse."""
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, k, np.uint64))]) for k in (_K, _K_INVERSE))
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> None:
-        if n > len(self.up):
-            n = max(n, 2 * len(self.up), 1 << 16)
-            self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, k, np.uint64))]) for k in (_K, _K_INVERSE))
-
-
-_powers = _Powers()
+@cache
+def _some_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(1 << 16)
 
 
 def _spread(h: np.ndarray) -> np.ndarray:
@@ -67,16 +61,16 @@ class Rolling:
 
     def __init__(self, words: list[bytes]):
         n = len(words)
-        _powers.upto(n)
+        up, self.down = _some_powers() if n <= 1 << 16 else _powers(n)
         each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
-        self.n, self.sums = n, np.concatenate([np.zeros(1, np.uint64), np.cumsum(each * _powers.up[:n])])
+        self.n, self.sums = n, np.concatenate([np.zeros(1, np.uint64), np.cumsum(each * up[:n])])
 
     def runs(self, length: int, at: np.ndarray | None = None) -> np.ndarray:
         """Hashes of the runs of that length that start at the positions (default: all)."""
         if at is None:
             n = max(0, self.n - length + 1)
-            return _spread((self.sums[length : length + n] - self.sums[:n]) * _powers.down[:n])
-        return _spread((self.sums[at + length] - self.sums[at]) * _powers.down[at])
+            return _spread((self.sums[length : length + n] - self.sums[:n]) * self.down[:n])
+        return _spread((self.sums[at + length] - self.sums[at]) * self.down[at])
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -118,7 +112,7 @@ def to_sources(docs: DataFrame, text_col: str) -> DataFrame:
             yield close()
 
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema)
-    return stored(docs.mapInArrow(run, f"src long, n_bytes long, docs array<struct<{fields}>>"), "sources")
+    return stored(docs.mapInArrow(released(run), f"src long, n_bytes long, docs array<struct<{fields}>>"), "sources")
 
 
 class _Source:
@@ -143,17 +137,6 @@ def _sources(batches: Iterator[pa.RecordBatch], id_at: int, text_at: int, window
             yield batch.column(0)[k].as_py(), rows, _Source(rows, id_at, text_at, window)
 
 
-def _slices(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    """(slice, from, to) of sorted hashes, by their highest bits."""
-    edges = np.searchsorted(hashes >> np.uint64(64 - bits) if bits else np.zeros(len(hashes), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64))
-    return ((s, int(edges[s]), int(edges[s + 1])) for s in range(1 << bits) if edges[s] < edges[s + 1])
-
-
-def _packed(src: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    columns = [pa.array([s for s, _ in parts], pa.int32()), pa.array([src] * len(parts), pa.int64()), pa.array([b for _, b in parts], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["slice", "src", "packed"])
-
-
 def _probe(src: int, source: _Source, block: int, bits: int) -> pa.RecordBatch:
     """Distinct rolling block hashes, 32 bits behind those of the slice, each with two marks: it is a
     reference block here; it occurs twice or more here."""
@@ -164,24 +147,24 @@ def _probe(src: int, source: _Source, block: int, bits: int) -> pa.RecordBatch:
         marks[::block] = 1
         found.append(h << np.uint64(1) | marks)
     if not found:
-        return _packed(src, [])
+        return packed.sent(src, [])
     all_of = np.sort(np.concatenate(found))
     h = all_of >> np.uint64(1)
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     marks = np.maximum.reduceat(all_of & np.uint64(1), first).astype(bool)
     twice = np.diff(np.append(first, len(h))) > 1
     h, parts = h[first], []
-    for s, a, b in _slices(h << np.uint64(32 - bits), bits):
+    for s, a, b in packed.slices(h << np.uint64(32 - bits), bits):
         low = (h[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4")
         parts.append((s, low.tobytes() + np.packbits(marks[a:b]).tobytes() + np.packbits(twice[a:b]).tobytes()))
-    return _packed(src, parts)
+    return packed.sent(src, parts)
 
 
-def _unpack_probe(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = next(n for n in range(max(0, 4 * len(packed) // 17 - 2), len(packed) // 4 + 1) if 4 * n + 2 * (-(-n // 8)) == len(packed))
-    marks = np.frombuffer(packed, "u1", offset=4 * n)
+def _unpack_probe(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = next(n for n in range(max(0, 4 * len(raw) // 17 - 2), len(raw) // 4 + 1) if 4 * n + 2 * (-(-n // 8)) == len(raw))
+    marks = np.frombuffer(raw, "u1", offset=4 * n)
     half = len(marks) // 2
-    return np.frombuffer(packed, "<u4", n), np.unpackbits(marks[:half], count=n).astype(bool), np.unpackbits(marks[half:], count=n).astype(bool)
+    return np.frombuffer(raw, "<u4", n), np.unpackbits(marks[:half], count=n).astype(bool), np.unpackbits(marks[half:], count=n).astype(bool)
 
 
 def _answer_probes(table: pa.Table) -> pa.Table:
@@ -200,24 +183,7 @@ def _answer_probes(table: pa.Table) -> pa.Table:
         mine = part[0][np.isin(part[0], shared, assume_unique=True)]
         if len(mine):
             rows.append((src, (mine.astype("<u8") | np.uint64(s << 32)).tobytes()))
-    return _answers(s, rows)
-
-
-def _answers(s: int, rows: list[tuple[int, bytes]]) -> pa.Table:
-    columns = [pa.array([s] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())]
-    return pa.Table.from_arrays(columns, ["slice", "src", "packed"])
-
-
-def _read_answers(folder: str, src: int) -> dict[int, bytes]:
-    where, path = open_fs(f"{folder}/src={src}")
-    files = where.get_file_info(fs.FileSelector(path, allow_not_found=True))
-    out = {}
-    for f in files:
-        if f.base_name.endswith(".parquet"):
-            with where.open_input_file(f.path) as file:
-                table = pq.read_table(file, columns=["slice", "packed"])
-            out |= dict(zip(table.column("slice").to_pylist(), table.column("packed").to_pylist()))
-    return out
+    return packed.answers(s, rows)
 
 
 class _Candidates:
@@ -225,7 +191,7 @@ class _Candidates:
     id that has it here, and all (hash, document, position)."""
 
     def __init__(self, source: _Source, folder: str, src: int, block: int, bits: int):
-        window, shared = source.window, np.sort(np.frombuffer(b"".join(_read_answers(folder, src).values()), "<u8"))
+        window, shared = source.window, np.sort(np.frombuffer(b"".join(packed.read_answers(folder, src).values()), "<u8"))
         hashes, owners, positions, ids = [], [], [], []
         for k, key, rolling in source if len(shared) else ():
             h = rolling.runs(block) >> np.uint64(32 - bits)
@@ -248,12 +214,12 @@ class _Candidates:
 def _offer(src: int, found: _Candidates, bits: int) -> pa.RecordBatch:
     """Distinct windows of each slice and their least id here, as a number in a list of ids."""
     parts = []
-    for s, a, b in _slices(found.distinct, bits):
+    for s, a, b in packed.slices(found.distinct, bits):
         names, number = np.unique(found.least[a:b], return_inverse=True)
         width = "<u2" if len(names) < 1 << 16 else "<u4"
         head = np.array([b - a, len(names), int(width[-1])], "<u4").tobytes()
         parts.append((s, head + found.distinct[a:b].astype("<u8").tobytes() + names.astype("<i8").tobytes() + number.astype(width).tobytes()))
-    return _packed(src, parts)
+    return packed.sent(src, parts)
 
 
 def _answer_offers(table: pa.Table) -> pa.Table:
@@ -261,11 +227,11 @@ def _answer_offers(table: pa.Table) -> pa.Table:
     table = table.combine_chunks()
     s, srcs, hashes, least = table.column("slice")[0].as_py(), table.column("src").to_pylist(), [], []
     for b in table.column("packed"):
-        packed = b.as_buffer().to_pybytes()
-        n, m, width = np.frombuffer(packed, "<u4", 3).tolist()
-        hashes.append(np.frombuffer(packed, "<u8", n, 12))
-        names = np.frombuffer(packed, "<i8", m, 12 + 8 * n)
-        least.append(names[np.frombuffer(packed, f"<u{width}", n, 12 + 8 * (n + m))])
+        raw = b.as_buffer().to_pybytes()
+        n, m, width = np.frombuffer(raw, "<u4", 3).tolist()
+        hashes.append(np.frombuffer(raw, "<u8", n, 12))
+        names = np.frombuffer(raw, "<i8", m, 12 + 8 * n)
+        least.append(names[np.frombuffer(raw, f"<u{width}", n, 12 + 8 * (n + m))])
     h, ids = np.concatenate(hashes), np.concatenate(least)
     distinct, entry = np.unique(h, return_inverse=True)
     best = np.full(len(distinct), np.iinfo(np.int64).max)
@@ -276,19 +242,14 @@ def _answer_offers(table: pa.Table) -> pa.Table:
         at += len(part)
         if mine.any():
             rows.append((src, np.packbits(mine).tobytes()))
-    return _answers(s, rows)
-
-
-def _exchange(sent: DataFrame, answer: Callable[[pa.Table], pa.Table], name: str) -> str:
-    """Brings each slice's rows together, answers them, and leaves the answers in a folder by source."""
-    folder = new_folder(sent.sparkSession, name)
-    sent.groupBy("slice").applyInArrow(answer, PACKED).repartition("src").write.partitionBy("src").parquet(folder)
-    return folder
+    return packed.answers(s, rows)
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns kept, with repeats struct<n_words, n_removed, kept, spans>: the words left, joined
-    by one space, and the removed runs of words (start, end).
+    """docs, all columns kept, and last repeats struct<n_words, n_removed, kept, spans, rest>: the words left,
+    joined by one space; the removed runs of words (start, end); and the text without them, all else as it
+    was, null where none is removed. Where docs have a column of that name the last
+    column has an underscore more.
 
     Windows are judged on the input. Null and short texts keep their words. Rows of one id count as one
     document, so they never remove each other's words; a row with a null id is left alone and removes
@@ -297,30 +258,31 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     if window < 3:
         raise ValueError("a window has 3 words or more")
     block = (window + 1) // 2
-    docs = docs.drop("repeats").withColumns({text_col: F.col(text_col).cast("string"), id_col: F.col(id_col).cast("long")})
+    result = free_name(docs, "repeats")
+    docs = docs.withColumns({text_col: F.col(text_col).cast("string"), id_col: F.col(id_col).cast("long")})
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     sources = to_sources(docs, text_col)
     n_bytes = sources.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = min(24, max(4, (n_bytes // (6 * SLICE_WORDS)).bit_length()))
+    bits = packed.slice_bits(n_bytes // 6, SLICE_WORDS)
     rows = sources.select("src", "docs")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for src, _, source in _sources(batches, id_at, text_at, window):
             yield _probe(src, source, block, bits)
 
-    shared = _exchange(rows.mapInArrow(probe, PACKED), _answer_probes, "anchors")
+    shared = packed.exchange(rows.mapInArrow(released(probe), packed.PACKED), _answer_probes, "anchors")
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for src, _, source in _sources(batches, id_at, text_at, window):
             yield _offer(src, _Candidates(source, shared, src, block, bits), bits)
 
-    earlier = _exchange(rows.mapInArrow(offer, PACKED), _answer_offers, "windows")
+    earlier = packed.exchange(rows.mapInArrow(released(offer), packed.PACKED), _answer_offers, "windows")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for src, table, source in _sources(batches, id_at, text_at, window):
             found = _Candidates(source, shared, src, block, bits)
-            bit, answers = np.zeros(len(found.distinct), bool), _read_answers(earlier, src)
-            for s, a, b in _slices(found.distinct, bits):
+            bit, answers = np.zeros(len(found.distinct), bool), packed.read_answers(earlier, src)
+            for s, a, b in packed.slices(found.distinct, bits):
                 if s in answers:
                     bit[a:b] = np.unpackbits(np.frombuffer(answers[s], "u1"), count=b - a)
             hit = bit[found.entry] | (found.ids > found.least[found.entry])
@@ -329,12 +291,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
             for a in range(0, len(table), 2000):
                 part = table.slice(a, 2000)
                 results = [_cut(t.as_py(), starts[edges[a + k] : edges[a + k + 1]], window) for k, t in enumerate(part.field(text_at))]
-                yield pa.RecordBatch.from_arrays([*part.flatten(), pa.array(results, _REPEATS)], [*names, "repeats"])
+                yield pa.RecordBatch.from_arrays([*part.flatten(), pa.array(results, _REPEATS)], [*names, result])
 
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    kind = "struct<n_words: bigint, n_removed: bigint, kept: string, spans: array<struct<start: int, end: int>>>"
-    return rows.mapInArrow(extend, f"{fields}, repeats {kind}")
+    kind = "struct<n_words: bigint, n_removed: bigint, kept: string, spans: array<struct<start: int, end: int>>, rest: string>"
+    return rows.mapInArrow(released(extend), f"{fields}, `{result}` {kind}")
 
 
 _REPEATS = pa.struct(
@@ -343,6 +305,7 @@ _REPEATS = pa.struct(
         ("n_removed", pa.int64()),
         ("kept", pa.string()),
         ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+        ("rest", pa.string()),
     ]
 )
 
@@ -359,7 +322,8 @@ def _cut(text: str | None, starts: np.ndarray, window: int) -> dict:
         kept += words[at : span["start"]]
         at = span["end"]
     kept += words[at:]
-    return {"n_words": len(words), "n_removed": len(words) - len(kept), "kept": b" ".join(kept).decode("utf-8", "surrogatepass"), "spans": spans}
+    rest = cut_words(text, [(s["start"], s["end"]) for s in spans]) if spans else None
+    return {"n_words": len(words), "n_removed": len(words) - len(kept), "kept": b" ".join(kept).decode("utf-8", "surrogatepass"), "spans": spans, "rest": rest}
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -376,19 +340,6 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def without_repeats(found: DataFrame, text_col: str = "text") -> DataFrame:
     """Documents of remove_repeats without the removed words, all else as it was; those of which no word
     is left go, those that had none stay."""
-    at, kept = found.columns.index(text_col), found.drop("repeats")
-    names, schema = kept.columns, kept.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(at), batch.column(batch.num_columns - 1)):
-                spans = [(s["start"], s["end"]) for s in spans.as_py()]
-                texts.append(cut_words(text.as_py(), spans) if spans else text.as_py())
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    r = F.col("repeats")
-    left = found.filter((r.n_removed < r.n_words) | (r.n_words == 0)).withColumn("repeats", r.spans)
-    return left.mapInArrow(run, schema)
+    r = F.col(f"`{found.columns[-1]}`")
+    left = found.filter((r.n_removed < r.n_words) | (r.n_words == 0))
+    return left.withColumn(text_col, F.coalesce(r.rest, F.col(text_col))).drop(found.columns[-1])

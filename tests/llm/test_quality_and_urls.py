@@ -24,7 +24,7 @@ def test_base_rules_match_brute_force(spark):
     got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, quality string, __n int")).collect()
     assert len(got) == len(rows)
     for (key, text, *_), r in zip(rows, got):
-        q = r.quality
+        q = r.quality_
         assert (r.doc_id, q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words, q.base_failed) == (key, *base(text))
         assert not (q.base_failed and q.kept)
 

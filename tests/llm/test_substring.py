@@ -46,8 +46,12 @@ def test_matches_brute_force(spark, monkeypatch):
         monkeypatch.setattr(substring, "SOURCE_BYTES", size)
         docs = spark.createDataFrame(rows, "doc_id long, text string, repeats string").repartition(3)
         found = substring.remove_repeats(docs, window)
-        got = sorted(((r.doc_id, r.repeats.n_words, r.repeats.n_removed, r.repeats.kept) for r in found.collect()), key=str)
+        assert found.columns == ["doc_id", "text", "repeats", "repeats_"]
+        got = sorted(((r.doc_id, r.repeats_.n_words, r.repeats_.n_removed, r.repeats_.kept) for r in found.collect()), key=str)
         assert got == brute(rows, window)
+        assert sorted(found.select("doc_id", "text", "repeats").collect(), key=str) == sorted(docs.collect(), key=str)
+        left = substring.without_repeats(found)
+        assert left.columns == docs.columns and left.filter("repeats is null").count() == 0
 
 
 def test_empty_table(spark):
