@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hammerline.llm.common import stored
+from hammerline.llm.common import discard, stored
 
 
 def _star(links: DataFrame, both: bool) -> DataFrame:
@@ -21,7 +21,9 @@ def _star(links: DataFrame, both: bool) -> DataFrame:
     else:  # u and its smaller neighbours go to u's least
         found = around.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         found = found.union(least.select("u", F.col("m").alias("v")))
-    return found.filter("u <> v").distinct()
+    found = stored(found.filter("u <> v").distinct(), "star")
+    discard(least)
+    return found
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -35,7 +37,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     links = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = None
     while True:
-        links = stored(_star(stored(_star(links, True), "star"), False), "star")
+        larger = _star(links, True)
+        discard(links)
+        links = _star(larger, False)
+        discard(larger)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hammerline.llm.common import stored
+from hammerline.llm.common import released, rows_of, stored
 from hammerline.llm.components import connected_components
 
 SEED = 42
@@ -39,15 +39,16 @@ def _signed(value: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """(id, fp): the 64-bit fingerprint of every whole text, as a signed long."""
+    """(id, x, fp): the 64-bit fingerprint of every whole text, as a signed long, and the text's own hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [_signed(simhash64(t.as_py(), shingle_words)) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            fps = [_signed(simhash64(t.as_py(), shingle_words)) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], ["id", "x", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "id long, fp long")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("x"), text.alias("t"))
+    return rows.mapInArrow(released(run), "id long, x long, fp long")
 
 
 def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
@@ -86,6 +87,13 @@ def near_duplicates(
     collapsed to one fingerprint before anything is emitted, so a hot group of copies costs one row.
     """
     prints = stored(fingerprints(docs, id_col, text_col, shingle_words), "prints")
+    return _components(prints, radius).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
+    )
+
+
+def _components(prints: DataFrame, radius: int) -> DataFrame:
+    """prints (id, x, fp) with component (a fingerprint; components may share an id), component_id and n_links."""
     classes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     links = stored(ball_links(classes.select("fp"), radius), "balls")
     parts = connected_components(links)
@@ -93,26 +101,23 @@ def near_duplicates(
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ends = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node")))
     degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
-    linked = named.join(least, "component").join(degree, "node").select(F.col("node").alias("fp"), "component_id", "n_links")
+    linked = named.join(least, "component").join(degree, "node").select(F.col("node").alias("fp"), "component", "component_id", "n_links")
     known = classes.join(linked, "fp", "left").select(
         "fp",
+        F.coalesce("component", "fp").alias("component"),
         F.coalesce("component_id", "least").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
     known = stored(known, "known")
-    return prints.join(known, "fp").select(
-        F.col("id").alias(id_col),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id",
-        "n_links",
-    )
+    return prints.join(known, "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2) -> DataFrame:
-    """docs with one document of each component of near-duplicates: the one with the smallest id, once.
-    Rows with a null id stay, one of each different text."""
+    """docs with one row of each component of near-duplicates: of the smallest id, and of its texts in the
+    component the one of least hash. Different texts of one id are rows of their own. Rows with a null id
+    stay, one of each different text."""
     named = docs.filter(F.col(id_col).isNotNull())
-    found = near_duplicates(named, id_col, text_col, shingle_words, radius)
-    least = found.select(F.col("component_id").alias(id_col)).distinct()
-    kept = named.join(least, id_col, "left_semi").dropDuplicates([id_col])
+    prints = stored(fingerprints(named, id_col, text_col, shingle_words), "prints")
+    chosen = _components(prints, radius).groupBy("component").agg(F.min(F.struct("id", "x")).alias("least")).select("least.*")
+    kept = rows_of(named, stored(chosen, "chosen"), id_col, text_col)
     return kept.unionByName(docs.filter(F.col(id_col).isNull()).dropDuplicates([text_col]))

@@ -4,8 +4,6 @@ import math
 import re
 from collections import Counter
 
-import xxhash
-
 from hammerline.llm import quality as q
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -51,21 +49,21 @@ def quality(docs):
     return {k: t for k, t in docs.items() if keeps(t)}
 
 
-def fingerprint(text):
+def shingle_set(text):
     words = split("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    k = min(3, len(words))
-    hs = [xxhash.xxh64_intdigest(" ".join(words[i : i + k]).encode(), 42) for i in range(len(words) - k + 1)] if words else []
-    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs)) if hs else 0
+    k = min(5, len(words))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
 
 
 def near_dedup(docs):
-    fps, group = {k: fingerprint(t) for k, t in docs.items()}, {k: k for k in docs}
+    """One of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles."""
+    found, group = {k: shingle_set(t) for k, t in docs.items()}, {k: k for k in docs}
     changed = True
     while changed:
         changed = False
         for a in docs:
             for b in docs:
-                if (fps[a] ^ fps[b]).bit_count() <= 2 and group[a] < group[b]:
+                if group[a] < group[b] and 5 * len(found[a] & found[b]) >= 4 * len(found[a] | found[b]):
                     group[b], changed = group[a], True
     return {k: t for k, t in docs.items() if group[k] == k}
 

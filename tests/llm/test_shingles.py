@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from hammerline.llm import shingles
+from hammerline.llm import shingles, simhash, substring
 from tests.llm import brute
 
 
@@ -49,9 +49,8 @@ def test_edited_copies_go_as_by_brute_force(spark, monkeypatch):
     assert 45 < len(want) < len(docs) - 60
     table = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in docs.items()], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, table, "").collect()) == sorted(want)
-    known = len(shingles._frequent(table))
-    monkeypatch.setattr(shingles, "LAST", 60)  # only the most frequent are known, which is no less right
-    assert 0 < len(shingles._frequent(table)) <= 60 < known
+    monkeypatch.setattr(substring, "SOURCE_BYTES", 4000)  # many sources and slices
+    monkeypatch.setattr(shingles, "SLICE_SHINGLES", 300)
     assert sorted(r.doc_id for r in shingles.keep_one(table).collect()) == sorted(want)
 
 
@@ -59,3 +58,6 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(7, "a b c d"), (7, "A b c d"), (None, "a b c d"), (None, "a b c d"), (9, "a b  c d"), (3, "x y z")], "doc_id long, text string")
     assert sorted(r.doc_id or -1 for r in shingles.keep_one(df).collect()) == [-1, 3, 7]
     assert shingles.keep_one(df.limit(0)).count() == 0
+    two = spark.createDataFrame([(1, "one text of its own", "a"), (1, "quite another thing here", "b"), (1, "one text of its own", "c"), (2, "one  text of its own", "d")], "doc_id long, text string, __x string")
+    for keep in (shingles.keep_one, simhash.keep_one):
+        assert sorted(r.text for r in keep(two).collect()) == ["one text of its own", "quite another thing here"] and keep(two).columns == two.columns
