@@ -116,7 +116,7 @@ def integrity(specs: DataFrame) -> DataFrame:
     rules = {
         "euro_conflict": euro_conflict(),
         "euro_year": euro_year_invalid(),
-        "fineness_range": F.coalesce((F.col("fineness_per_mille") <= 0) | (F.col("fineness_per_mille") > 900), F.lit(False)),
+        "fineness_range": F.coalesce((F.col("fineness_per_mille") <= 0) | (F.col("fineness_per_mille") > 1000), F.lit(False)),
         "no_year": anchor_year().isNull(),
     }
     codes = F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()]))

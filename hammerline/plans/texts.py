@@ -43,8 +43,8 @@ add("variant_matches", lambda s, f: d.table(s, f, "part").select("p_partkey", t.
 _raw = lambda: F.concat(F.lit("EUR "), F.when(F.col("p_partkey") % 4 == 0, F.format_number(F.col("p_retailprice"), 2)).when(F.col("p_partkey") % 4 == 1, F.translate(F.format_number(F.col("p_retailprice"), 2), ",.", ".,")).when(F.col("p_partkey") % 4 == 2, F.lit("1.234.567")).otherwise(F.lit("12,5")))
 add("parse_number", lambda s, f: market.r4(d.table(s, f, "part").select("p_partkey", t.parse_number(_raw()).alias("value"))),
     "SELECT p_partkey, round(CASE p_partkey % 4 WHEN 2 THEN 1234567 WHEN 3 THEN 12.5 ELSE round(p_retailprice, 2) END + 1e-7, 4)::DOUBLE AS value FROM part")
-add("parse_year", lambda s, f: _docs(s, f).select("doc_id", t.parse_year(F.concat_ws(" ", F.substring("text", 1, 40), F.lit("1899"), (F.lit(900) + F.col("doc_id")).cast("string"))).alias("year")),
-    "SELECT doc_id, CAST(list_extract(regexp_extract_all(substring(text, 1, 40) || ' 1899 ' || (900 + doc_id), '\\b(1[0-9]{3}|2[01][0-9]{2})\\b', 1), -1) AS INTEGER) AS year FROM documents")
+add("parse_year", lambda s, f: _docs(s, f).select("doc_id", t.parse_year(F.col("text")).alias("year")),
+    "SELECT doc_id, CAST(list_extract(regexp_extract_all(text, '\\b(1[0-9]{3}|2[01][0-9]{2})\\b', 1), -1) AS INTEGER) AS year FROM documents")
 _label = lambda: F.concat(F.element_at(F.array(*map(F.lit, ("1/2 Dollar", "0,5 Euro", "1000 Lire", "25 Cents", "no unit", "2.5 Francs"))), (F.col("p_partkey") % 6 + 1).cast("int")), F.lit(" "), F.col("p_name"))
 add("parse_denomination", lambda s, f: d.table(s, f, "part").select("p_partkey", *[c.alias(n) for c, n in zip(t.parse_denomination(F.regexp_replace(_label(), ",", ".")), ("value", "unit"))]),
     "SELECT p_partkey, list_extract([0.5, 0.5, 1000, 25, NULL, 2.5]::DOUBLE[], CAST(p_partkey % 6 + 1 AS INTEGER)) AS value, list_extract(['dollar', 'euro', 'lira', 'cent', NULL, 'franc'], CAST(p_partkey % 6 + 1 AS INTEGER)) AS unit FROM part")

@@ -91,7 +91,7 @@ add(
     lambda s, f: (lambda o: o.filter("dealer_id % 2 = 0").select("target_id", "url").union(o.filter("score > 0.5").select("target_id", "url")).distinct().groupBy("target_id").agg(F.count("*").alias("n")))(offers(s, f)),
     f"WITH {OFFERS} SELECT target_id, count(*) AS n FROM (SELECT target_id, url FROM offers WHERE dealer_id % 2 = 0 UNION SELECT target_id, url FROM offers WHERE score > 0.5) GROUP BY ALL",
 )
-add("public_projection", lambda s, f: r4(offers(s, f).drop("score", "dealer_id", "title").filter("seq <= 3")), f"WITH {OFFERS} SELECT target_id, seq, url, round(price, 4) AS price, round(shipping, 4) AS shipping, round(total, 4) AS total FROM offers WHERE seq <= 3")
+add("public_projection", lambda s, f: r4(offers(s, f).drop("score", "dealer_id", "title")), f"WITH {OFFERS} SELECT target_id, seq, url, round(price, 4) AS price, round(shipping, 4) AS shipping, round(total, 4) AS total FROM offers")
 add(
     "target_currency_prices",
     lambda s, f: r4(offers(s, f).select("target_id", "seq", (F.col("price") / 1.08).alias("eur_price"), (F.col("total") / 1.08).alias("eur_total"))),
@@ -189,7 +189,7 @@ add(
     "integrity_audit",
     lambda s, f: specs.integrity(d.specs(s, f)),
     f"""WITH {AUDIT}, v AS (SELECT id, 'euro_conflict' AS code FROM audit WHERE conflict UNION ALL SELECT id, 'euro_year' FROM audit WHERE bad_year
-      UNION ALL SELECT id, 'fineness_range' FROM audit WHERE fineness_per_mille <= 0 OR fineness_per_mille > 900 UNION ALL SELECT id, 'no_year' FROM audit WHERE anchor IS NULL)
+      UNION ALL SELECT id, 'fineness_range' FROM audit WHERE fineness_per_mille <= 0 OR fineness_per_mille > 1000 UNION ALL SELECT id, 'no_year' FROM audit WHERE anchor IS NULL)
     SELECT code, count(*) AS n, min(id) AS example FROM v GROUP BY code""",
 )
 add(
