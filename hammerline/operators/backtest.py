@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from hammerline.operators import valuation
 
 
-def run_backtest(comparables: DataFrame, every: int = 10) -> DataFrame:
-    """A row a case: each lot whose seq is divisible by `every` is valued from the earlier sales of its target,
-    by the median of their prices, and scored against its own price. Sales of the same day or later are
+def run_backtest(comparables: DataFrame) -> DataFrame:
+    """A row a case: each sold lot with a price and a day is valued from the earlier sales of its target, by the median of their prices, and scored against its own price. Sales of the same day or later are
     never seen. Cases without earlier sales stay, unscored.
 
     The past of a case is a window over its target in order of the day, so all cases are one job."""
@@ -18,10 +17,9 @@ def run_backtest(comparables: DataFrame, every: int = 10) -> DataFrame:
     days = F.datediff("auction_date", F.lit("1990-01-01").cast("date"))
     past = Window.partitionBy("target_id").orderBy(days).rangeBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("past_n", F.count("price").over(past)).withColumn("predicted", F.percentile("price", 0.5).over(past))
-    cases = rows.filter(F.col("seq") % every == 0)
     error = F.abs(F.col("predicted") - F.col("price")) / F.col("price")
     label = F.when(F.col("past_n") >= 10, "HIGH").when(F.col("past_n") >= 3, "MEDIUM").when(F.col("past_n") >= 1, "LOW").otherwise("NONE")
-    return cases.select("target_id", "seq", "past_n", "price", "predicted", error.alias("pct_error"), label.alias("label"), (error <= 0.25).alias("within"))
+    return rows.select("target_id", "seq", "past_n", "price", "predicted", error.alias("pct_error"), label.alias("label"), (error <= 0.25).alias("within"))
 
 
 def backtest_report(cases: DataFrame) -> DataFrame:

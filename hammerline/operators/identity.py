@@ -1,4 +1,4 @@
-"""Identities of texts: exact aliases first, then similar ones within blocks; candidates and overrides."""
+"""Identities of texts: exact aliases first, then similar ones; candidates and overrides."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -20,28 +20,57 @@ def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+#: Letters from rare to frequent, so that strings meet on few of them; any order finds the same pairs.
+RARE_FIRST = "zqxjkvbpygfwmucldrhsnioate "
+PLACES = "abcdefghijklmnopqrstuvwxyz~"
+
+
+def word_runs(texts: DataFrame, id_col: str, text_col: str, name: str, longest: int = 3) -> DataFrame:
+    """(id_col, name): a text's runs of one to `longest` words in normal form, distinct within the text."""
+    words = texts.select(id_col, F.array_remove(F.split(t.norm(F.col(text_col)), " "), "").alias("w"))
+    return words.select(id_col, F.explode(F.array_distinct(F.flatten(F.array(*map(_runs, range(1, longest + 1)))))).alias(name))
+
+
 def exact_alias(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str, longest: int = 3) -> DataFrame:
     """(id_col, alias, target): aliases that a text holds as whole words, found by an equi-join of the text's
     runs of one to `longest` words, distinct within the text, so that no text meets an alias it doesn't hold."""
-    words = texts.select(id_col, F.array_remove(F.split(t.norm(F.col(text_col)), " "), "").alias("w"))
-    runs = [_runs(n) for n in range(1, longest + 1)]
-    found = words.select(id_col, F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("alias"))
-    return found.join(aliases, "alias")
+    return word_runs(texts, id_col, text_col, "alias", longest).join(aliases, "alias")
 
 
 def _runs(n: int):
     return F.transform("w", lambda x, i: F.array_join(F.slice("w", i + 1, F.lit(n)), " "))
 
 
+def _letters(text: Column) -> Column:
+    """A string's characters in one common order, each with how many of it stand before: all different."""
+    chars = F.array_sort(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(F.translate(text, RARE_FIRST, PLACES), i, F.lit(1))))
+    return t.let(chars, lambda s: F.transform(s, lambda c, i: F.concat(c, (i + 1 - F.array_position(s, c)).cast("string"))))
+
+
+def _met_by(rows: DataFrame, text: str, least: float) -> DataFrame:
+    """rows with letters, and a row for each of the first ones (letter), on one of which any two similar strings meet."""
+    n = F.length(text)
+    fewest = F.ceil(n * (least / (2 - least)) - 1e-9).cast("int")
+    return rows.withColumn("letters", _letters(F.col(text))).withColumn("letter", F.explode(F.slice("letters", F.lit(1), n - fewest + 1)))
+
+
 def similar_alias(words: DataFrame, aliases: DataFrame, word_col: str, least: float = 0.82) -> DataFrame:
-    """(word_col, alias, target, ratio): for each distinct word the most similar alias of five letters or more,
-    if similar enough. Only pairs with the same first letter and lengths within two of each other are
-    compared; pairs beyond these blocks are missed, which is what makes the job an equi-join."""
-    w = words.select(word_col).filter(F.length(word_col) >= 4).distinct()
-    w = w.withColumn("first", F.substring(word_col, 1, 1)).withColumn("size", F.explode(F.array(*[F.length(word_col) + k for k in range(-2, 3)])))
-    a = aliases.filter(F.length("alias") >= 5).withColumn("first", F.substring("alias", 1, 1)).withColumn("size", F.length("alias"))
-    pairs = w.join(a, ["first", "size"]).withColumn("ratio", similarity(F.col(word_col), F.col("alias"))).filter(F.col("ratio") >= least)
-    best = pairs.groupBy(word_col).agg(F.max_by(F.struct("alias", "target", "ratio"), F.struct("ratio", "alias")).alias("b"))
+    """(word_col, alias, target, ratio): for each distinct string the most similar alias of five letters or more,
+    if its ratio is at least `least`; of equally similar ones the last in order.
+
+    No such pair is missed. A ratio of r takes r/2 of both lengths in common letters, so neither is shorter
+    than r/(2-r) of the other and each shares at least that part of its own letters. Put in one common order,
+    the letters before the last such part then hold one that both have (prefix filtering): an equi-join.
+    Those with enough common letters are compared. aliases is a dimension table; only its greatest length
+    comes to the driver, by which strings too long for any alias are left out first."""
+    some = aliases.filter(F.length("alias") >= 5)
+    longest = some.agg(F.max(F.length("alias"))).first()[0] or 0
+    w = words.select(word_col).filter(F.length(word_col).between(1, int(longest * (2 - least) / least + 1e-9))).distinct()
+    w, a = _met_by(w, word_col, least), _met_by(some, "alias", least).withColumnRenamed("letters", "theirs")
+    both = (F.length(word_col) + F.length("alias")) * (least / 2) - 1e-9
+    met = w.join(a, "letter").filter((F.least(F.length(word_col), F.length("alias")) >= both) & (F.size(F.array_intersect("letters", "theirs")) >= both))
+    pairs = met.select(word_col, "alias", "target").distinct().withColumn("ratio", similarity(F.col(word_col), F.col("alias"))).filter(F.col("ratio") >= least)
+    best = pairs.groupBy(word_col).agg(F.max_by(F.struct("alias", "target", "ratio"), F.struct("ratio", "alias", "target")).alias("b"))
     return best.select(word_col, "b.alias", "b.target", "b.ratio")
 
 

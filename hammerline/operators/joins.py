@@ -46,12 +46,17 @@ def best_tariff(offers: DataFrame, tariffs: DataFrame) -> DataFrame:
 
 
 def best_spec(targets: DataFrame, specs: DataFrame) -> DataFrame:
-    """targets (target_id, country, denomination, year) with the spec of their country and denomination whose
-    years hold theirs (open where null): verified first, then the most confident, then the least id."""
-    s = specs.withColumn("unit", F.round(F.col("denomination_value") * 1000).cast("long"))
-    t = targets.withColumn("unit", F.round(F.col("denomination") * 1000).cast("long"))
+    """targets (target_id, country, denomination, year) with the spec of their country and denomination (less than
+    0.0001 apart) whose years hold theirs (open where null): verified first, then the most confident, then the
+    least id.
+
+    Denominations meet in buckets of 0.001; a spec near the edge of its bucket is in the next one too."""
+    bucket = lambda value: F.floor(value * 1000 + 0.5).cast("long")
+    value, edge = F.col("denomination_value"), 0.00011
+    s = specs.withColumn("unit", F.explode(F.array_distinct(F.array(bucket(value - edge), bucket(value + edge)))))
+    t = targets.withColumn("unit", bucket(F.col("denomination")))
     on = [F.lower("t.country") == F.lower("s.country"), F.col("t.unit") == F.col("s.unit")]
-    fits = (F.col("t.year") >= F.coalesce("s.year_from", F.lit(0))) & (F.col("t.year") <= F.coalesce("s.year_to", F.lit(9999)))
+    fits = (F.abs(F.col("t.denomination") - F.col("s.denomination_value")) < 1e-4) & (F.col("t.year") >= F.coalesce("s.year_from", F.lit(0))) & (F.col("t.year") <= F.coalesce("s.year_to", F.lit(9999)))
     found = t.alias("t").join(s.alias("s"), on).filter(fits).groupBy("t.target_id").agg(
         F.max_by(F.struct("s.id", "s.weight_g", "s.diameter_mm", "s.primary_metal"), F.struct("s.verified", "s.confidence", -F.col("s.id"))).alias("b"))
     return targets.join(found.select("target_id", F.col("b.id").alias("spec_id"), "b.weight_g", "b.diameter_mm", "b.primary_metal"), "target_id", "left")

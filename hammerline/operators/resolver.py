@@ -26,12 +26,12 @@ def _facts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _hits(facts: DataFrame, aliases: DataFrame) -> DataFrame:
     """(key, alias, the alias table's columns, strength): exact aliases; where a text has none of a country (or none
-    of a currency), aliases that resemble one of its words, weaker by their ratio."""
+    of a currency), aliases that resemble one of its runs of up to three words, weaker by their ratio."""
     exact = identity.exact_alias(facts, aliases, "key", "norm").withColumn("strength", F.when(F.col("kind") == "subunit", 0.92).otherwise(1.0))
     found = exact
     for kinds, least, weight in ((["country"], 0.84, 0.86), (["currency", "special"], 0.80, 0.88)):
         known = exact.filter(F.col("kind").isin(*kinds, *(["subunit"] if "currency" in kinds else []))).select("key").distinct()
-        words = facts.join(known, "key", "left_anti").select("key", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
+        words = identity.word_runs(facts.join(known, "key", "left_anti"), "key", "norm", "word")
         some = aliases.filter(F.col("kind").isin(kinds))
         near = identity.similar_alias(words, some.select("alias", F.lit("").alias("target")).distinct(), "word", least).select("word", "alias", "ratio")
         close = words.join(near, "word").join(some, "alias").withColumn("strength", F.col("ratio") * weight)

@@ -27,8 +27,15 @@ def aliases(s, f):
     return nation.union(words)
 
 
+def _phrases(s, f):
+    """Runs of one to three words of all documents, turns and names of nations, and those names misspelt."""
+    names = d.table(s, f, "nation").select(F.lower("n_name").alias("n"), F.explode(F.array(F.lower("n_name"), F.concat(F.lower("n_name"), F.lit("x")), F.regexp_replace(F.lower("n_name"), "[aeiou]", ""))).alias("word"))
+    runs = identity.word_runs(d.table(s, f, "documents"), "doc_id", "text", "word").union(identity.word_runs(d.table(s, f, "conversations"), "conv_id", "text", "word"))
+    return runs.select("word").union(names.select("word"))
+
+
 _WORDS = f"w AS (SELECT doc_id, list_filter(string_split({texts._NORM.format('text')}, ' '), lambda x: x <> '') AS ws FROM documents)"
-add("fuzzy_alias_match", lambda s, f: identity.similar_alias(d.table(s, f, "nation").select(F.explode(F.array(F.lower("n_name"), F.concat(F.lower("n_name"), F.lit("x")), F.regexp_replace(F.lower("n_name"), "[aeiou]", ""))).alias("word")), aliases(s, f), "word"))
+add("fuzzy_alias_match", lambda s, f: identity.similar_alias(_phrases(s, f), aliases(s, f), "word"))
 add("similarity", lambda s, f: r4(d.table(s, f, "part").select("p_partkey", identity.similarity(F.lower("p_name"), F.lower("p_type")).alias("ratio"))))
 add(
     "issuer_join",

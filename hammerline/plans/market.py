@@ -315,7 +315,7 @@ CASES = f"""{d.COMPARABLES_SQL}, {PRICED}, {ELIGIBLE},
 cases0 AS (SELECT target_id, seq, price, count(price) OVER past AS past_n, quantile_cont(price, 0.5) OVER past AS predicted FROM eligible
   WINDOW past AS (PARTITION BY target_id ORDER BY auction_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)),
 cases AS (SELECT *, abs(predicted - price) / price AS pct_error, abs(predicted - price) / price <= 0.25 AS within,
-    CASE WHEN past_n >= 10 THEN 'HIGH' WHEN past_n >= 3 THEN 'MEDIUM' WHEN past_n >= 1 THEN 'LOW' ELSE 'NONE' END AS label FROM cases0 WHERE seq % 10 = 0)"""
+    CASE WHEN past_n >= 10 THEN 'HIGH' WHEN past_n >= 3 THEN 'MEDIUM' WHEN past_n >= 1 THEN 'LOW' ELSE 'NONE' END AS label FROM cases0)"""
 add("run_backtest", lambda s, f: r4(backtest.run_backtest(d.comparables(s, f))), f"WITH {CASES} SELECT {cols('target_id seq past_n label within', 'price', 'predicted', 'pct_error')} FROM cases")
 _REPORT = "count(*) AS cases, count(pct_error) AS scored, round(avg(within::INT), 4) AS hit_rate, round(avg(pct_error), 4) AS mean_error, round(-quantile_disc(-pct_error, 0.5), 4) AS median_error"
 add("backtest_report", lambda s, f: r4(backtest.backtest_report(backtest.run_backtest(d.comparables(s, f)))), f"WITH {CASES} SELECT label, {_REPORT} FROM cases GROUP BY label UNION ALL SELECT NULL, {_REPORT} FROM cases")

@@ -1,3 +1,6 @@
+import difflib
+import random
+
 from pyspark.sql import functions as F
 
 from hammerline.operators import identity, listings
@@ -12,6 +15,28 @@ def test_similarity_and_blocks(spark):
     assert [r.s for r in row] == [0.75, None]
 
 
+def test_similar_aliases_are_those_of_all_pairs(spark):
+    rng = random.Random(11)
+    spell = lambda: "".join(rng.choice("abcdeors ") for _ in range(rng.randint(3, 11)))
+    names = sorted({" ".join(spell().split()) for _ in range(60)} | {"croatia", "new zealand", "aaaaaa", "ab12.5/x"})
+    words = {" ".join(spell().split()) for _ in range(300)} | {"kroatia", "new zeland", "aaaaa", "", "a" * 500, "ab12.5/y"}
+    for name in names:
+        k = rng.randrange(len(name) + 1)
+        words |= {name[:k] + name[k + 1 :], name[:k] + "z" + name[k:], rng.choice("abcz") + name[1:], name + name[:2]}
+    for least in (0.8, 0.82):
+        ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+        expected = {}
+        for w in words:
+            near = [(ratio(w, a), a) for a in names if len(a) >= 5 and ratio(w, a) >= least]
+            if near:
+                expected[w] = max(near)
+        df = identity.similar_alias(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(a, "t") for a in names], "alias string, target string"), "word", least)
+        assert {r.word: (r.ratio, r.alias) for r in df.collect()} == expected
+        assert len(expected) > 60 and expected["kroatia"][1] == "croatia" and expected["new zeland"][1] == "new zealand"
+    none = spark.createDataFrame([], "alias string, target string")
+    assert identity.similar_alias(spark.createDataFrame([("x",)], "word string"), none, "word").count() == 0
+
+
 def test_exact_alias_takes_whole_words(spark):
     aliases = spark.createDataFrame([("new york", "NY"), ("york", "Y")], "alias string, target string")
     texts = spark.createDataFrame([(1, "In New-York, new york"), (2, "Yorkshire"), (3, None)], "id int, text string")

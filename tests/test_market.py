@@ -1,10 +1,11 @@
+import datetime
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from hammerline.operators import advice, joins, matching, stats, valuation
+from hammerline.operators import advice, backtest, joins, matching, stats, valuation
 
 
 def sample(spark, prices, weights=None):
@@ -103,3 +104,21 @@ def test_upserts_are_idempotent(spark):
     once = joins.upsert(old, new, ["k"])
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, joins.upsert(once, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert sorted(map(tuple, joins.insert_new(old, new, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
+
+
+def test_specs_join_by_difference(spark):
+    values = [0.0331, 0.0334, 0.03345, 0.03355, 0.5, 0.50009, 0.50011, 2.0]
+    specs = spark.createDataFrame([(k, "AT", v, None, None, True, 0.5, float(k), 1.0, "x") for k, v in enumerate(values)], "id long, country string, denomination_value double, year_from int, year_to int, verified boolean, confidence double, weight_g double, diameter_mm double, primary_metal string")
+    wanted = [0.0331, 0.0334, 0.0333, 0.03351, 0.49995, 0.5001, 1.9999, 2.00005, None]
+    targets = spark.createDataFrame([(k, "at", v, 2000) for k, v in enumerate(wanted)], "target_id long, country string, denomination double, year int")
+    got = {r.target_id: r.spec_id for r in joins.best_spec(targets, specs).collect()}
+    near = lambda w: min((k for k, v in enumerate(values) if w is not None and abs(v - w) < 1e-4), default=None)
+    assert got == {k: near(w) for k, w in enumerate(wanted)}
+
+
+def test_every_sale_is_a_case(spark):
+    day = lambda k: datetime.date(2020, 1, 1) + datetime.timedelta(days=k)
+    rows = [(1, k, "HAMMER", float(p), None, False, False, day(n)) for k, (p, n) in enumerate([(100, 0), (110, 1), (130, 1), (200, 5)])] + [(1, 9, "HAMMER", 5.0, None, False, True, day(0))]
+    sales = spark.createDataFrame(rows, "target_id int, seq int, price_semantics string, hammer_price double, realized_price double, withdrawn boolean, unsold boolean, auction_date date")
+    got = {r.seq: (r.past_n, r.predicted) for r in backtest.run_backtest(sales).collect()}
+    assert got == {0: (0, None), 1: (1, 100.0), 2: (1, 100.0), 3: (3, 110.0)}
