@@ -24,8 +24,9 @@ def asof_rates(sales: DataFrame, rates: DataFrame) -> DataFrame:
 
 def best_tariff(offers: DataFrame, tariffs: DataFrame) -> DataFrame:
     """offers (offer_id, dealer, destination, price, weight) with the cost of the best fitting tariff: nearest
-    destination first, then the narrowest price band, then the narrowest weight band. A tariff of another
-    destination fits as European Union, Europe or World; null bounds are open; free shipping costs 0."""
+    destination first, then the narrowest price band, then the narrowest weight band, which is wider than any if it
+    lacks a bound. A tariff of another destination fits as European Union, Europe or World; null bounds are open,
+    but an offer without a weight fits no tariff with a bound of weight; free shipping costs 0."""
     place = (
         F.when(F.col("t.destination") == F.col("o.destination"), 0)
         .when((F.col("t.destination") == "European Union") & F.col("o.is_eu"), 1)
@@ -36,11 +37,12 @@ def best_tariff(offers: DataFrame, tariffs: DataFrame) -> DataFrame:
     fits = (
         (F.col("o.price") >= F.coalesce("t.price_min", F.lit(0.0))) & (F.col("o.price") <= F.coalesce("t.price_max", inf))
         & (F.col("t.weight_max").isNull() | (F.col("o.weight") <= F.col("t.weight_max")))
+        & (F.col("t.weight_min").isNull() | (F.col("o.weight") >= F.col("t.weight_min")))
     )
     found = offers.alias("o").join(tariffs.alias("t"), F.col("o.dealer_group") == F.col("t.dealer_group")).filter(fits & place.isNotNull())
     span = F.coalesce("t.price_max", inf) - F.coalesce("t.price_min", F.lit(0.0))
     best = found.groupBy("o.offer_id").agg(
-        F.min_by(F.struct(F.when(F.col("t.free"), 0.0).otherwise(F.col("t.cost")).alias("cost"), F.col("t.tariff_id").alias("tariff_id")), F.struct(place, span, F.coalesce("t.weight_max", inf), F.col("t.tariff_id"))).alias("b")
+        F.min_by(F.struct(F.when(F.col("t.free"), 0.0).otherwise(F.col("t.cost")).alias("cost"), F.col("t.tariff_id").alias("tariff_id")), F.struct(place, span, F.coalesce(F.col("t.weight_max") - F.col("t.weight_min"), inf), F.col("t.tariff_id"))).alias("b")
     )
     return offers.join(best.select("offer_id", "b.cost", "b.tariff_id"), "offer_id", "left")
 

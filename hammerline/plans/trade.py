@@ -114,13 +114,14 @@ def tariffs(s: SparkSession) -> DataFrame:
     return s.range(60).select(
         n.alias("tariff_id"), (n % 5).alias("dealer_group"), place.alias("destination"),
         F.when(n % 3 != 0, (n % 7 * 100).cast("double")).alias("price_min"), F.when(n % 4 != 3, (n % 7 * 100 + 900).cast("double")).alias("price_max"),
-        F.when(n % 2 == 0, (n % 6 * 10 + 5).cast("double")).alias("weight_max"), (n % 11 + 2.5).alias("cost"), (n % 13 == 0).alias("free"),
+        F.when(n % 4 == 0, (n % 6 * 10 - 5).cast("double")).when(n % 8 == 3, 20.0).alias("weight_min"), F.when(n % 2 == 0, (n % 6 * 10 + 5).cast("double")).alias("weight_max"),
+        (n % 11 + 2.5).alias("cost"), (n % 13 == 0).alias("free"),
     )
 
 
 TARIFFS = """tariffs AS (SELECT n AS tariff_id, n % 5 AS dealer_group, list_extract(['FRANCE', 'European Union', 'Europe', 'World'], CAST(n % 4 + 1 AS INTEGER)) AS destination,
     CASE WHEN n % 3 <> 0 THEN (n % 7 * 100)::DOUBLE END AS price_min, CASE WHEN n % 4 <> 3 THEN (n % 7 * 100 + 900)::DOUBLE END AS price_max,
-    CASE WHEN n % 2 = 0 THEN (n % 6 * 10 + 5)::DOUBLE END AS weight_max, n % 11 + 2.5::DOUBLE AS cost, n % 13 = 0 AS free FROM range(60) t(n))"""
+    CASE WHEN n % 4 = 0 THEN (n % 6 * 10 - 5)::DOUBLE WHEN n % 8 = 3 THEN 20.0::DOUBLE END AS weight_min, CASE WHEN n % 2 = 0 THEN (n % 6 * 10 + 5)::DOUBLE END AS weight_max, n % 11 + 2.5::DOUBLE AS cost, n % 13 = 0 AS free FROM range(60) t(n))"""
 EU, EUROPE = ("FRANCE", "GERMANY", "ROMANIA"), ("FRANCE", "GERMANY", "ROMANIA", "UNITED KINGDOM", "RUSSIA")
 
 
@@ -132,15 +133,15 @@ def _shipped(s: SparkSession, f: str) -> DataFrame:
     return rows.withColumn("is_eu", F.col("destination").isin(*EU)).withColumn("is_europe", F.col("destination").isin(*EUROPE))
 
 
-SHIPPED = f"""{OFFERS}, {TARIFFS}, shipped AS (SELECT target_id || '-' || seq AS offer_id, dealer_id % 5 AS dealer_group, upper(n_name) AS destination, price,
+SHIPPED = f"""{OFFERS}, {TARIFFS}, shipped AS (SELECT target_id, seq, dealer_id % 5 AS dealer_group, upper(n_name) AS destination, price,
     CASE WHEN seq % 3 <> 0 THEN (target_id % 60)::DOUBLE END AS weight FROM offers JOIN nation ON n_nationkey = seq % 25),
-placed AS (SELECT s.offer_id, t.tariff_id, CASE WHEN t.free THEN 0 ELSE t.cost END AS cost, coalesce(price_max, 'inf'::DOUBLE) - coalesce(price_min, 0) AS span, coalesce(weight_max, 'inf'::DOUBLE) AS wm,
+placed AS (SELECT s.target_id, s.seq, t.tariff_id, CASE WHEN t.free THEN 0 ELSE t.cost END AS cost, coalesce(price_max, 'inf'::DOUBLE) - coalesce(price_min, 0) AS span, coalesce(weight_max - weight_min, 'inf'::DOUBLE) AS wm,
     CASE WHEN t.destination = s.destination THEN 0 WHEN t.destination = 'European Union' AND s.destination IN {EU} THEN 1 WHEN t.destination = 'Europe' AND s.destination IN {EUROPE} THEN 2 WHEN t.destination = 'World' THEN 3 END AS place
-  FROM shipped s JOIN tariffs t USING (dealer_group) WHERE price >= coalesce(price_min, 0) AND price <= coalesce(price_max, 'inf'::DOUBLE) AND (weight_max IS NULL OR weight <= weight_max)),
-best AS (SELECT * FROM placed WHERE place IS NOT NULL QUALIFY row_number() OVER (PARTITION BY offer_id ORDER BY place, span, wm, tariff_id) = 1)"""
-add("shipping_tier_join", lambda s, f: r4(joins.best_tariff(_shipped(s, f), tariffs(s)).select("offer_id", "cost", "tariff_id")), f"WITH {SHIPPED} SELECT offer_id, round(cost, 4) AS cost, tariff_id FROM shipped LEFT JOIN best USING (offer_id)")
+  FROM shipped s JOIN tariffs t USING (dealer_group) WHERE price >= coalesce(price_min, 0) AND price <= coalesce(price_max, 'inf'::DOUBLE) AND (weight_max IS NULL OR weight <= weight_max) AND (weight_min IS NULL OR weight >= weight_min)),
+best AS (SELECT target_id, seq, b.c AS cost, b.t AS tariff_id FROM (SELECT target_id, seq, arg_min({{'c': cost, 't': tariff_id}}, (place, span, wm, tariff_id)) AS b FROM placed WHERE place IS NOT NULL GROUP BY ALL))"""
+add("shipping_tier_join", lambda s, f: r4(joins.best_tariff(_shipped(s, f), tariffs(s)).select("offer_id", "cost", "tariff_id")), f"WITH {SHIPPED} SELECT target_id || '-' || seq AS offer_id, round(cost, 4) AS cost, tariff_id FROM shipped LEFT JOIN best USING (target_id, seq)")
 add("destination_priority", lambda s, f: joins.best_tariff(_shipped(s, f), tariffs(s)).groupBy("destination").agg(F.count("*").alias("n"), F.count("cost").alias("priced"), F.count_if(F.col("cost") == 0).alias("free")),
-    f"WITH {SHIPPED} SELECT destination, count(*) AS n, count(cost) AS priced, count(*) FILTER (cost = 0) AS free FROM shipped LEFT JOIN best USING (offer_id) GROUP BY ALL")
+    f"WITH {SHIPPED} SELECT destination, count(*) AS n, count(cost) AS priced, count(*) FILTER (cost = 0) AS free FROM shipped LEFT JOIN best USING (target_id, seq) GROUP BY ALL")
 
 # --- specifications ------------------------------------------------------------------------------------
 
