@@ -35,7 +35,8 @@ def age_days(as_of: str) -> Column:
 
 
 def final_weight(as_of: str, half_life: int = stats.HALF_LIFE_DAYS) -> Column:
-    return F.col("identity_match_score") / 100.0 * stats.recency_weight(age_days(as_of), half_life) * source_weight()
+    """By match, age, source and grade; a lot without a weight of its grade weighs by the others."""
+    return F.col("identity_match_score") / 100.0 * stats.recency_weight(age_days(as_of), half_life) * source_weight() * F.coalesce("grade_weight", F.lit(1.0))
 
 
 def eligible_sales(comparables: DataFrame, as_of: str) -> DataFrame:

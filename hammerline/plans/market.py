@@ -47,7 +47,7 @@ PRICED = f"priced AS (SELECT *, {_PRICE} AS price FROM comparables)"
 _AGE = f"greatest(date_diff('day', auction_date, DATE '{AS_OF}'), 0)"
 ELIGIBLE = f"""eligible AS (
   SELECT *, CASE WHEN identity_match_score >= 90 THEN 'EXACT' WHEN identity_match_score >= 75 THEN 'STRONG' ELSE 'SUPPORTING' END AS tier,
-    identity_match_score / 100.0 * pow(0.5, {_AGE} / 730.0) * CASE WHEN source = 'csv' THEN 0.8 WHEN source_url IS NOT NULL THEN 0.85 ELSE 0.65 END AS weight
+    identity_match_score / 100.0 * pow(0.5, {_AGE} / 730.0) * CASE WHEN source = 'csv' THEN 0.8 WHEN source_url IS NOT NULL THEN 0.85 ELSE 0.65 END * coalesce(grade_weight, 1) AS weight
   FROM priced WHERE NOT withdrawn AND NOT unsold AND price IS NOT NULL)"""
 
 
@@ -285,7 +285,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _G = "CASE grade_raw WHEN 'MS64' THEN 'UNC_MID' WHEN 'XF' THEN 'XF' WHEN 'VF' THEN 'VF' WHEN 'UNC' THEN 'UNC_MID' ELSE 'UNC_HIGH' END"
-PAIRS = f"""{d.COMPARABLES_SQL}, pairs AS (SELECT *, 1900 + target_id % 90 + CASE WHEN seq % 6 = 0 THEN 1 ELSE 0 END AS coin_year, 1900 + target_id % 90 AS t_year,
+PAIRS = f"""{d.COMPARABLES_SQL}, pairs AS (SELECT * EXCLUDE (grade_weight), 1900 + target_id % 90 + CASE WHEN seq % 6 = 0 THEN 1 ELSE 0 END AS coin_year, 1900 + target_id % 90 AS t_year,
     target_id % 50 + CASE WHEN seq % 9 = 0 THEN 0.5 ELSE 0 END AS denomination_value, target_id % 50 AS t_denomination,
     seq % 4 <> 0 AS same_issuer, CASE WHEN target_id % 3 <> 0 THEN 1 END AS t_issuer, {_G} AS grade_bucket,
     CASE grade_raw WHEN 'MS64' THEN 64 WHEN 'PCGS MS66' THEN 66 END AS numeric_grade, CASE WHEN grade_raw = 'PCGS MS66' THEN 'PCGS' END AS grading_company,

@@ -181,8 +181,9 @@ add(
 )
 add(
     "to_eur",
-    lambda s, f: r4(d.comparables(s, f).select("target_id", "seq", F.bround(F.col("hammer_price") / F.when(F.col("currency") == "EUR", 1.0).when(F.col("currency") == "USD", 1.25).when(F.col("currency") == "GBP", 0.8), 2).alias("eur")).withColumn("eur", F.floor("eur"))),
-    f"WITH {d.COMPARABLES_SQL} SELECT target_id, seq, CAST(floor(round_even(hammer_price / CASE currency WHEN 'EUR' THEN 1.0 WHEN 'USD' THEN 1.25 WHEN 'GBP' THEN 0.8 END::DOUBLE, 2)) AS BIGINT) AS eur FROM comparables",
+    lambda s, f: r4(d.comparables(s, f).select("target_id", "seq", F.bround(F.round(F.col("hammer_price") / F.when(F.col("currency") == "EUR", 1.0).when(F.col("currency") == "USD", 1.25).when(F.col("currency") == "GBP", 0.8), 6), 2).alias("eur"))),
+    f"WITH {d.COMPARABLES_SQL}, c AS (SELECT target_id, seq, round(hammer_price / CASE currency WHEN 'EUR' THEN 1.0 WHEN 'USD' THEN 1.25 WHEN 'GBP' THEN 0.8 END::DOUBLE * 100, 4) AS cents FROM comparables) "
+    "SELECT target_id, seq, CASE WHEN cents - floor(cents) = 0.5 THEN floor(cents) + floor(cents) % 2 ELSE round(cents) END / 100 AS eur FROM c",
 )
 add(
     "impossible_year_guard",

@@ -24,19 +24,27 @@ def _docs(s, f):
 
 _NORM = f"trim(regexp_replace(regexp_replace(replace(replace(translate(lower(coalesce({{0}}, '')), '{t.ACCENTED}', '{t.PLAIN}'), '½', ' 1/2 '), '¼', ' 1/4 '), '[^a-z0-9./]+', ' ', 'g'), ' +', ' ', 'g'))"
 _TOK = f"list_filter(list_distinct(string_split({_NORM}, ' ')), lambda x: x <> '')"
+#: Each document's words with the place where each first stands.
+_FIRST = f"firsts AS (SELECT doc_id, word, min(p) AS p FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM (SELECT doc_id, string_split({_NORM.format('text')}, ' ') AS ws FROM documents)) WHERE word <> '' GROUP BY ALL)"
 _lower = "lower(coalesce({0}, ''))"
 add("norm_identity", lambda s, f: _docs(s, f).select("doc_id", F.md5(t.norm(F.col("text"))).alias("norm_md5")), f"SELECT doc_id, md5({_NORM.format('text')}) AS norm_md5 FROM documents")
 add("transliterate_greek", lambda s, f: d.table(s, f, "part").select("p_partkey", t.transliterate_greek(F.concat(F.lit("Θεσσαλός χψ "), F.translate("p_name", "abgdek", "αβγδεκ"))).alias("latin")),
     f"SELECT p_partkey, replace(replace(replace(translate(lower('Θεσσαλός χψ ' || translate(p_name, 'abgdek', 'αβγδεκ')), '{t.GREEK}', '{t.LATIN}'), 'θ', 'th'), 'χ', 'ch'), 'ψ', 'ps') AS latin FROM part")
-add("text_variants", lambda s, f: d.table(s, f, "part").select("p_partkey", F.size(F.array_distinct(F.array(t.norm(F.col("p_name")), t.norm(F.col("p_type")), F.lower("p_name")))).alias("n")),
-    f"SELECT p_partkey, CAST(len(list_distinct([{_NORM.format('p_name')}, {_NORM.format('p_type')}, lower(p_name)])) AS INTEGER) AS n FROM part")
-add("distinct_preserving_order", lambda s, f: _docs(s, f).select("doc_id", F.size(t.tokens(F.col("text"))).alias("n_tokens")), f"SELECT doc_id, CAST(len({_TOK.format('text')}) AS INTEGER) AS n_tokens FROM documents")
+_greek = lambda: F.when(F.col("p_partkey") % 3 == 0, F.translate("p_name", "abgdek", "αβγδεκ")).otherwise(F.col("p_name"))
+_GREEK = "CASE WHEN p_partkey % 3 = 0 THEN translate(p_name, 'abgdek', 'αβγδεκ') ELSE p_name END"
+_LATIN = f"replace(replace(replace(translate(lower(g), '{t.GREEK}', '{t.LATIN}'), 'θ', 'th'), 'χ', 'ch'), 'ψ', 'ps')"
+add("text_variants", lambda s, f: d.table(s, f, "part").select("p_partkey", F.array_join(F.array_distinct(F.array(t.norm(_greek()), t.norm(t.transliterate_greek(_greek())))), "|").alias("variants")),
+    f"SELECT p_partkey, CASE WHEN a = b THEN a ELSE a || '|' || b END AS variants FROM (SELECT p_partkey, {_NORM.format('g')} AS a, {_NORM.format(_LATIN)} AS b FROM (SELECT p_partkey, {_GREEK} AS g FROM part))")
+add("distinct_preserving_order", lambda s, f: _docs(s, f).select("doc_id", F.size(t.tokens(F.col("text"))).alias("n_tokens"), F.md5(F.array_join(t.tokens(F.col("text")), " ")).alias("md5")),
+    f"WITH {_FIRST} SELECT doc_id, count(word)::INTEGER AS n_tokens, md5(coalesce(string_agg(word, ' ' ORDER BY p), '')) AS md5 FROM documents LEFT JOIN firsts USING (doc_id) GROUP BY doc_id")
 add("contains_alias", lambda s, f: _docs(s, f).select("doc_id", *[t.contains_phrase(F.col("text"), p).alias(n) for n, p in (("of_the", "of the"), ("de_la", "de la"), ("in_der", "in der"))]),
     "SELECT doc_id, " + ", ".join(f"contains(' ' || {_NORM.format('text')} || ' ', ' {p} ') AS {n}" for n, p in (("of_the", "of the"), ("de_la", "de la"), ("in_der", "in der"))) + " FROM documents")
 add("looks_unavailable", lambda s, f: d.table(s, f, "conversations").select("conv_id", "turn", t.looks_unavailable(F.col("text")).alias("gone")), f"SELECT conv_id, turn, regexp_matches({_lower.format('text')}, '\\b({t.UNAVAILABLE})\\b') AS gone FROM conversations")
 add("product_scope", lambda s, f: _docs(s, f).groupBy(t.product_scope(F.col("text")).alias("scope")).agg(F.count("*").alias("n")), f"SELECT CASE WHEN regexp_matches({_lower.format('text')}, '{t.SET_WORDS}') THEN 'SET' ELSE 'SINGLE' END AS scope, count(*) AS n FROM documents GROUP BY ALL")
 _VT = f"list_filter({_TOK}, lambda x: length(x) >= 3 AND x NOT IN ({', '.join(repr(w) for w in t.STOP)}) AND NOT regexp_matches(x, '[0-9]'))"
-add("variant_tokens", lambda s, f: _docs(s, f).select("doc_id", F.size(t.variant_tokens(F.col("text"))).alias("n")), f"SELECT doc_id, CAST(len({_VT.format('text')}) AS INTEGER) AS n FROM documents")
+add("variant_tokens", lambda s, f: _docs(s, f).select("doc_id", F.size(t.variant_tokens(F.col("text"))).alias("n"), F.md5(F.array_join(t.variant_tokens(F.col("text")), " ")).alias("md5")),
+    f"WITH {_FIRST}, v AS (SELECT * FROM firsts WHERE length(word) >= 3 AND word NOT IN ({', '.join(repr(w) for w in t.STOP)}) AND NOT regexp_matches(word, '[0-9]')) "
+    "SELECT doc_id, count(word)::INTEGER AS n, md5(coalesce(string_agg(word, ' ' ORDER BY p), '')) AS md5 FROM documents LEFT JOIN v USING (doc_id) GROUP BY doc_id")
 add("variant_matches", lambda s, f: d.table(s, f, "part").select("p_partkey", t.variant_matches(t.variant_tokens(F.col("p_type")), F.concat_ws(" ", "p_name", "p_type")).alias("both"), t.variant_matches(t.variant_tokens(F.col("p_name")), F.col("p_type")).alias("other")),
     "SELECT p_partkey, " + ", ".join(f"len(w{i}) > 0 AND len(list_filter(w{i}, lambda x: contains(t{i}, x))) >= ceil(len(w{i}) * 0.6) AS {n}" for i, n in ((1, "both"), (2, "other")))
     + f" FROM (SELECT p_partkey, {_VT.format('p_type')} AS w1, {_NORM.format(chr(112) + '_name || chr(32) || p_type')} AS t1, {_VT.format('p_name')} AS w2, {_NORM.format('p_type')} AS t2 FROM part)")

@@ -36,8 +36,8 @@ add(
 )
 add(
     "normalize_comparable",
-    lambda s, f: r4(_rated(s, f).groupBy("from_ccy").agg(F.count("*").alias("n"), F.count_if("is_exact").alias("exact"), F.count_if(F.col("rate").isNull()).alias("without_rate"), F.max("rate").alias("max_rate"))),
-    f"WITH {RATED} SELECT from_ccy, count(*) AS n, count(*) FILTER (is_exact) AS exact, count(*) FILTER (rate IS NULL) AS without_rate, round(max(rate), 4) AS max_rate FROM rated GROUP BY ALL",
+    lambda s, f: r4(_rated(s, f).select("target_id", "seq", F.when((F.col("from_ccy") == "EUR") | F.col("rate").isNotNull(), "EUR").otherwise(F.col("from_ccy")).alias("currency"), F.when(F.col("from_ccy") == "EUR", F.col("hammer_price")).otherwise(F.col("hammer_price") * F.coalesce("rate", F.lit(1.0))).alias("price"), F.when(F.col("from_ccy") != "EUR", F.col("rate")).alias("rate"), F.when(F.col("from_ccy") != "EUR", F.col("is_exact")).alias("is_exact"))),
+    f"WITH {RATED} SELECT target_id, seq, CASE WHEN from_ccy = 'EUR' OR rate IS NOT NULL THEN 'EUR' ELSE from_ccy END AS currency, round(hammer_price * CASE WHEN from_ccy = 'EUR' THEN 1 ELSE coalesce(rate, 1) END, 4) AS price, CASE WHEN from_ccy <> 'EUR' THEN round(rate, 4) END AS rate, CASE WHEN from_ccy <> 'EUR' THEN is_exact END AS is_exact FROM rated",
 )
 
 # --- offers --------------------------------------------------------------------------------------------

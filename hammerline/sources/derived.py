@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What the matcher gives for grades, from the same number to far apart; lots beyond have none.
+GRADE_WEIGHTS = [1.0, 0.9, 0.75, 0.7, 0.55, 0.45, 0.3]
+
+
 def comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Realized lots: a row a line item."""
     line = table(spark, sf_dir, "lineitem")
@@ -44,6 +48,7 @@ def comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 2 == 0, F.concat(F.lit("u"), o.cast("string"))).alias("source_url"),
         F.element_at(F.array(*map(F.lit, ("MS64", "XF", "VF", "UNC", "PCGS MS66"))), (k % 5 + 1).cast("int")).alias("grade_raw"),
         (55 + (o * 7 + n * 13) % 46).cast("int").alias("identity_match_score"),
+        F.get(F.array(*map(F.lit, GRADE_WEIGHTS)), ((o + n) % 9).cast("int")).alias("grade_weight"),
         k.alias("dealer_id"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_discount").alias("discount"),
@@ -63,6 +68,7 @@ COMPARABLES_SQL = """comparables AS (
     CASE WHEN l_linenumber % 2 = 0 THEN 'u' || l_orderkey END AS source_url,
     CASE l_suppkey % 5 WHEN 0 THEN 'MS64' WHEN 1 THEN 'XF' WHEN 2 THEN 'VF' WHEN 3 THEN 'UNC' ELSE 'PCGS MS66' END AS grade_raw,
     CAST(55 + (l_orderkey * 7 + l_linenumber * 13) % 46 AS INTEGER) AS identity_match_score,
+    list_extract([1.0, 0.9, 0.75, 0.7, 0.55, 0.45, 0.3]::DOUBLE[], CAST((l_orderkey + l_linenumber) % 9 + 1 AS INTEGER)) AS grade_weight,
     l_suppkey AS dealer_id, l_quantity AS quantity, l_discount AS discount
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
 
