@@ -46,6 +46,16 @@ def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that a task writes at least, where their number is known.
+TASK_ROWS = 500_000
+
+
+def stored_in_few(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """stored(), with tasks and files by the number of rows, which is about known and may be far below what
+    the shuffle partitions are meant for; never fewer than the cluster has cores."""
+    return stored(df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))), name)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with as many underscores behind it as keep it apart from the columns that df has."""
     taken = {c.lower() for c in df.columns}
