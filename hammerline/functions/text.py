@@ -12,8 +12,8 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 GREEK = "αβγδεζηικλμνξοπρσςτυφω"
 LATIN = "avgdeziiklmnxoprsstyfo"
 GREEK_PAIRS = {"θ": "th", "χ": "ch", "ψ": "ps"}
-#: Sold and reserved, in five languages (fixed values).
-UNAVAILABLE = "sold|reserved|verkauft|reserviert|ausverkauft|vendu|réservé|vendido|reservado|venduto"
+#: Sold, reserved and out of stock, in five languages (fixed values).
+UNAVAILABLE = "sold|sold out|out of stock|not available|reserved|verkauft|reserviert|ausverkauft|nicht verfügbar|nicht verfuegbar|vendu|réservé|vendido|reservado|venduto"
 #: Wording of sets and lots (fixed values).
 SET_WORDS = r"\b(set|lot|lots|sets|collection|kursmünzensatz|série|roll|proofset)\b"
 STOP = ["the", "and", "with", "for", "der", "die", "das", "les", "des", "los", "las"]

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 #: Euro coins: denomination, weight in grams, diameter in millimetres (fixed values).
 EURO_PROFILES = [(0.01, 2.30, 16.25), (0.02, 3.06, 18.75), (0.05, 3.92, 21.25), (0.10, 4.10, 19.75), (0.20, 5.74, 22.25), (0.50, 7.80, 24.25), (1.0, 7.50, 23.25), (2.0, 8.50, 25.75)]
 #: First year of euro coins by issuer (fixed values).
-EURO_STARTS = {"Austria": 2002, "France": 1999, "Greece": 2002, "Latvia": 2014, "Croatia": 2023}
+EURO_STARTS = {
+    "Andorra": 2014, "Austria": 2002, "Belgium": 1999, "Bulgaria": 2026, "Croatia": 2023, "Cyprus": 2008, "Estonia": 2011, "Finland": 1999,
+    "France": 1999, "Germany": 2002, "Greece": 2002, "Ireland": 2002, "Italy": 2002, "Latvia": 2014, "Lithuania": 2015, "Luxembourg": 2002,
+    "Malta": 2008, "Monaco": 2002, "Netherlands": 1999, "Portugal": 2002, "San Marino": 2002, "Slovakia": 2009, "Slovenia": 2007, "Spain": 1999,
+    "Vatican City": 2002,
+}
 PRECIOUS = ("gold", "silver", "platinum", "palladium")
 
 
@@ -76,10 +81,9 @@ def anchor_year() -> Column:
 
 
 def euro_start() -> Column:
-    start = F.lit(None).cast("int")
-    for country, year in EURO_STARTS.items():
-        start = F.when(F.col("country") == country, year).otherwise(start)
-    return start
+    """First year of euro coins of the row's country, however it is cased; null for others."""
+    years = F.create_map(*[F.lit(x) for country, year in EURO_STARTS.items() for x in (country.lower(), year)])
+    return F.try_element_at(years, F.lower(F.trim("country")))
 
 
 def euro_conflict() -> Column:

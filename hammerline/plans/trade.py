@@ -165,7 +165,7 @@ add(
 PROFILES = "profiles(v, w, dm) AS (VALUES " + ", ".join(f"({v}::DOUBLE, {w}::DOUBLE, {m}::DOUBLE)" for v, w, m in specs.EURO_PROFILES) + ")"
 STARTS = "starts(c, y) AS (VALUES " + ", ".join(f"('{c}', {y})" for c, y in specs.EURO_STARTS.items()) + ")"
 AUDIT = f"""{d.SPECS_SQL}, {PROFILES}, {STARTS}, audit0 AS (SELECT s.*, coalesce(issue_year, year_from) AS anchor, y AS start_year, lower(coalesce(primary_metal, '')) AS metal,
-    EXISTS (SELECT 1 FROM profiles WHERE abs(denomination_value - v) < 1e-9 AND abs(weight_g - w) <= 0.02 AND abs(diameter_mm - dm) <= 0.03) AS profile FROM specs s LEFT JOIN starts ON c = country),
+    EXISTS (SELECT 1 FROM profiles WHERE abs(denomination_value - v) < 1e-9 AND abs(weight_g - w) <= 0.02 AND abs(diameter_mm - dm) <= 0.03) AS profile FROM specs s LEFT JOIN starts ON lower(c) = lower(trim(country))),
 audit1 AS (SELECT *, regexp_matches(metal, 'gold|silver|platinum|palladium') AND metal NOT LIKE '%nordic gold%' AS precious FROM audit0),
 audit AS (SELECT *, profile AND precious AS conflict, profile AND coalesce(anchor < start_year, false) AS bad_year,
     list_filter([CASE WHEN weight_g IS NULL THEN 'weight_g' END, CASE WHEN diameter_mm IS NULL THEN 'diameter_mm' END, CASE WHEN primary_metal IS NULL THEN 'primary_metal' END,

@@ -48,3 +48,13 @@ def test_entry_and_queries_have_twins(spark):
     queries, twins = entry.queries(), entry.oracle_sql()
     assert set(twins) <= set(queries) and len([q for q in queries if not q.startswith("op")]) >= 100
     assert entry.entry(spark).columns[:2] == ["target_id", "n"]
+
+
+def test_euro_issuers_and_unavailable_words(spark):
+    from hammerline.functions import text as t
+    from hammerline.operators import specs
+
+    rows = spark.createDataFrame([("Spain",), (" ESTONIA ",), ("san marino",), ("Japan",), (None,)], "country string")
+    assert [r.y for r in rows.select(specs.euro_start().alias("y")).collect()] == [1999, 2011, 2002, None, None]
+    texts = spark.createDataFrame([("Out of stock",), ("nicht verfügbar",), ("Not available now",), ("in stock",), ("unsold",), (None,)], "x string")
+    assert [r.g for r in texts.select(t.looks_unavailable(texts.x).alias("g")).collect()] == [True, True, True, False, False, False]
