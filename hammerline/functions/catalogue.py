@@ -128,7 +128,14 @@ def json_leaves(text: Column) -> Column:
     """All leaves of a JSON text, in order, joined by blanks; names and nulls are no leaves."""
     values = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"\s*:', " ")
     leaves = F.regexp_extract_all(values, F.lit(r'("(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+\-]*|true|false)'), F.lit(1))
-    return F.array_join(F.transform(leaves, lambda x: F.regexp_replace(x, '^"|"$', "")), " ")
+    return F.array_join(F.transform(leaves, _leaf), " ")
+
+
+def _leaf(x: Column) -> Column:
+    """A leaf as text: strings without quotes and with their escapes decoded, as they are where that fails."""
+    plain = F.regexp_replace(x, '^"|"$', "")
+    decoded = F.get_json_object(F.concat(F.lit('{"v":'), x, F.lit("}")), "$.v")
+    return F.when(x.startswith('"') & x.contains("\\"), F.coalesce(decoded, plain)).otherwise(plain)
 
 
 def first_path(text: Column, *paths: str) -> Column:

@@ -80,3 +80,12 @@ def test_title_score_against_plain_python(spark):
     got = {r.seq: r.title_score for r in listings.title_score(rows, identity.similarity).collect()}
     ratio = difflib.SequenceMatcher(None, "5 mark 1970 austria coin unc", "austria 5 mark 1970").ratio()
     assert abs(got[1] - (ratio + 0.18 + 0.22 + 0.2 + 0.08)) < 1e-9 and got[2] == 0.0
+
+
+def test_json_leaves_decode_escapes(spark):
+    from hammerline.functions import catalogue as c
+
+    texts = [r'{"a": "say \"x\"", "b": ["caf\u00e9", "a\\b", 7]}', r'{"a": "bad \q"}', "{}", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.v for r in rows.orderBy("i").select(c.json_leaves(rows.t).alias("v")).collect()]
+    assert got == ['say "x" café a\\b 7', "bad \\q", "", None]
