@@ -33,9 +33,10 @@ def slice_bits(n_hashes: int, each: int) -> int:
 
 
 def slices(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
-    """(slice, from, to) of sorted unsigned 64-bit hashes, by their highest bits."""
-    edges = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    return ((s, int(edges[s]), int(edges[s + 1])) for s in range(1 << bits) if edges[s] < edges[s + 1])
+    """(slice, from, to) of sorted unsigned 64-bit hashes, by their highest bits; only slices that occur."""
+    top = hashes >> np.uint64(64 - bits)
+    edges = np.flatnonzero(np.concatenate([[len(top) > 0], top[1:] != top[:-1], [len(top) > 0]])).tolist()
+    return ((int(top[a]), a, b) for a, b in zip(edges, edges[1:]))
 
 
 def sent(src: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:

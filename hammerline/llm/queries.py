@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hammerline.llm import decontaminate, lmscore, packing, pagetext, quality, simhash, substring, tokenstore, toxicity, urls
+from hammerline.llm import decontaminate, exact, lmscore, packing, pagetext, quality, resample, simhash, substring, tokenstore, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.exact_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
+    return found.select("doc_id", *[f"copies.{c}" for c in ("keep_id", "group_size", "kept", "text_sha256")])
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)"""
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -105,9 +120,12 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op9_html_main_text": op9_html_main_text,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
     "op6_quality_rules": quality.oracle_sql(),
     "op8_url_filters": OP8_SQL,
+    "op12_exact_dedup": OP12_SQL,
 }

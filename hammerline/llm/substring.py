@@ -36,6 +36,8 @@ _K_INVERSE = pow(_K, -1, 1 << 64)
 _WORD = re.compile(rb"[^ \t-\r]+")
 
 SOURCE_BYTES = 4_000_000
+#: What a row counts beside its text, so that sources of empty texts are bounded too.
+ROW_BYTES = 16
 SLICE_WORDS = 2_000_000
 
 
@@ -79,7 +81,7 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 def to_sources(docs: DataFrame, text_col: str) -> DataFrame:
-    """(src, n_bytes, docs: the documents' rows): each row some megabytes of text, stored."""
+    """(src, n_bytes, n_docs, docs: the documents' rows): each row some megabytes of text, stored."""
     at = docs.columns.index(text_col)
     row = docs.limit(0).toArrow().schema
 
@@ -93,15 +95,15 @@ def to_sources(docs: DataFrame, text_col: str) -> DataFrame:
             rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
             offsets = pa.array([0, len(rows)], pa.int32())
             return pa.RecordBatch.from_arrays(
-                [pa.array([part + made], pa.int64()), pa.array([size], pa.int64()), pa.ListArray.from_arrays(offsets, rows).cast(kind)],
-                ["src", "n_bytes", "docs"],
+                [*(pa.array([n], pa.int64()) for n in (part + made, size, len(rows))), pa.ListArray.from_arrays(offsets, rows).cast(kind)],
+                ["src", "n_bytes", "n_docs", "docs"],
             )
 
         for batch in batches:
             sizes = [len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(at)]
             start = 0
             for i, n in enumerate(sizes):
-                size += n
+                size += n + ROW_BYTES
                 if size >= SOURCE_BYTES or i + 1 == len(sizes):
                     held.append(batch.slice(start, i + 1 - start))
                     start = i + 1
@@ -112,7 +114,7 @@ def to_sources(docs: DataFrame, text_col: str) -> DataFrame:
             yield close()
 
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.schema)
-    return stored(docs.mapInArrow(released(run), f"src long, n_bytes long, docs array<struct<{fields}>>"), "sources")
+    return stored(docs.mapInArrow(released(run), f"src long, n_bytes long, n_docs long, docs array<struct<{fields}>>"), "sources")
 
 
 class _Source:
