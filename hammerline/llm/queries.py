@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hammerline.llm import decontaminate, exact, lmscore, packing, pagetext, quality, resample, simhash, substring, tokenstore, toxicity, urls
+from hammerline.llm import decontaminate, exact, lmscore, packing, pagetext, phrases, quality, resample, simhash, substring, tokenstore, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,36 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH pieces AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+numbered AS (SELECT row_number() OVER () AS p, lang, piece FROM pieces),
+split AS (SELECT p, lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM numbered),
+w AS (SELECT p, lang, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM split),
+s AS (SELECT lang, w AS w1, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY p ORDER BY i)),
+f1 AS (SELECT lang, w1, count(*) AS f FROM s GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM s WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM s WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
+cut AS (
+    SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, x.f AS l, y.f AS r, 1 AS k FROM f2
+        JOIN f1 x ON x.lang = f2.lang AND x.w1 = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w1 = f2.w2
+        WHERE NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w1 = f2.w1 AND f3.w2 = f2.w2 AND 100 * f3.f >= 50 * f2.f)
+        AND NOT EXISTS (SELECT 1 FROM f3 WHERE f3.lang = f2.lang AND f3.w2 = f2.w1 AND f3.w3 = f2.w2 AND 100 * f3.f >= 50 * f2.f)
+    UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, x.f, y.f, 1 FROM f3
+        JOIN f1 x ON x.lang = f3.lang AND x.w1 = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+    UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || f3.w3, f3.f, x.f, y.f, 2 FROM f3
+        JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2 JOIN f1 y ON y.lang = f3.lang AND y.w1 = f3.w3),
+best AS (SELECT *, ((1000000 * a::HUGEINT * a) // (l::HUGEINT * r))::BIGINT AS score FROM cut
+    QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score FROM best JOIN n USING (lang)
+QUALIFY row_number() OVER o <= 2000 WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE C)"""
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), columns=["doc_id"])
     return found.select("doc_id", *[f"copies.{c}" for c in ("keep_id", "group_size", "kept", "text_sha256")])
@@ -120,6 +150,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op9_html_main_text": op9_html_main_text,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_importance_resampling": op13_importance_resampling,
 }
@@ -127,5 +158,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op6_quality_rules": quality.oracle_sql(),
     "op8_url_filters": OP8_SQL,
+    "op11_phrase_collocations": OP11_SQL,
     "op12_exact_dedup": OP12_SQL,
 }
