@@ -30,7 +30,7 @@ SPAN_BYTES = 1_000_000
 SLICE_WORDS = 2_000_000
 #: A word is common that makes more than this share of all words: there are at most as many as 1 / share.
 COMMON_SHARE = 1 / 1024
-#: Groups in which the best phrases of a language are found before they meet.
+#: Groups in which the best phrases of a language are found first, so that at most _SALTS * top of them meet.
 _SALTS = 64
 
 

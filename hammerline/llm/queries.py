@@ -121,7 +121,7 @@ cut AS (
 best AS (SELECT *, ((1000000 * a::HUGEINT * a) // (l::HUGEINT * r))::BIGINT AS score FROM cut
     QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
 SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score FROM best JOIN n USING (lang)
-QUALIFY row_number() OVER o <= 2000 WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE C)"""
+WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000"""
 
 
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
