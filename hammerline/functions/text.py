@@ -16,6 +16,11 @@ GREEK_PAIRS = {"θ": "th", "χ": "ch", "ψ": "ps"}
 UNAVAILABLE = "sold|sold out|out of stock|not available|reserved|verkauft|reserviert|ausverkauft|nicht verfügbar|nicht verfuegbar|vendu|réservé|vendido|reservado|venduto"
 #: Wording of sets and lots (fixed values).
 SET_WORDS = r"\b(set|lot|lots|sets|collection|kursmünzensatz|série|roll|proofset)\b"
+#: Wording of other products than a single coin (fixed values).
+NEGATIVE_TERMS = [
+    "banknote", "bank note", "paper money", "replica", "copy", "reproduction", "medal", "token", "coin set", "set", "roll", "rouleau", "lot of", "bulk lot",
+    "fantasy issue", "souvenir",
+]
 STOP = ["the", "and", "with", "for", "der", "die", "das", "les", "des", "los", "las"]
 #: Units of denominations and their canonical name (fixed values).
 UNITS = {"cents": "cent", "cent": "cent", "dollars": "dollar", "dollar": "dollar", "euros": "euro", "euro": "euro", "francs": "franc", "franc": "franc", "lire": "lira", "lira": "lira", "marks": "mark", "mark": "mark", "pence": "penny", "penny": "penny"}
@@ -49,6 +54,16 @@ def contains_phrase(text: Column, phrase: str) -> Column:
     return F.concat(F.lit(" "), norm(text), F.lit(" ")).contains(f" {phrase} ")
 
 
+def negative_flags(text: Column) -> Column:
+    """The terms of NEGATIVE_TERMS that stand in the text as whole words, sorted."""
+    return let(F.concat(F.lit(" "), norm(text), F.lit(" ")), lambda t: F.filter(F.array(*map(F.lit, sorted(NEGATIVE_TERMS))), lambda x: F.contains(t, F.concat(F.lit(" "), x, F.lit(" ")))))
+
+
+def is_negative(text: Column) -> Column:
+    """Whether negative_flags would find any."""
+    return F.concat(F.lit(" "), norm(text), F.lit(" ")).rlike(f" ({'|'.join(NEGATIVE_TERMS)}) ")
+
+
 def looks_unavailable(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit(""))).rlike(rf"\b({UNAVAILABLE})\b")
 

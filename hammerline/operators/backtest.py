@@ -2,24 +2,177 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left, bisect_right
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hammerline.operators import valuation
+from hammerline.operators import stats, valuation
+
+
+class _Past:
+    """Sales so far, ordered by price, with their count and weight up to any of them: Fenwick trees over all
+    sales of the target, in which those not yet seen count nothing."""
+
+    def __init__(self, prices: list[float]):
+        self.prices, self.size, self.n, self.total = prices, len(prices), 0, 0.0
+        self.top = 1 << self.size.bit_length() >> 1
+        self.counts, self.weights, self.own = [0] * (self.size + 1), [0.0] * (self.size + 1), [0.0] * self.size
+
+    def add(self, at: int, weight: float) -> None:
+        self.n, self.total, self.own[at] = self.n + 1, self.total + weight, weight
+        k = at + 1
+        while k <= self.size:
+            self.counts[k] += 1
+            self.weights[k] += weight
+            k += k & -k
+
+    def below(self, at: int) -> tuple[int, float]:
+        """Count and weight of the sales before a place."""
+        n, w = 0, 0.0
+        while at:
+            n, w, at = n + self.counts[at], w + self.weights[at], at & (at - 1)
+        return n, w
+
+    def _descend(self, tree: list, most: float) -> int:
+        """The first place at which the tree's running sum is above `most`."""
+        at, step = 0, self.top
+        while step:
+            if at + step <= self.size and tree[at + step] <= most:
+                at += step
+                most -= tree[at]
+            step >>= 1
+        return at
+
+    def place(self, k: int) -> int:
+        return self._descend(self.counts, k)
+
+    def median(self) -> float:
+        return (self.prices[self.place((self.n - 1) // 2)] + self.prices[self.place(self.n // 2)]) / 2
+
+    def deviation(self, middle: float) -> float:
+        """The median of the distances from the median."""
+        left = self.below(bisect_right(self.prices, middle))[0]
+        right = self.n - left
+        near = lambda k: middle - self.prices[self.place(left - 1 - k)]
+        far = lambda k: self.prices[self.place(left + k)] - middle
 
+        def nth(k: int) -> float:
+            low, high = max(0, k - right), min(k, left)  # how many of the k nearest lie on the left
+            while low < high:
+                a = (low + high) // 2
+                if near(a) < far(k - a - 1):
+                    low = a + 1
+                else:
+                    high = a
+            return min([near(low)] * (low < left) + [far(k - low)] * (k - low < right))
 
-def run_backtest(comparables: DataFrame) -> DataFrame:
-    """A row a case: each sold lot with a price and a day is valued from the earlier sales of its target, by the median of their prices, and scored against its own price. Sales of the same day or later are
-    never seen. Cases without earlier sales stay, unscored.
+        return (nth((self.n - 1) // 2) + nth(self.n // 2)) / 2
 
-    The past of a case is a window over its target in order of the day, so all cases are one job."""
-    rows = comparables.withColumn("price", valuation.effective_price()).filter(valuation.realized_eligible() & F.col("auction_date").isNotNull())
-    days = F.datediff("auction_date", F.lit("1990-01-01").cast("date"))
-    past = Window.partitionBy("target_id").orderBy(days).rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("past_n", F.count("price").over(past)).withColumn("predicted", F.percentile("price", 0.5).over(past))
-    error = F.abs(F.col("predicted") - F.col("price")) / F.col("price")
-    label = F.when(F.col("past_n") >= 10, "HIGH").when(F.col("past_n") >= 3, "MEDIUM").when(F.col("past_n") >= 1, "LOW").otherwise("NONE")
-    return rows.select("target_id", "seq", "past_n", "price", "predicted", error.alias("pct_error"), label.alias("label"), (error <= 0.25).alias("within"))
+    def dispersion(self) -> float | None:
+        """Interquartile range over the median, all sales alike; null for one sale or a median of 0."""
+        if self.n < 2:
+            return None
+        q = []
+        for p in (0.25, 0.5, 0.75):
+            at = min(max(p * self.n - 0.5, 0.0), self.n - 1.0)
+            k = min(int(at), self.n - 2)
+            a, b = self.prices[self.place(k)], self.prices[self.place(k + 1)]
+            q.append(a + (at - k) * (b - a))
+        return (q[2] - q[0]) / q[1] if q[1] else None
+
+    def quantiles(self, points: list[float], outside: float, low: float, high: float) -> list[float]:
+        """Weighted quantiles (each sale at the middle of its weight) where prices below `low` and above
+        `high` weigh `outside` of their weight."""
+        a, b = bisect_left(self.prices, low), bisect_right(self.prices, high)
+        wa, wb = self.below(a)[1], self.below(b)[1]
+        adjusted = lambda w: outside * min(w, wa) + min(max(w - wa, 0.0), wb - wa) + outside * max(w - wb, 0.0)
+        own = lambda at: self.own[at] * (1.0 if a <= at < b else outside)
+        middle = lambda at: adjusted(self.below(at)[1]) + own(at) / 2
+        out = []
+        for p in points:
+            mass = p * adjusted(self.total)
+            base = mass / outside if mass < outside * wa else wa + mass - outside * wa if mass < outside * wa + wb - wa else wb + (mass - outside * wa - wb + wa) / outside
+            k = min(self.below(self._descend(self.weights, base))[0], self.n - 1)
+            while k > 0 and middle(self.place(k)) > mass:  # one step, but for what rounding does
+                k -= 1
+            while k + 1 < self.n and middle(self.place(k + 1)) <= mass:
+                k += 1
+            at = self.place(k)
+            if k + 1 == self.n or mass < middle(at):
+                out.append(self.prices[at])
+            else:
+                after = self.place(k + 1)
+                out.append(self.prices[at] + (mass - middle(at)) / (middle(after) - middle(at)) * (self.prices[after] - self.prices[at]))
+        return out
+
+
+_KNOWN = "target_id long, seq long, n long, exact_count long, strong_count long, houses long, latest_sale date, weighted_median double, p25 double, p75 double, dispersion double"
+
+
+def _known_before(table: pa.Table) -> pa.Table:
+    """Of one target: for each sale with a day, what the sales of earlier days say."""
+    rows = table.sort_by([("price", "ascending"), ("seq", "ascending")])
+    prices, days, weights = rows["price"].to_pylist(), rows["day"].to_pylist(), rows["weight"].to_pylist()
+    tiers, houses, counted = rows["tier"].to_pylist(), rows["house"].to_pylist(), rows["counts"].to_pylist()
+    past, seen, latest, of_tier, out = _Past(prices), set(), None, {"EXACT": 0, "STRONG": 0, "SUPPORTING": 0}, [None] * len(prices)
+    for day, group in groupby(np.argsort(np.array(days), kind="stable").tolist(), key=days.__getitem__):
+        known, group = (0, 0, 0, 0, None, None, None, None, None), list(group)
+        if past.n:
+            low, high = -np.inf, np.inf
+            middle = past.median()
+            if past.n >= stats.OUTLIER_LEAST and (spread := past.deviation(middle)) > 0:
+                low, high = (middle + k * stats.OUTLIER_Z * spread / 0.6745 for k in (-1, 1))
+            half, p25, p75 = past.quantiles([0.5, 0.25, 0.75], stats.OUTLIER_WEIGHT, low, high)
+            known = (past.n, of_tier["EXACT"], of_tier["STRONG"], len(seen), latest, half, p25, p75, past.dispersion())
+        for k in group:
+            out[k] = known
+        for k in group:
+            if counted[k]:
+                past.add(k, weights[k])
+                of_tier[tiers[k]] += 1
+                latest = day
+                seen |= {houses[k]} - {None}
+    columns = [pa.array(c) for c in zip(*out)]
+    names = [c.split()[0] for c in _KNOWN.split(", ")]
+    kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.float64()] * 4
+    columns = [c.cast(k) for c, k in zip(columns, kinds)]
+    columns[4] = columns[4].cast(pa.date32())
+    return pa.Table.from_arrays([rows["target_id"].cast(pa.int64()), rows["seq"].cast(pa.int64()), *columns], names)
+
+
+def run_backtest(comparables: DataFrame, asks: DataFrame, targets: DataFrame) -> DataFrame:
+    """A row a case: each sold lot with a price and a day is valued as of its day, by the whole valuation, from
+    the earlier sales of its target, the target's asks and its identity_quality, and scored against its own
+    price: within says whether that lies in the fair range. Sales of the same day or later are never seen.
+    Cases without a value stay, unscored.
+
+    As of a day all recency weights change by one factor, which quantiles don't see, so a sale's weight is
+    fixed; sales join an order by price day by day, and each case asks it for what it knows: n log n steps
+    for a target of n sales. What needs only sums and joins is columns."""
+    price = valuation.effective_price()
+    rows = comparables.withColumn("price", price).filter(valuation.realized_eligible() & F.col("auction_date").isNotNull())
+    tier = valuation.tier(F.col("identity_match_score"))
+    day = F.datediff("auction_date", F.lit("1970-01-01").cast("date"))
+    since = F.datediff(F.lit("2000-01-01").cast("date"), "auction_date")
+    recency = F.pow(F.lit(0.5), since / float(stats.HALF_LIFE_DAYS))
+    weight = F.col("identity_match_score") / 100.0 * recency * valuation.source_weight() * F.coalesce("grade_weight", F.lit(1.0))
+    house = F.when(F.length("auction_house") > 0, F.lower(F.trim("auction_house")))
+    sales = rows.select("target_id", "seq", "price", day.alias("day"), weight.alias("weight"), tier.alias("tier"), house.alias("house"), (tier != "REJECT").alias("counts"))
+    known = sales.groupBy("target_id").applyInArrow(_known_before, _KNOWN)
+    cases = rows.select("target_id", "seq", "price", "auction_date").join(known, ["target_id", "seq"])
+    dealers = valuation.dealer_market_summary(asks).select("target_id", "dealer_median")
+    cases = cases.join(dealers, "target_id", "left").join(targets.select("target_id", "identity_quality"), "target_id", "left")
+    valued = valuation.fused(cases.withColumn("identity_quality", F.coalesce("identity_quality", F.lit(0.0))), F.col("auction_date"))
+    error = F.when(F.col("price") != 0, F.abs(F.col("price") - F.col("fair_central")) / F.col("price"))
+    within = F.when(F.col("fair_central").isNotNull(), F.col("price").between(F.col("fair_low"), F.col("fair_high")))
+    return valued.select(
+        "target_id", "seq", F.col("n").alias("past_n"), "price", F.col("fair_low").alias("predicted_low"), F.col("fair_central").alias("predicted"), F.col("fair_high").alias("predicted_high"),
+        error.alias("pct_error"), F.col("confidence_label").alias("label"), within.alias("within"),
+    )
 
 
 def backtest_report(cases: DataFrame) -> DataFrame:

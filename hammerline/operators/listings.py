@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from hammerline.functions import text as t
 from hammerline.sources.landed import amount
 
-#: Words of other products, of bank notes, and of grade tiers (fixed values).
-NEGATIVE = ["replica", "copy", "fake", "medal", "token", "album", "capsule"]
+#: Words of bank notes, and of grade tiers (fixed values).
 NOTES = ["banknote", "paper money", "geldschein", "billet"]
 MINT, CIRCULATED = r"\b(unc|bu|ms|proof|uncirculated)\b", r"\b(vf|xf|ef|fine|vg|good|circulated)\b"
 COUNTRIES = {"austria": "Austria", "österreich": "Austria", "france": "France", "frankreich": "France", "greece": "Greece", "hellas": "Greece"}
@@ -54,7 +53,7 @@ def hard_filter(listings: DataFrame) -> DataFrame:
             F.when(differs(t.parse_year(title), F.col("t_year")), "YEAR_MISMATCH"),
             F.when(differs(country_of(title), F.col("t_country")), "COUNTRY_MISMATCH"),
             F.when(differs(grade_tier(title), F.col("t_grade")), "GRADE_MISMATCH"),
-            F.when(any_of(title, NEGATIVE), "NEGATIVE_PRODUCT_FLAG"),
+            F.when(t.is_negative(title), "NEGATIVE_PRODUCT_FLAG"),
         )
     )
     return listings.withColumn("reasons", F.when(F.trim(title) == "", F.array(F.lit("EMPTY_TEXT"))).otherwise(reasons))
@@ -74,7 +73,7 @@ def match_points(listings: DataFrame) -> DataFrame:
     got = sum((F.when(w.isNotNull() & F.coalesce(ok, F.lit(False)), p).otherwise(0) for p, w, ok in fields), F.lit(0))
     missed = sum((F.when(w.isNotNull() & ~F.coalesce(ok, F.lit(True)), 1).otherwise(0) for _, w, ok in fields), F.lit(0))
     raw = F.when(total > 0, F.bround(100.0 * got / total)).otherwise(0) - 20 * missed
-    score = F.greatest(F.lit(0), F.when(any_of(title, NEGATIVE), F.least(raw, F.lit(20))).otherwise(raw))
+    score = F.greatest(F.lit(0), F.when(t.is_negative(title), F.least(raw, F.lit(20))).otherwise(raw))
     return listings.withColumn("listing_score", score.cast("int"))
 
 

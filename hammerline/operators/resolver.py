@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from hammerline.functions import catalogue as c
 from hammerline.functions import text as t
 from hammerline.operators import identity
-from hammerline.operators.listings import NEGATIVE, any_of
 
 #: Currencies whose cents are a hundredth of the denomination (fixed values).
 CENT_CURRENCIES = ["EUR", "USD"]
@@ -20,7 +19,7 @@ def _facts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     bare = t.norm(c.without_references(raw))
     return texts.select(
         F.col(id_col).alias("key"), t.norm(t.transliterate_greek(raw)).alias("norm"), t.parse_year(bare).alias("year"), c.face_value(bare).alias("value"),
-        t.norm(raw).rlike(r"(?<![a-z])cents?(?![a-z])").alias("cents"), any_of(raw, NEGATIVE).alias("negative"),
+        t.norm(raw).rlike(r"(?<![a-z])cents?(?![a-z])").alias("cents"), t.is_negative(raw).alias("negative"),
     )
 
 

@@ -110,11 +110,11 @@ def fair_value(df: DataFrame) -> DataFrame:
     )
 
 
-def confidence(df: DataFrame, as_of: str) -> DataFrame:
+def confidence(df: DataFrame, as_of: str | Column) -> DataFrame:
     """Adds confidence_score and confidence_label. Points first, then the hard limits in their order; the
     label is set together with a limit, not from the limited score."""
     n, good, houses = F.coalesce("n", F.lit(0)), F.coalesce(F.col("exact_count") + F.col("strong_count"), F.lit(0)), F.coalesce("houses", F.lit(0))
-    age = F.datediff(F.lit(as_of).cast("date"), "latest_sale")
+    age = F.datediff((F.lit(as_of) if isinstance(as_of, str) else as_of).cast("date"), "latest_sale")
     disp, quality = F.col("dispersion"), F.col("identity_quality")
     points = (
         F.bround(20 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), quality)))
@@ -180,11 +180,16 @@ def trend(comparables: DataFrame) -> DataFrame:
     return found.withColumn("trend_label", F.when(c.isNull(), "INSUFFICIENT_DATA").when(c > 0.05, "RISING").when(c < -0.05, "FALLING").otherwise("STABLE"))
 
 
+def fused(df: DataFrame, as_of: str | Column) -> DataFrame:
+    """Adds the fair range, the disagreement of both markets and the confidence."""
+    df = df.withColumn("realized_weight", realized_share(F.col("n"), F.col("exact_count") + F.col("strong_count")))
+    df = df.withColumn("disagreement_pct", disagreement_pct(F.col("dealer_median"), F.col("weighted_median")))
+    df = df.withColumn("disagreement", disagreement_label(F.col("disagreement_pct")))
+    return confidence(fair_value(df), as_of)
+
+
 def snapshot(comparables: DataFrame, asks: DataFrame, targets: DataFrame, as_of: str) -> DataFrame:
     """The whole valuation, a row a target (target_id, identity_quality)."""
     df = targets.join(realized_market_summary(comparables, as_of), "target_id", "left").join(dealer_market_summary(asks), "target_id", "left")
     df = df.join(demand_counts(comparables, as_of), "target_id", "left").join(trend(comparables).drop("n", "span_days", "older", "newer"), "target_id", "left")
-    df = df.withColumn("realized_weight", realized_share(F.col("n"), F.col("exact_count") + F.col("strong_count")))
-    df = df.withColumn("disagreement_pct", disagreement_pct(F.col("dealer_median"), F.col("weighted_median")))
-    df = df.withColumn("disagreement", disagreement_label(F.col("disagreement_pct")))
-    return demand(confidence(fair_value(df), as_of), as_of)
+    return demand(fused(df, as_of), as_of)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hammerline.functions import text as t
 from hammerline.operators import listings as op
 from hammerline.plans.market import r4
 from hammerline.sources import derived as d
@@ -36,7 +37,7 @@ def listings(s: SparkSession, f: str) -> DataFrame:
 LISTINGS = f"""{d.COMPARABLES_SQL}, l AS (SELECT target_id, seq, CAST(split_part(lot_number, '-', 1) AS BIGINT) AS o FROM comparables),
 judged AS (SELECT target_id, seq, o, CASE WHEN o % 10 = 0 THEN 'EMPTY_TEXT' ELSE concat_ws(',', CASE WHEN o % 10 = 1 THEN 'BANKNOTE' END, CASE WHEN o % 10 = 2 THEN 'NOT_SINGLE_COIN' END,
     CASE WHEN o % 9 = 0 THEN 'DENOMINATION_MISMATCH' END, CASE WHEN o % 7 = 0 THEN 'YEAR_MISMATCH' END, CASE WHEN o % 11 = 0 THEN 'COUNTRY_MISMATCH' END,
-    CASE WHEN target_id % 2 = 0 AND o % 5 = 0 THEN 'GRADE_MISMATCH' END, CASE WHEN o % 13 = 0 THEN 'NEGATIVE_PRODUCT_FLAG' END) END AS reasons FROM l)"""
+    CASE WHEN target_id % 2 = 0 AND o % 5 = 0 THEN 'GRADE_MISMATCH' END, CASE WHEN o % 13 = 0 OR o % 10 IN (1, 2) THEN 'NEGATIVE_PRODUCT_FLAG' END) END AS reasons FROM l)"""
 _judged = lambda s, f: op.hard_filter(listings(s, f))
 add("hard_filter_reasons", lambda s, f: _judged(s, f).select("target_id", "seq", F.concat_ws(",", "reasons").alias("reasons")), f"WITH {LISTINGS} SELECT target_id, seq, reasons FROM judged")
 add("passes_hard_filter", lambda s, f: _judged(s, f).filter(F.size("reasons") == 0).groupBy("target_id").agg(F.count("*").alias("n")), f"WITH {LISTINGS} SELECT target_id, count(*) AS n FROM judged WHERE reasons = '' GROUP BY ALL")
@@ -46,12 +47,14 @@ add("grade_conflict", lambda s, f: listings(s, f).select("target_id", "seq", op.
 add("classify_asset", lambda s, f: listings(s, f).groupBy(op.asset_class(F.col("title")).alias("asset")).agg(F.count("*").alias("n")), f"WITH {LISTINGS} SELECT CASE WHEN o % 10 = 0 THEN 'UNKNOWN' WHEN o % 10 = 1 THEN 'BANKNOTE' ELSE 'COIN' END AS asset, count(*) AS n FROM l GROUP BY ALL")
 add("canonical_country", lambda s, f: listings(s, f).groupBy(op.country_of(F.col("title")).alias("country")).agg(F.count("*").alias("n")),
     f"WITH {LISTINGS} SELECT CASE WHEN o % 10 <> 0 THEN list_extract(['Austria', 'France', 'Greece'], CAST((target_id + CASE WHEN o % 11 = 0 THEN 1 ELSE 0 END) % 3 + 1 AS INTEGER)) END AS country, count(*) AS n FROM l GROUP BY ALL")
-add("negative_flags", lambda s, f: listings(s, f).filter(op.any_of(F.col("title"), op.NEGATIVE)).select("target_id", "seq"), f"WITH {LISTINGS} SELECT target_id, seq FROM l WHERE o % 13 = 0 AND o % 10 <> 0")
+_NEGATIVE = "(o % 13 = 0 OR o % 10 IN (1, 2)) AND o % 10 <> 0"
+add("negative_flags", lambda s, f: listings(s, f).select("target_id", "seq", F.array_join(t.negative_flags(F.col("title")), ",").alias("flags")),
+    f"WITH {LISTINGS} SELECT target_id, seq, CASE WHEN o % 10 = 0 THEN '' ELSE concat_ws(',', CASE WHEN o % 10 = 1 THEN 'banknote' WHEN o % 10 = 2 THEN 'coin set' END, CASE WHEN o % 13 = 0 THEN 'replica' END, CASE WHEN o % 10 = 2 THEN 'set' END) END AS flags FROM l")
 _MISS = "CASE WHEN o % 9 = 0 THEN 1 ELSE 0 END + CASE WHEN o % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN o % 11 = 0 THEN 1 ELSE 0 END"
 _GOT = "CASE WHEN o % 9 = 0 THEN 0 ELSE 28 END + CASE WHEN o % 7 = 0 THEN 0 ELSE 28 END + CASE WHEN o % 11 = 0 THEN 0 ELSE 22 END"
 add("listing_match_score", lambda s, f: op.match_points(listings(s, f)).select("target_id", "seq", "listing_score"),
     f"WITH {LISTINGS}, r AS (SELECT target_id, seq, o, CASE WHEN o % 10 = 0 THEN 0 ELSE round_even(100.0 * ({_GOT}) / 78, 0) - 20 * ({_MISS}) END AS raw FROM l) "
-    "SELECT target_id, seq, CAST(greatest(0, CASE WHEN o % 13 = 0 AND o % 10 <> 0 THEN least(raw, 20) ELSE raw END) AS INTEGER) AS listing_score FROM r")
+    f"SELECT target_id, seq, CAST(greatest(0, CASE WHEN {_NEGATIVE} THEN least(raw, 20) ELSE raw END) AS INTEGER) AS listing_score FROM r")
 
 
 def listing_pages(s: SparkSession, f: str) -> DataFrame:

@@ -268,57 +268,59 @@ for _name, _columns in {
 
 # --- grades and matching -----------------------------------------------------------------------------
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Each lot beside its target: years and values derived from keys so that some differ."""
-    lots = d.comparables(spark, sf)
-    return lots.select(
-        "*",
-        (1900 + F.col("target_id") % 90 + F.when(F.col("seq") % 6 == 0, 1).otherwise(0)).alias("coin_year"),
-        (F.col("target_id") % 50 + F.when(F.col("seq") % 9 == 0, 0.5).otherwise(0.0)).alias("denomination_value"),
-        F.concat(F.lit("Mint of Brand#"), (F.col("target_id") % 5 + F.when(F.col("seq") % 4 == 0, 1).otherwise(0)).cast("string")).alias("issuer"),
-        (1900 + F.col("target_id") % 90).alias("t_year"),
-        (F.col("target_id") % 50).cast("double").alias("t_denomination"),
-        F.when(F.col("target_id") % 3 != 0, F.concat(F.lit("brand#"), (F.col("target_id") % 5).cast("string"))).alias("t_issuer"),
-        F.when(F.col("target_id") % 2 == 0, F.element_at(F.array(*map(F.lit, ("VF", "XF", "UNC_MID", "UNC_HIGH"))), (F.col("target_id") % 4 + 1).cast("int"))).alias("t_grade_bucket"),
-        F.when(F.col("target_id") % 8 == 2, 65).alias("t_numeric"),
-    )
-
-
-_G = "CASE grade_raw WHEN 'MS64' THEN 'UNC_MID' WHEN 'XF' THEN 'XF' WHEN 'VF' THEN 'VF' WHEN 'UNC' THEN 'UNC_MID' ELSE 'UNC_HIGH' END"
-PAIRS = f"""{d.COMPARABLES_SQL}, pairs AS (SELECT * EXCLUDE (grade_weight), 1900 + target_id % 90 + CASE WHEN seq % 6 = 0 THEN 1 ELSE 0 END AS coin_year, 1900 + target_id % 90 AS t_year,
-    target_id % 50 + CASE WHEN seq % 9 = 0 THEN 0.5 ELSE 0 END AS denomination_value, target_id % 50 AS t_denomination,
-    seq % 4 <> 0 AS same_issuer, CASE WHEN target_id % 3 <> 0 THEN 1 END AS t_issuer, {_G} AS grade_bucket,
-    CASE grade_raw WHEN 'MS64' THEN 64 WHEN 'PCGS MS66' THEN 66 END AS numeric_grade, CASE WHEN grade_raw = 'PCGS MS66' THEN 'PCGS' END AS grading_company,
-    CASE WHEN target_id % 2 = 0 THEN list_extract(['VF', 'XF', 'UNC_MID', 'UNC_HIGH'], CAST(target_id % 4 + 1 AS INTEGER)) END AS t_grade_bucket,
-    CASE WHEN target_id % 8 = 2 THEN 65 END AS t_numeric FROM comparables),
-ranks(b, i) AS (VALUES ('LOW', 1), ('FINE', 2), ('VF', 3), ('XF', 4 ), ('AU', 5), ('UNC_LOW', 6), ('UNC_MID', 7), ('UNC_HIGH', 8)),
-dist AS (SELECT p.*, abs(x.i - y.i) AS bd, abs(t_numeric - numeric_grade) AS nd FROM pairs p LEFT JOIN ranks x ON x.b = t_grade_bucket LEFT JOIN ranks y ON y.b = grade_bucket),
-m0 AS (SELECT *, 30 + CASE WHEN t_issuer = 1 THEN 5 ELSE 0 END + CASE WHEN t_grade_bucket IS NOT NULL THEN 10 ELSE 0 END AS applicable,
-    CASE WHEN coin_year = t_year THEN 15 ELSE 0 END + CASE WHEN denomination_value = t_denomination THEN 15 ELSE 0 END + CASE WHEN t_issuer = 1 AND same_issuer THEN 5 ELSE 0 END
-      + CASE WHEN t_grade_bucket IS NULL THEN 0 WHEN nd = 0 OR t_grade_bucket = grade_bucket THEN 10 WHEN nd <= 2 OR bd <= 1 THEN 6 ELSE 0 END AS achieved,
-    coin_year <> t_year OR denomination_value <> t_denomination OR withdrawn OR unsold AS rejected,
-    CASE WHEN t_grade_bucket IS NULL THEN NULL WHEN nd IS NOT NULL THEN CASE nd WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.75 ELSE 0.3 END
-      WHEN t_grade_bucket = grade_bucket THEN 0.7 WHEN bd IS NULL THEN 0.55 WHEN bd = 1 THEN 0.45 ELSE 0.3 END::DOUBLE AS grade_weight FROM dist),
-matched AS (SELECT *, CAST(CASE WHEN rejected THEN least(round_even(100.0 * achieved / applicable, 0), 30) ELSE round_even(100.0 * achieved / applicable, 0) END AS INTEGER) AS match_score FROM m0)"""
-add("classify_comparables", lambda s, f: matching.classify(_pairs(s, f)).select("target_id", "seq", "match_score", "tier"),
-    f"WITH {PAIRS} SELECT target_id, seq, match_score, CASE WHEN rejected OR match_score < 55 THEN 'REJECT' WHEN match_score >= 90 THEN 'EXACT' WHEN match_score >= 75 THEN 'STRONG' ELSE 'SUPPORTING' END AS tier FROM matched")
-add("match_score", lambda s, f: matching.classify(_pairs(s, f)).groupBy("target_id", "match_score").agg(F.count("*").alias("n")), f"WITH {PAIRS} SELECT target_id, match_score, count(*) AS n FROM matched GROUP BY ALL")
-add("normalize_grade", lambda s, f: matching.grade(d.comparables(s, f), "grade_raw").groupBy("grade_raw", "grade_bucket", "numeric_grade", "grading_company", "is_details").agg(F.count("*").alias("n")),
-    f"WITH {PAIRS} SELECT grade_raw, grade_bucket, numeric_grade, grading_company, false AS is_details, count(*) AS n FROM pairs GROUP BY ALL")
-add("grade_distance", lambda s, f: matching.grade(_pairs(s, f), "grade_raw").select("target_id", "seq", matching.bucket_distance(F.col("t_grade_bucket"), F.col("grade_bucket")).alias("distance")), f"WITH {PAIRS} SELECT target_id, seq, bd AS distance FROM dist")
-add("grade_weight", lambda s, f: matching.classify(_pairs(s, f)).select("target_id", "seq", "grade_weight"), f"WITH {PAIRS} SELECT target_id, seq, grade_weight FROM matched")
+def _matched(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.match(d.lots(spark, sf), d.identities(spark, sf))
+
+
+MATCHED = f"""{d.RANKS_SQL}, {d.IDENTITIES_SQL}, {d.LOTS_SQL},
+pairs AS (SELECT l.*, t.*, CASE WHEN tb IS NOT NULL THEN coalesce(abs(tn - gn), abs(x.i - y.i)) END AS grade_distance, {d.GRADE_SQL} AS grade_weight,
+    coalesce(tb IS NOT NULL AND (tn = gn OR tb = gb), false) AS exact, coalesce(abs(tn - gn) <= 2, false) OR coalesce(abs(x.i - y.i) <= 1, false) AS near
+  FROM lots l JOIN identities t ON (t_country IS NULL OR t_country = country) AND (t_year IS NULL OR t_year = coin_year) AND (t_value IS NULL OR t_value = value)
+  LEFT JOIN ranks x ON x.b = tb LEFT JOIN ranks y ON y.b = gb WHERE t_country IS NOT NULL OR t_year IS NOT NULL OR t_value IS NOT NULL),
+points AS (SELECT *, CASE WHEN t_variant IS NOT NULL AND NOT coalesce(contains(variant, t_variant), false) THEN 1 ELSE 0 END AS other_variant,
+    CASE WHEN t_country IS NULL THEN 0 ELSE 15 END + CASE WHEN t_year IS NULL THEN 0 ELSE 15 END + CASE WHEN t_value IS NULL THEN 0 ELSE 15 END AS hard,
+    CASE WHEN t_variant IS NULL THEN 0 ELSE 15 END + CASE WHEN t_km IS NULL THEN 0 ELSE 15 END + CASE WHEN t_mark IS NULL THEN 0 ELSE 5 END + CASE WHEN t_issuer IS NULL THEN 0 ELSE 5 END
+      + CASE WHEN tb IS NULL THEN 0 ELSE 10 END + CASE WHEN t_company IS NULL THEN 0 ELSE 5 END AS soft,
+    CASE WHEN contains(variant, t_variant) THEN 15 ELSE 0 END + CASE WHEN km = t_km THEN 15 ELSE 0 END + CASE WHEN mark = t_mark THEN 5 ELSE 0 END + CASE WHEN contains(issuer, t_issuer) THEN 5 ELSE 0 END
+      + CASE WHEN tb IS NULL THEN 0 WHEN exact THEN 10 WHEN near THEN 6 ELSE 0 END + CASE WHEN company = t_company THEN 5 ELSE 0 END AS got FROM pairs),
+judged AS (SELECT *, CASE WHEN negative <> '' THEN negative ELSE concat_ws(',', CASE WHEN other_variant = 1 THEN 'wrong variant' END, CASE WHEN tb <> 'DETAILS' AND gb = 'DETAILS' THEN 'details' END,
+    CASE WHEN withdrawn THEN 'withdrawn' END, CASE WHEN unsold THEN 'unsold' END, CASE WHEN priceless THEN 'no price' END) END AS reasons, CAST(round_even(100.0 * (hard + got) / (hard + soft), 0) AS INTEGER) AS raw FROM points),
+matched AS (SELECT *, CASE WHEN negative <> '' THEN 0 WHEN reasons <> '' THEN least(raw, 30) ELSE raw END AS match_score FROM judged)"""
+_TIER = "CASE WHEN reasons <> '' OR match_score < 55 THEN 'REJECT' WHEN match_score >= 90 THEN 'EXACT' WHEN match_score >= 75 THEN 'STRONG' ELSE 'SUPPORTING' END AS tier"
+add("classify_comparables", lambda s, f: _matched(s, f).select("target_id", "lot_id", "match_score", "tier", F.array_join("reject_reasons", ",").alias("reasons")), f"WITH {MATCHED} SELECT target_id, lot_id, match_score, {_TIER}, reasons FROM matched")
+add("match_score", lambda s, f: _matched(s, f).groupBy("target_id", "tier", "match_score").agg(F.count("*").alias("n")), f"WITH {MATCHED} SELECT target_id, {_TIER}, match_score, count(*) AS n FROM matched GROUP BY ALL")
+add("normalize_grade", lambda s, f: matching.grade(d.lots(s, f).drop("grading_company", "cert_number"), "grade_raw").groupBy("grade_raw", "grade_bucket", "numeric_grade", "grading_company", "cert_number", "is_details").agg(F.count("*").alias("n")),
+    f"WITH {d.LOTS_SQL} SELECT grade_raw, gb AS grade_bucket, gn AS numeric_grade, CASE WHEN grade_raw = 'PCGS MS66' THEN 'PCGS' END AS grading_company, cert AS cert_number, gb = 'DETAILS' AS is_details, count(*) AS n FROM lots GROUP BY ALL")
+add("grade_distance", lambda s, f: _matched(s, f).select("target_id", "lot_id", "grade_distance"), f"WITH {MATCHED} SELECT target_id, lot_id, grade_distance FROM matched")
+add("grade_weight", lambda s, f: _matched(s, f).select("target_id", "lot_id", "grade_weight"), f"WITH {MATCHED} SELECT target_id, lot_id, grade_weight FROM matched")
 
 
 # --- backtests, metal ----------------------------------------------------------------------------------
 
-CASES = f"""{d.COMPARABLES_SQL}, {PRICED}, {ELIGIBLE},
-cases0 AS (SELECT target_id, seq, price, count(price) OVER past AS past_n, quantile_cont(price, 0.5) OVER past AS predicted FROM eligible
-  WINDOW past AS (PARTITION BY target_id ORDER BY auction_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING)),
-cases AS (SELECT *, abs(predicted - price) / price AS pct_error, abs(predicted - price) / price <= 0.25 AS within,
-    CASE WHEN past_n >= 10 THEN 'HIGH' WHEN past_n >= 3 THEN 'MEDIUM' WHEN past_n >= 1 THEN 'LOW' ELSE 'NONE' END AS label FROM cases0)"""
-add("run_backtest", lambda s, f: r4(backtest.run_backtest(d.comparables(s, f))), f"WITH {CASES} SELECT {cols('target_id seq past_n label within', 'price', 'predicted', 'pct_error')} FROM cases")
+_QUARTILES = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+_CHAIN = SNAPSHOT[SNAPSHOT.index("valued AS") : SNAPSHOT.index(",\nsnap AS")].replace(f"DATE '{AS_OF}'", "as_of")
+CASES = f"""{d.COMPARABLES_SQL}, {PRICED}, {ELIGIBLE}, {DEALERS},
+sold AS (SELECT *, target_id || '-' || seq AS case_id FROM eligible WHERE auction_date IS NOT NULL),
+past0 AS (SELECT c.case_id, e.seq, e.price, e.tier, e.auction_house, e.auction_date,
+    e.weight * pow(0.5, (date_diff('day', e.auction_date, c.auction_date) - greatest(date_diff('day', e.auction_date, DATE '{AS_OF}'), 0)) / 730.0) AS weight
+  FROM sold c JOIN sold e ON e.target_id = c.target_id AND e.auction_date < c.auction_date),
+{flags('pf', 'past0', key='case_id')}, past AS (SELECT *, weight * CASE WHEN outlier_flag IS NULL THEN 1 ELSE 0.35 END AS adj_weight FROM pf),
+{quantiles('pq', 'past', 'price', 'adj_weight', {'weighted_median': 0.5, 'p25': 0.25, 'p75': 0.75}, 'case_id')}, {quantiles('pd', 'past', 'price', '1.0::DOUBLE', _QUARTILES, 'case_id')},
+pn AS (SELECT case_id, count(*) AS s_n, count(*) FILTER (tier = 'EXACT') AS exact_count, count(*) FILTER (tier = 'STRONG') AS strong_count,
+    count(DISTINCT lower(trim(auction_house))) AS houses, max(auction_date) AS latest_sale FROM past GROUP BY case_id),
+base AS (SELECT c.target_id, c.seq, c.price, c.auction_date AS as_of, 0.6 + c.target_id % 5 / 10.0::DOUBLE AS identity_quality, coalesce(s_n, 0) AS s_n, exact_count, strong_count, houses, latest_sale,
+    weighted_median, p25, p75, CASE WHEN s_n >= 2 AND q2 <> 0 THEN (q3 - q1) / q2 END AS dispersion, dealer_median, NULL AS last_12m, NULL AS last_24m,
+    CASE WHEN s_n IS NULL THEN 0 WHEN exact_count + strong_count >= 10 THEN 0.9 WHEN exact_count + strong_count >= 5 THEN 0.8
+      WHEN exact_count + strong_count >= 3 THEN 0.7 WHEN exact_count + strong_count >= 1 THEN 0.5 ELSE 0.3 END::DOUBLE AS realized_weight,
+    CASE WHEN weighted_median <> 0 THEN (dealer_median - weighted_median) / weighted_median END AS disagreement_pct
+  FROM sold c LEFT JOIN pn USING (case_id) LEFT JOIN pq USING (case_id) LEFT JOIN pd USING (case_id) LEFT JOIN dealers dl ON dl.target_id = c.target_id),
+{_CHAIN},
+cases AS (SELECT target_id, seq, s_n AS past_n, price, fair_low AS predicted_low, fair_central AS predicted, fair_high AS predicted_high, abs(price - fair_central) / price AS pct_error,
+    confidence_label AS label, CASE WHEN fair_central IS NOT NULL THEN price BETWEEN fair_low AND fair_high END AS within FROM c5)"""
+_backtested = lambda s, f: backtest.run_backtest(d.comparables(s, f), d.dealer_prices(s, f), targets(s, f))
+add("run_backtest", lambda s, f: r4(_backtested(s, f)), f"WITH {CASES} SELECT {cols('target_id seq past_n label within', 'price', 'predicted_low', 'predicted', 'predicted_high', 'pct_error')} FROM cases")
 _REPORT = "count(*) AS cases, count(pct_error) AS scored, round(avg(within::INT), 4) AS hit_rate, round(avg(pct_error), 4) AS mean_error, round(-quantile_disc(-pct_error, 0.5), 4) AS median_error"
-add("backtest_report", lambda s, f: r4(backtest.backtest_report(backtest.run_backtest(d.comparables(s, f)))), f"WITH {CASES} SELECT label, {_REPORT} FROM cases GROUP BY label UNION ALL SELECT NULL, {_REPORT} FROM cases")
+add("backtest_report", lambda s, f: r4(backtest.backtest_report(_backtested(s, f))), f"WITH {CASES} SELECT label, {_REPORT} FROM cases GROUP BY label UNION ALL SELECT NULL, {_REPORT} FROM cases")
 add(
     "metal_value",
     lambda s, f: r4(d.specs(s, f).select("id", (F.col("weight_g") * F.col("fineness_per_mille") / 1000 * F.when(F.col("primary_metal") == "gold", 2000.0).when(F.col("primary_metal") == "silver", 25.0) / 1.08 / 31.1034768).alias("eur"))),

@@ -6,9 +6,11 @@ targets, suppliers for auction houses and dealers, and events for bids. Every ru
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hammerline.operators import matching
+
 #: All ages are counted from here (after every sale date).
 AS_OF = "2002-01-01"
 
@@ -17,8 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: What the matcher gives for grades, from the same number to far apart; lots beyond have none.
-GRADE_WEIGHTS = [1.0, 0.9, 0.75, 0.7, 0.55, 0.45, 0.3]
+#: Grades that suppliers' lots state, by the supplier's number.
+LOT_GRADES = ("MS64", "XF", "VF", "UNC", "PCGS MS66")
+
+
+def _pick(values, by) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+
+
+def target_grade(target: Column) -> dict[str, Column]:
+    """The grade that a target names, if any, by its number."""
+    return {
+        "grade_bucket": F.when(target % 2 == 0, _pick(("VF", "XF", "UNC_MID", "UNC_HIGH"), target)),
+        "grade_numeric": F.when(target % 8 == 2, 65),
+        "grading_company": F.when(target % 8 == 2, "PCGS"),
+    }
+
+
+def _lot_grade_weight(lots: DataFrame) -> DataFrame:
+    """Adds grade_weight: what the matcher gives for the lot's grade against its target's; null where that names none."""
+    wanted = target_grade(F.col("target_id"))
+    df = matching.grade(lots, "grade_raw")
+    numeric = F.abs(wanted["grade_numeric"] - F.col("numeric_grade"))
+    buckets, same = matching.bucket_distance(wanted["grade_bucket"], F.col("grade_bucket")), F.coalesce(wanted["grade_bucket"] == F.col("grade_bucket"), F.lit(False))
+    weight = F.when(wanted["grade_bucket"].isNotNull(), matching.grade_weight(numeric, buckets, same))
+    return df.select(*lots.columns, weight.alias("grade_weight"))
 
 
 def comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +57,7 @@ def comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_returnflag") == "R", "REALIZED_INCL_PREMIUM").otherwise("HAMMER")
     )
     hammer = F.col("l_extendedprice") / F.col("l_quantity")
-    return line.join(house, "l_suppkey").select(
+    found = line.join(house, "l_suppkey").select(
         F.col("l_partkey").alias("target_id"),
         F.row_number().over(order).cast("long").alias("seq"),
         hammer.alias("hammer_price"),
@@ -46,16 +71,23 @@ def comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, ("EUR", "USD", "GBP", "CHF"))), (F.col("s_nationkey") % 4 + 1).cast("int")).alias("currency"),
         F.when(n % 3 == 0, "csv").otherwise("manual").alias("source"),
         F.when(n % 2 == 0, F.concat(F.lit("u"), o.cast("string"))).alias("source_url"),
-        F.element_at(F.array(*map(F.lit, ("MS64", "XF", "VF", "UNC", "PCGS MS66"))), (k % 5 + 1).cast("int")).alias("grade_raw"),
+        _pick(LOT_GRADES, k).alias("grade_raw"),
         (55 + (o * 7 + n * 13) % 46).cast("int").alias("identity_match_score"),
-        F.get(F.array(*map(F.lit, GRADE_WEIGHTS)), ((o + n) % 9).cast("int")).alias("grade_weight"),
         k.alias("dealer_id"),
         F.col("l_quantity").alias("quantity"),
         F.col("l_discount").alias("discount"),
     )
+    return _lot_grade_weight(found)
 
 
-COMPARABLES_SQL = """comparables AS (
+#: The matcher's weight of a lot's grade (gb, gn) against a target's (tb, tn), ranks in the table `ranks`.
+RANKS_SQL = "ranks(b, i) AS (VALUES ('LOW', 1), ('FINE', 2), ('VF', 3), ('XF', 4 ), ('AU', 5), ('UNC_LOW', 6), ('UNC_MID', 7), ('UNC_HIGH', 8))"
+GRADE_SQL = """CASE WHEN tb IS NULL THEN NULL WHEN tn IS NOT NULL AND gn IS NOT NULL THEN CASE abs(tn - gn) WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.75 ELSE 0.3 END
+      WHEN tb = gb THEN 0.7 WHEN x.i IS NULL OR y.i IS NULL THEN 0.55 WHEN abs(x.i - y.i) = 1 THEN 0.45 ELSE 0.3 END::DOUBLE"""
+_TARGET_GRADE_SQL = """CASE WHEN {0} % 2 = 0 THEN list_extract(['VF', 'XF', 'UNC_MID', 'UNC_HIGH'], CAST({0} % 4 + 1 AS INTEGER)) END AS tb, CASE WHEN {0} % 8 = 2 THEN 65 END AS tn"""
+_LOT_GRADE_SQL = """list_extract(['UNC_MID', 'XF', 'VF', 'UNC_MID', 'UNC_HIGH'], CAST(l_suppkey % 5 + 1 AS INTEGER)) AS gb, CASE l_suppkey % 5 WHEN 0 THEN 64 WHEN 4 THEN 66 END AS gn"""
+COMPARABLES_SQL = f"""{RANKS_SQL},
+comparables AS (SELECT c.* EXCLUDE (tb, tn, gb, gn), {GRADE_SQL} AS grade_weight FROM (
   SELECT l_partkey AS target_id,
     row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS seq,
     l_extendedprice / l_quantity AS hammer_price, l_extendedprice / l_quantity * (1 + l_tax) AS realized_price,
@@ -68,9 +100,86 @@ COMPARABLES_SQL = """comparables AS (
     CASE WHEN l_linenumber % 2 = 0 THEN 'u' || l_orderkey END AS source_url,
     CASE l_suppkey % 5 WHEN 0 THEN 'MS64' WHEN 1 THEN 'XF' WHEN 2 THEN 'VF' WHEN 3 THEN 'UNC' ELSE 'PCGS MS66' END AS grade_raw,
     CAST(55 + (l_orderkey * 7 + l_linenumber * 13) % 46 AS INTEGER) AS identity_match_score,
-    list_extract([1.0, 0.9, 0.75, 0.7, 0.55, 0.45, 0.3]::DOUBLE[], CAST((l_orderkey + l_linenumber) % 9 + 1 AS INTEGER)) AS grade_weight,
+    {_TARGET_GRADE_SQL.format('l_partkey')}, {_LOT_GRADE_SQL},
     l_suppkey AS dealer_id, l_quantity AS quantity, l_discount AS discount
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"""
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) c LEFT JOIN ranks x ON x.b = tb LEFT JOIN ranks y ON y.b = gb)"""
+
+
+def _identity(k: Column) -> dict[str, Column]:
+    """What part k is: a country, a year, a value, an issuer, a mint mark, a variant and a catalogue number."""
+    return {
+        "country_code": F.concat(F.lit("C"), (k % 25).cast("string")),
+        "year": (1750 + k % 220).cast("int"),
+        "denomination_value": (k % 50 / 4.0 + 0.25),
+        "issuer": F.concat(F.lit("Mint of "), F.col("p_brand")),
+        "mintmark": F.when(k % 5 == 2, _pick(("A", "D", "F"), k)),
+        "catalog": F.concat(F.lit("KM"), (k % 700).cast("string")),
+    }
+
+
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets with what is known of them: a row a part; now and then a field is left open."""
+    k = F.col("p_partkey")
+    of = _identity(k)
+    return table(spark, sf_dir, "part").select(
+        k.alias("target_id"),
+        F.when(k % 89 != 3, of["country_code"]).alias("country_code"),
+        F.when(k % 97 != 5, of["year"]).alias("year"),
+        F.when(k % 101 != 7, of["denomination_value"]).alias("denomination_value"),
+        F.when(k % 3 != 0, F.lower("p_brand")).alias("issuer"),
+        F.lower(of["mintmark"]).alias("mintmark"),
+        F.when(k % 4 == 1, F.array("p_type")).alias("variants"),
+        F.when(k % 6 == 0, F.create_map(F.lit("KM"), of["catalog"])).alias("catalog_ids"),
+        *[c.alias(n) for n, c in target_grade(k).items()],
+    )
+
+
+def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lots with what they say of themselves: a row a line item, which deviates from its part by the order's number."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type")
+    k, o, n = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")
+    of = _identity(k)
+    order = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    line = table(spark, sf_dir, "lineitem").withColumn("copy", F.row_number().over(order))
+    return line.join(part, "l_partkey").select(
+        F.concat_ws("-", o.cast("string"), n.cast("string"), F.col("copy").cast("string")).alias("lot_id"),
+        F.concat_ws(" ", "p_name", F.when(o % 31 == 4, "replica"), F.when(o % 37 == 5, "coin set")).alias("title"),
+        F.when(o % 43 == 6, "with a medal").alias("description"),
+        F.when(o % 17 != 0, of["country_code"]).alias("country_code"),
+        (of["year"] + F.when(o % 6 == 0, 1).otherwise(0)).alias("coin_year"),
+        (of["denomination_value"] + F.when(o % 9 == 0, 0.25).otherwise(0.0)).alias("denomination_value"),
+        F.when(o % 7 != 1, F.concat(F.lower("p_type"), F.when(o % 2 == 0, " variety").otherwise(""))).alias("variant"),
+        F.when(o % 5 != 0, F.create_map(F.lit("KM"), F.when(o % 5 == 1, "KM0").otherwise(of["catalog"]))).alias("catalog_ids"),
+        of["mintmark"].alias("mintmark"),
+        F.when(o % 4 == 0, "unknown").otherwise(of["issuer"]).alias("issuer"),
+        _pick((*LOT_GRADES, "Very Fine, cleaned", "", "AU cert #A-12"), o).alias("grade_raw"),
+        F.when(o % 8 == 3, "PCGS").alias("grading_company"),
+        F.lit(None).cast("string").alias("cert_number"),
+        (o % 41 == 7).alias("withdrawn"),
+        F.when(o % 3 != 0, o % 47 == 8).alias("unsold"),
+        F.when(o % 13 != 2, F.col("l_extendedprice")).alias("hammer_price"),
+        F.lit(None).cast("double").alias("realized_price"),
+        F.when(o % 26 == 2, 10.0).alias("estimate_low"),
+        F.lit(None).cast("double").alias("estimate_high"),
+    )
+
+
+IDENTITIES_SQL = f"""identities AS (SELECT p_partkey AS target_id, CASE WHEN p_partkey % 89 <> 3 THEN 'C' || p_partkey % 25 END AS t_country, CASE WHEN p_partkey % 97 <> 5 THEN 1750 + p_partkey % 220 END AS t_year,
+    CASE WHEN p_partkey % 101 <> 7 THEN p_partkey % 50 / 4.0::DOUBLE + 0.25 END AS t_value, CASE WHEN p_partkey % 3 <> 0 THEN lower(p_brand) END AS t_issuer,
+    CASE WHEN p_partkey % 5 = 2 THEN list_extract(['a', 'd', 'f'], CAST(p_partkey % 3 + 1 AS INTEGER)) END AS t_mark, CASE WHEN p_partkey % 4 = 1 THEN lower(p_type) END AS t_variant,
+    CASE WHEN p_partkey % 6 = 0 THEN 'KM' || p_partkey % 700 END AS t_km, {_TARGET_GRADE_SQL.format('p_partkey')}, CASE WHEN p_partkey % 8 = 2 THEN 'PCGS' END AS t_company FROM part)"""
+LOTS_SQL = """lots AS (SELECT l_orderkey || '-' || l_linenumber || '-' || copy AS lot_id,
+    concat_ws(',', CASE WHEN o % 37 = 5 THEN 'coin set' END, CASE WHEN o % 43 = 6 THEN 'medal' END, CASE WHEN o % 31 = 4 THEN 'replica' END, CASE WHEN o % 37 = 5 THEN 'set' END) AS negative,
+    CASE WHEN o % 17 <> 0 THEN 'C' || k % 25 END AS country, 1750 + k % 220 + CASE WHEN o % 6 = 0 THEN 1 ELSE 0 END AS coin_year,
+    k % 50 / 4.0::DOUBLE + 0.25 + CASE WHEN o % 9 = 0 THEN 0.25 ELSE 0 END AS value,
+    CASE WHEN o % 7 <> 1 THEN lower(p_type) || CASE WHEN o % 2 = 0 THEN ' variety' ELSE '' END END AS variant,
+    CASE WHEN o % 5 = 1 THEN 'KM0' WHEN o % 5 <> 0 THEN 'KM' || k % 700 END AS km, CASE WHEN k % 5 = 2 THEN list_extract(['a', 'd', 'f'], CAST(k % 3 + 1 AS INTEGER)) END AS mark,
+    CASE WHEN o % 4 = 0 THEN 'unknown' ELSE lower('Mint of ' || p_brand) END AS issuer,
+    list_extract(['MS64', 'XF', 'VF', 'UNC', 'PCGS MS66', 'Very Fine, cleaned', '', 'AU cert #A-12'], CAST(o % 8 + 1 AS INTEGER)) AS grade_raw,
+    list_extract(['UNC_MID', 'XF', 'VF', 'UNC_MID', 'UNC_HIGH', 'DETAILS', 'UNKNOWN', 'AU'], CAST(o % 8 + 1 AS INTEGER)) AS gb, CASE o % 8 WHEN 0 THEN 64 WHEN 4 THEN 66 END AS gn,
+    CASE WHEN o % 8 IN (4, 3) THEN 'PCGS' END AS company, CASE WHEN o % 8 = 7 THEN 'A-12' END AS cert, o % 41 = 7 AS withdrawn, CASE WHEN o % 3 <> 0 THEN o % 47 = 8 ELSE false END AS unsold,
+    o % 13 = 2 AND o % 26 <> 2 AS priceless
+  FROM (SELECT *, l_orderkey AS o, l_partkey AS k, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS copy FROM lineitem) JOIN part ON l_partkey = p_partkey)"""
 
 
 def dealer_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
