@@ -68,7 +68,7 @@ class _Past:
                     low = a + 1
                 else:
                     high = a
-            return min([near(low)] * (low < left) + [far(k - low)] * (k - low < right))
+            return min([near(low) for _ in range(low < left)] + [far(k - low) for _ in range(k - low < right)])
 
         return (nth((self.n - 1) // 2) + nth(self.n // 2)) / 2
 
@@ -189,5 +189,5 @@ def report_lines(report: DataFrame) -> DataFrame:
     """(label, line): the report as text; a label without scored cases gets no finding."""
     label = F.coalesce("label", F.lit("ALL"))
     none = F.format_string("%s: %d cases, none scored, no finding", label, F.col("cases"))
-    line = F.format_string("%s: %d cases, %d scored, %d percent within a quarter", label, F.col("cases"), F.col("scored"), F.round(F.col("hit_rate") * 100).cast("long"))
+    line = F.format_string("%s: %d cases, %d scored, %d percent within the range", label, F.col("cases"), F.col("scored"), F.round(F.col("hit_rate") * 100).cast("long"))
     return report.select(label.alias("label"), F.when(F.col("scored") == 0, none).otherwise(line).alias("line"))

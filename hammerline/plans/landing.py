@@ -101,6 +101,6 @@ add("read_alias_ontology", _ontology, """WITH n AS (SELECT lower(n_name) AS n, C
     UNION ALL SELECT 'currency', 'coin of ' || n, k, 'C' || k, NULL FROM n UNION ALL SELECT 'subunit', 'cent' || k, k, 'C' || k, NULL FROM n UNION ALL SELECT 'special', 'quarter ' || n, k, 'C' || k, 0.25 FROM n""")
 add("read_spec_json", _spec_json, f"""WITH {d.SPECS_SQL} SELECT country, denomination_value AS denomination, count(*) AS n, round(sum(weight_g) + 1e-7, 4) AS weight FROM
     (SELECT * FROM specs UNION ALL SELECT * REPLACE (country || ' II' AS country) FROM specs) GROUP BY ALL""")
-add("report_text", lambda s, f: backtest.report_lines(backtest.backtest_report(backtest.run_backtest(d.comparables(s, f)))),
+add("report_text", lambda s, f: backtest.report_lines(backtest.backtest_report(market._backtested(s, f))),
     f"WITH {market.CASES}, r AS (SELECT coalesce(label, 'ALL') AS label, cases, scored, hit FROM (SELECT label, count(*) AS cases, count(pct_error) AS scored, avg(within::INT) AS hit FROM cases GROUP BY label UNION ALL SELECT NULL, count(*), count(pct_error), avg(within::INT) FROM cases)) "
-    "SELECT label, CASE WHEN scored = 0 THEN label || ': ' || cases || ' cases, none scored, no finding' ELSE label || ': ' || cases || ' cases, ' || scored || ' scored, ' || CAST(round(hit * 100) AS BIGINT) || ' percent within a quarter' END AS line FROM r")
+    "SELECT label, CASE WHEN scored = 0 THEN label || ': ' || cases || ' cases, none scored, no finding' ELSE label || ': ' || cases || ' cases, ' || scored || ' scored, ' || CAST(round(hit * 100) AS BIGINT) || ' percent within the range' END AS line FROM r")

@@ -116,9 +116,54 @@ def test_specs_join_by_difference(spark):
     assert got == {k: near(w) for k, w in enumerate(wanted)}
 
 
-def test_every_sale_is_a_case(spark):
-    day = lambda k: datetime.date(2020, 1, 1) + datetime.timedelta(days=k)
-    rows = [(1, k, "HAMMER", float(p), None, False, False, day(n)) for k, (p, n) in enumerate([(100, 0), (110, 1), (130, 1), (200, 5)])] + [(1, 9, "HAMMER", 5.0, None, False, True, day(0))]
-    sales = spark.createDataFrame(rows, "target_id int, seq int, price_semantics string, hammer_price double, realized_price double, withdrawn boolean, unsold boolean, auction_date date")
-    got = {r.seq: (r.past_n, r.predicted) for r in backtest.run_backtest(sales).collect()}
-    assert got == {0: (0, None), 1: (1, 100.0), 2: (1, 100.0), 3: (3, 110.0)}
+SALE = "target_id int, seq int, price_semantics string, hammer_price double, realized_price double, withdrawn boolean, unsold boolean, auction_date date, identity_match_score int, source string, source_url string, auction_house string, grade_weight double"
+
+
+def test_backtest_values_each_sale_by_the_snapshot_of_its_day(spark):
+    rng, first = random.Random(6), datetime.date(2019, 1, 1)
+    rows = []
+    for target, n in ((1, 40), (2, 7), (3, 1), (4, 3)):
+        for k in range(n):
+            price = rng.choice([100, 104, 104, 110, 95, 99.5, 400, 20]) * 1.0
+            rows.append((target, k, "HAMMER", price, None, False, rng.random() < 0.1, first + datetime.timedelta(days=rng.randrange(40) * 20), rng.choice([50, 60, 80, 95]), rng.choice(["csv", "manual"]), rng.choice([None, "u"]), rng.choice(["A", " a", "B", "", None]), rng.choice([None, 0.3, 1.0])))
+    rows.append((5, 0, "HAMMER", 10.0, None, False, False, None, 90, "csv", None, "A", None))
+    sales = spark.createDataFrame(rows, SALE)
+    asks = spark.createDataFrame([(1, 0, 120.0), (1, 1, 130.0), (2, 0, 90.0), (9, 0, 1.0)], "target_id int, seq int, price double")
+    targets = spark.createDataFrame([(k, 0.9) for k in range(1, 5)], "target_id int, identity_quality double")
+    got = {(r.target_id, r.seq): r for r in backtest.run_backtest(sales, asks, targets).collect()}
+    cases = [r for r in rows if not r[6] and r[7] is not None]
+    assert set(got) == {(r[0], r[1]) for r in cases}
+    for r in rng.sample(cases, 5) + cases[-1:]:
+        before = sales.filter((F.col("target_id") == r[0]) & (F.col("auction_date") < F.lit(r[7])))
+        want = valuation.snapshot(before, asks, targets.filter(F.col("target_id") == r[0]), str(r[7])).first()
+        found = got[r[0], r[1]]
+        assert found.past_n == (want.n or 0) or found.past_n is None and want.n is None
+        assert found.label == want.confidence_label
+        for a, b in ((found.predicted_low, want.fair_low), (found.predicted, want.fair_central), (found.predicted_high, want.fair_high)):
+            assert a is None and b is None or math.isclose(a, b, rel_tol=1e-9)
+        assert found.within == (None if want.fair_central is None else want.fair_low <= r[3] <= want.fair_high)
+
+
+def test_order_by_price_against_direct_counting():
+    rng = random.Random(1)
+    for n in (1, 2, 3, 5, 8, 60):
+        for _ in range(20):
+            prices = sorted(rng.choice([1.0, 2.0, 2.0, 2.5, 9.0, 40.0, rng.random() * 10]) for _ in range(n))
+            past, held, order = backtest._Past(prices), [], list(range(n))
+            rng.shuffle(order)
+            for at in order:
+                weight = rng.choice([0.1, 1.0, 1.0, 3.0])
+                past.add(at, weight)
+                held = sorted([*held, (prices[at], at, weight)])
+                values = [h[0] for h in held]
+                middle = sorted(values)[(len(values) - 1) // 2] / 2 + sorted(values)[len(values) // 2] / 2
+                away = sorted(abs(v - middle) for v in values)
+                assert math.isclose(past.median(), middle)
+                assert math.isclose(past.deviation(past.median()), (away[(len(away) - 1) // 2] + away[len(away) // 2]) / 2, abs_tol=1e-12)
+                low, high = rng.choice([(-math.inf, math.inf), (2.0, 9.0), (2.2, 2.3), (50.0, 60.0)])
+                weights = [w * (1.0 if low <= v <= high else 0.35) for v, _, w in held]
+                points = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+                for p, q in zip(points, past.quantiles(points, 0.35, low, high)):
+                    assert math.isclose(q, direct(values, weights, p), rel_tol=1e-9), (values, weights, p)
+                spread = [direct(values, [1.0] * len(values), p) for p in (0.25, 0.5, 0.75)]
+                assert past.dispersion() is None if len(values) < 2 else math.isclose(past.dispersion(), (spread[2] - spread[0]) / spread[1], abs_tol=1e-12)
