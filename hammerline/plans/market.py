@@ -169,12 +169,12 @@ add(
 _POINTS = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}
 add(
     "weighted_quantile",
-    lambda s, f: r4(stats.weighted_quantiles(_sales(s, f), ["target_id"], "price", "weight", "seq", _POINTS)),
+    lambda s, f: r4(stats.bucketed_quantiles(_sales(s, f), ["target_id"], "price", "weight", "seq", _POINTS)),
     f"WITH {SALES}, {quantiles('q', 'sales', 'price', 'weight', _POINTS)} SELECT {cols('target_id', *_POINTS)} FROM q",
 )
 add(
     "weighted_median",
-    lambda s, f: r4(stats.weighted_quantiles(d.dealer_prices(s, f).filter("price > 0"), ["target_id"], "price", "score", "seq", {"median": 0.5})),
+    lambda s, f: r4(stats.bucketed_quantiles(d.dealer_prices(s, f).filter("price > 0"), ["target_id"], "price", "score", "seq", {"median": 0.5})),
     f"WITH {d.DEALER_PRICES_SQL}, a0 AS (SELECT *, CASE WHEN sum(score) OVER (PARTITION BY target_id) > 0 THEN score ELSE 1 END AS w FROM dealer_prices WHERE price > 0), {quantiles('q', 'a0', 'price', 'w', {'median': 0.5})} SELECT target_id, round(median, 4) AS median FROM q",
 )
 add(
@@ -188,12 +188,12 @@ add("robust_z", lambda s, f: r4(_sales(s, f).select("target_id", "seq", "sample_
 ORACLES["robust_z"] = ORACLES["robust_z"].replace("round(z + 1e-7, 4) AS z", "round(z + 1e-7, 4) + 0.0 AS z")
 add(
     "mad",
-    lambda s, f: r4(stats.robust_z(d.dealer_prices(s, f).filter("price > 0"), ["target_id"], "price").groupBy("target_id").agg(F.max("med").alias("med"), F.max("mad").alias("mad"))),
+    lambda s, f: r4(stats.bucketed_robust_z(d.dealer_prices(s, f).filter("price > 0"), ["target_id"], "price", "seq").groupBy("target_id").agg(F.max("med").alias("med"), F.max("mad").alias("mad"))),
     f"WITH {d.DEALER_PRICES_SQL}, a AS (SELECT * FROM dealer_prices WHERE price > 0), {flags('fl', 'a')} SELECT target_id, round(max(med), 4) AS med, round(max(mad), 4) AS mad FROM fl GROUP BY target_id",
 )
 add(
     "flag_outliers",
-    lambda s, f: stats.flag_outliers(d.dealer_prices(s, f).filter("price > 0"), ["target_id"], "price").groupBy("target_id").agg(F.count("*").alias("n"), F.count_if(F.col("outlier_flag") == "OUTLIER_HIGH").alias("high"), F.count_if(F.col("outlier_flag") == "OUTLIER_LOW").alias("low")),
+    lambda s, f: stats.flag_outliers(d.dealer_prices(s, f).filter("price > 0"), ["target_id"], "price", "seq").groupBy("target_id").agg(F.count("*").alias("n"), F.count_if(F.col("outlier_flag") == "OUTLIER_HIGH").alias("high"), F.count_if(F.col("outlier_flag") == "OUTLIER_LOW").alias("low")),
     f"WITH {d.DEALER_PRICES_SQL}, a AS (SELECT * FROM dealer_prices WHERE price > 0), {flags('fl', 'a')} SELECT target_id, count(*) AS n, count(*) FILTER (outlier_flag = 'OUTLIER_HIGH') AS high, count(*) FILTER (outlier_flag = 'OUTLIER_LOW') AS low FROM fl GROUP BY target_id",
 )
 add(

@@ -43,6 +43,24 @@ def test_quantiles_by_hand_and_directly(spark):
         assert math.isclose(quantile(spark, values, weights, p), direct(values, weights, p))
 
 
+def test_bucketed_quantiles_are_those_of_one_window(spark):
+    rng = random.Random(8)
+    rows = []
+    for key, n in (("hot", 900), ("few", 3), ("one", 1), ("same", 50), ("weightless", 6), (None, 5)):
+        for k in range(n):
+            value = 7.0 if key == "same" else rng.choice([None, 5.0, 5.0, 5.0, 1e6, rng.random() * 100, rng.gauss(50, 1)])
+            rows.append((key, k, value, 0.0 if key == "weightless" else rng.choice([0.2, 1.0, 5.0])))
+    points = {"p0": 0.0, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+    df = spark.createDataFrame(rows, "target_id string, seq long, price double, w double").filter("target_id is not null").repartition(3)
+    for buckets in (2, 8, 64):
+        got = {r.target_id: r for r in stats.bucketed_quantiles(df, ["target_id"], "price", "w", "seq", points, buckets).collect()}
+        want = {r.target_id: r for r in stats.weighted_quantiles(df, ["target_id"], "price", "w", "seq", points).collect()}
+        assert set(got) == set(want)
+        assert all(math.isclose(got[k][p], want[k][p], rel_tol=1e-9) for k in want for p in points)
+    flat = lambda d: sorted((r.target_id, r.seq, r.sample_n, r.outlier_flag, round(r.z or 0, 6)) for r in d.filter("price is not null").collect())
+    assert flat(stats.flag_outliers(df, ["target_id"], "price", "seq")) == flat(stats.flag_outliers(df, ["target_id"], "price"))
+
+
 def test_outliers_and_dispersion(spark):
     flags = lambda prices: [r.outlier_flag for r in stats.flag_outliers(sample(spark, prices), ["target_id"], "price").orderBy("seq").collect()]
     assert flags([100, 105, 110, 115, 500]) == [None] * 4 + ["OUTLIER_HIGH"]
