@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hammerline.llm.common import free_name, released, stored
+from hammerline.llm.substring import Rolling
 
 #: Bytes of a UTF-8 text to word bytes: A-Z lower-cased; 0-9, a-z and all non-ASCII stay; the rest separates.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -23,34 +23,49 @@ def words_of(text: str | None) -> list[bytes]:
 class Windows:
     """The windows of a set of items, and where they occur in a document.
 
-    Words of the items are numbered; a window of a document can only match where all its words are
-    numbered, so runs of numbered words are found first, and each window in a run is looked up whole.
+    Of each length of windows the index is three arrays in order of the windows' 64-bit hashes: hash, place
+    in the items' words, item; 20 bytes a window. A document's rolling hashes probe it, and every hit is
+    compared word by word.
     """
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int):
-        self.number: dict[bytes, int] = {}
-        self.items: dict[int, dict[tuple[int, ...], set[str]]] = {}
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], size: int):
+        self.names: list[str | None] = []
+        blob, found = [], {}
+        at = 0
         for item, text in items:
-            ids = tuple(self.number.setdefault(w, len(self.number)) for w in words_of(text))
-            n = min(size, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                self.items.setdefault(n, {}).setdefault(ids[i : i + n], set()).add(item)
-
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+            words = words_of(text)
+            n = min(size, len(words))
+            if not n:
+                continue
+            ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, len(words)))
+            starts = at + np.concatenate([[0], ends[:-1]])[: len(words) - n + 1]
+            found.setdefault(n, []).append((Rolling(words).runs(n), starts, np.full(len(starts), len(self.names), np.int32)))
+            blob.append(b"".join(w + b" " for w in words))
+            at += int(ends[-1])
+            self.names.append(item)
+        self.blob, self.tables = b"".join(blob), {}
+        for n in sorted(found):
+            columns = [np.concatenate(c) for c in zip(*found.pop(n))]
+            order = np.argsort(columns[0], kind="stable")
+            self.tables[n] = [c[order] for c in columns]
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         """Spans (start, end) of all windows that occur, in order of their length, and their items."""
         spans, items = [], set()
-        if not self.items or not words:
-            return spans, items
-        ids = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
-        known = ids >= 0
-        reach = np.concatenate([[0], np.cumsum(known)])
-        for n, table in self.items.items():
-            if n <= len(words):
-                for i in np.flatnonzero(reach[n:] - reach[:-n] == n).tolist():
-                    found = table.get(tuple(ids[i : i + n].tolist()))
-                    if found:
-                        spans.append((i, i + n))
-                        items |= found
+        rolling = Rolling(words) if words and self.tables else None
+        for n, (hashes, places, owners) in self.tables.items() if rolling else ():
+            own = rolling.runs(n)
+            first = np.searchsorted(hashes, own)
+            for i in np.flatnonzero(hashes[np.minimum(first, len(hashes) - 1)] == own).tolist():
+                wanted, hit = b"".join(w + b" " for w in words[i : i + n]), False
+                last = int(np.searchsorted(hashes, own[i], side="right"))
+                for k in range(int(first[i]), last):
+                    name = self.names[owners[k]]
+                    if (not hit or name not in items) and self.blob.startswith(wanted, int(places[k])):
+                        items.add(name)
+                        hit = True
+                if hit:
+                    spans.append((i, i + n))
         return spans, items
 
 
@@ -69,9 +84,10 @@ def find_windows(
     spans and what lies between their words, null where there are none). Where docs have a column of that
     name the last column has an underscore more.
 
-    The benchmark's windows are broadcast only while its texts have `slice_chars` characters or fewer.
-    A larger one is cut into slices of items of that size; the documents are scanned slice by slice and
-    the hits are merged, so memory stays bounded and no window is lost. Null texts and items without
+    The benchmark's texts and the sorted hashes of their windows are broadcast, at most `slice_chars`
+    characters of them: five to seven bytes a character. A larger one is cut into slices of items of that
+    size; the documents are scanned slice by slice and the hits are merged, so memory stays bounded and no
+    window is lost. An item is never cut, so one that is larger than that makes a larger slice. Null texts and items without
     words match nothing; an item with a null id marks words but is in no list.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t"))
@@ -80,7 +96,7 @@ def find_windows(
     found = docs.withColumn(free_name(docs, "contamination"), F.lit(None).cast(_HITS))
     for k in range(max(1, slices)):
         part = items if slices <= 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k)
-        found = _scan(found, [(r.i, r.t) for r in part.toLocalIterator()], size, text_col)
+        found = _scan(found, Windows(((r.i, r.t) for r in part.toLocalIterator()), size), text_col)
         found = stored(found, "scanned") if k + 1 < slices else found
     return found
 
@@ -88,12 +104,12 @@ def find_windows(
 _HITS = "struct<n_words: bigint, n_hit: bigint, items: array<string>, spans: array<struct<start: int, end: int>>, rest: string>"
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, str | None]], size: int, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((items, size))
+def _scan(docs: DataFrame, index: Windows, text_col: str) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
     at, schema = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows(*shared.value)
+        windows = shared.value
         for batch in batches:
             hits = []
             for text, old in zip(batch.column(at), batch.column(batch.num_columns - 1)):

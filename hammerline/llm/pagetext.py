@@ -26,13 +26,29 @@ SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "ca
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements around the article, and names of classes, ids and roles that mark such parts (fixed values).
 AROUND = {"nav", "footer", "aside", "form", "menu", "button", "select", "dialog", "fieldset"}
-ASIDE_NAMES = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookie\w*|consent|disqus|footer|form|header|masthead|menu|modal|nav\w*|"
-    r"newsletter|notice|popup|promo\w*|related|repl(?:y|ies)|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])"
-)
-#: Elements that hold parts of a page, whose names tell what they hold; a name of any other inside an article
-#: tells nothing. Elements that may stand in a page's head (fixed values).
-HOLDERS = {"div", "section", "ul", "ol", "dl", "table", "tr", "td", "tbody", "header", "article", "main", "details"}
+ASIDE_NAMES = {
+    "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "form",
+    "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "popup", "promo", "promotion", "related", "reply", "replies", "respond", "share",
+    "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+}
+#: Parts of a name that say where or what kind of box it is, but nothing of its content (fixed values).
+PLAIN_NAMES = {
+    "area", "bar", "block", "bottom", "box", "button", "buttons", "column", "container", "content", "group", "inner", "item", "items", "left", "link", "links", "list", "main",
+    "outer", "page", "panel", "posts", "right", "section", "site", "slot", "text", "top", "unit", "wrap", "wrapper",
+}
+
+
+def names_an_aside(names: str) -> bool:
+    """Whether one of the names, taken apart at hyphens and underscores, is made of ASIDE_NAMES, and beside them
+    PLAIN_NAMES and numbers, alone: cookie-notice and ad_slot_2 are, social-history and header-image aren't."""
+    for name in names.lower().split():
+        parts = [p for p in re.split("[-_]+", name) if p]
+        if any(p in ASIDE_NAMES for p in parts) and all(p in ASIDE_NAMES or p in PLAIN_NAMES or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+#: Elements that may stand in a page's head (fixed values).
 IN_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
 #: Elements that can't stay open when a new block of their kind begins (fixed values).
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -70,7 +86,7 @@ class Flattener(HTMLParser):
         if self.count.get("head") and tag not in IN_HEAD:  # a head that was never closed
             self._pop(next(k for k, (name, _) in enumerate(self.open) if name == "head"))
         closes = CLOSES.get(tag) or ({"p"} if tag in BLOCK else set())
-        if closes and self.open:
+        if any(self.count.get(c) for c in closes):  # else there is nothing to look for
             for k in range(len(self.open) - 1, -1, -1):
                 name = self.open[k][0]
                 if name in closes:
@@ -84,10 +100,9 @@ class Flattener(HTMLParser):
             self.now.parts.append(" ")
         if tag in VOID:
             return
-        telling = tag in HOLDERS or not self._in("article", "main")
-        named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v) if telling else ""
+        named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         header = tag == "header" and not self._in("article", "main")
-        aside = tag in AROUND or header or bool(named and tag not in ("html", "body", "article", "main") and ASIDE_NAMES.search(named))
+        aside = tag in AROUND or header or bool(named and tag not in ("html", "body", "article", "main") and names_an_aside(named))
         self.open.append((tag, aside))
         self.count[tag] = self.count.get(tag, 0) + 1
         self.asides += aside
@@ -131,8 +146,9 @@ class Flattener(HTMLParser):
 
 
 def flat_blocks(html: str | None) -> list[Block]:
-    parser = Flattener()
-    parser.feed(html or "")
+    parser, html = Flattener(), html or ""
+    rest = html.find("<", html.rfind(">") + 1)  # a tag that never ends: the parser would try it from each "<" on
+    parser.feed(html if rest < 0 else html[:rest])
     parser.close()
     parser._flush()
     return parser.blocks

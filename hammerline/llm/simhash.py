@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -17,21 +18,45 @@ from hammerline.llm.components import connected_components
 SEED = 42
 
 
+_WHITE = re.compile(rb"[ \t-\r]")
+#: Bytes of a text whose shingles are counted at once.
+SPAN_BYTES = 1 << 20
+
+
+def _spans(raw: bytes) -> Iterator[bytes]:
+    """About SPAN_BYTES of a text at a time, cut behind white space."""
+    at = 0
+    while at < len(raw):
+        end = at + SPAN_BYTES
+        if end < len(raw):
+            white = _WHITE.search(raw, end)
+            end = white.end() if white else len(raw)
+        yield raw[at:end]
+        at = end
+
+
+def _set_bits(hashes: list[int]) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
 def simhash64(text: str | None, shingle_words: int = 3) -> int:
     """Fingerprint of a text: A-Z lower-cased, words between ASCII white space, `shingle_words` words a
-    shingle, repeats included; a bit is 1 if over half the shingles' XXH64 have it. No words: 0."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    k = min(shingle_words, len(words))
-    digest = xxhash.xxh64_intdigest
-    if k == 3:
-        hashes = [digest(b"%b %b %b" % w, SEED) for w in zip(words, words[1:], words[2:])]
-    else:
-        hashes = [digest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)]
-    bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    set_in = bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(set_in * 2 > len(hashes)).tobytes(), "big")
+    shingle, repeats included; a bit is 1 if over half the shingles' XXH64 have it. No words: 0. Very long
+    texts are counted a megabyte at a time."""
+    set_in, n, words, digest = np.zeros(64, np.int64), 0, [], xxhash.xxh64_intdigest
+    for span in _spans((text or "").encode("utf-8", "surrogatepass")):
+        words += span.lower().split()
+        if len(words) < shingle_words:
+            continue
+        if shingle_words == 3:
+            hashes = [digest(b"%b %b %b" % w, SEED) for w in zip(words, words[1:], words[2:])]
+        else:
+            hashes = [digest(b" ".join(words[i : i + shingle_words]), SEED) for i in range(len(words) - shingle_words + 1)]
+        set_in, n, words = set_in + _set_bits(hashes), n + len(hashes), words[len(words) - shingle_words + 1 :]
+    if not n and words:  # a text of fewer words is one shingle
+        set_in, n = _set_bits([digest(b" ".join(words), SEED)]), 1
+    return int.from_bytes(np.packbits(set_in * 2 > n).tobytes(), "big")
 
 
 def _signed(value: int) -> int:

@@ -63,3 +63,14 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert d.report(d.find_windows(df.limit(0), bench)).count() == 0
     assert not any(r.contaminated for r in d.report(d.find_windows(df, bench.limit(0))).collect())
+
+
+def test_index_of_many_windows_stays_small():
+    import pickle
+
+    rng = random.Random(2)
+    items = [(str(k), " ".join(rng.choices([f"w{i:04d}" for i in range(3000)], k=1000))) for k in range(300)]
+    index = d.Windows(iter(items), 10)
+    assert len(pickle.dumps(index)) < 8 * sum(len(t) for _, t in items)
+    words = d.words_of("x y " + " ".join(items[7][1].split()[5:17]) + " z")
+    assert d.merged(index.scan(words)[0]) == [(2, 14)] and index.scan(words)[1] == {"7"}

@@ -59,3 +59,23 @@ def test_names_inside_an_article_and_an_unclosed_head():
     tree, words = pagetext.trained_tree(), "some words of the article that go on for a while and tell a story to its end"
     page = f'<html><head><title>t</title><body><article><p>{words}</p><p class="share-price">{words} again</p><div class="share">share this</div></article></body></html>'
     assert pagetext.main_text(page, tree) == f"{words}\n\n{words} again"
+
+
+def _text(html):
+    return [b.text() for b in pagetext.flat_blocks(html) if not b.aside]
+
+
+def test_names_of_any_element_count_as_whole_words():
+    gone = ['<p class="advert">x</p>', '<figure class="ad">x</figure>', '<blockquote class="promo">x</blockquote>', '<p class="comment">x</p>', '<span class="ad">x</span>', '<div id="cookie-notice">x</div>', '<div class="y ad_slot_2">x</div>']
+    stays = ['<div class="social-history">x</div>', '<div class="form-of-words">x</div>', '<div class="header-image">x</div>', '<p class="lead">x</p>', '<div class="adder">x</div>']
+    assert [_text(f"<article>{h}</article>") for h in gone] == [[]] * len(gone)
+    assert [_text(f"<article>{h}</article>") for h in stays] == [["x"]] * len(stays)
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    for html in ('<a b="' * 170_000, "<p>a</p>" + '<a b="' * 170_000, "<span>" * 40_000 + "<hr>" * 40_000):
+        start = time.process_time()
+        pagetext.flat_blocks(html)
+        assert time.process_time() - start < 5

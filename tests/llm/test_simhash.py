@@ -72,3 +72,11 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     rows = sorted((r.doc_id or -1, r.component_id) for r in simhash.near_duplicates(df).collect())
     assert rows == [(-1, 7), (3, 3), (7, 7), (7, 7)]
     assert simhash.near_duplicates(df.filter(F.lit(False))).count() == 0
+
+
+def test_very_long_text_in_spans(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "B", "cc", "é"]) + rng.choice(["", "\n", "\t "]) for _ in range(n)) for n in (0, 1, 2, 3, 50, 400)]
+    monkeypatch.setattr(simhash, "SPAN_BYTES", 7)
+    for k in (1, 2, 3, 5):
+        assert [simhash.simhash64(t, k) for t in texts] == [brute(t, k) for t in texts]
