@@ -38,7 +38,7 @@ _WORD = re.compile(rb"[^ \t-\r]+")
 SOURCE_BYTES = 4_000_000
 #: What a row counts beside its text, so that sources of empty texts are bounded too.
 ROW_BYTES = 16
-SLICE_WORDS = 2_000_000
+SLICE_WORDS = 1_000_000
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
