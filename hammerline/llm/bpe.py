@@ -24,7 +24,7 @@ LETTER_ENDS = r"[0-9A-Za-zÀ-ÖØ-öø-ÿ]$"
 ODD_WORD = r"^$|^[\t-\r\x1c-\x20\x{85}\p{Z}]|[\t-\r\x1c-\x20\x{85}\p{Z}]$"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 #: Bytes of text encoded at a time; bytes of words that are remembered.
-SLICE_BYTES, MEMO_BYTES = 4_000_000, 20_000_000
+SLICE_BYTES, MEMO_BYTES = 2_000_000, 20_000_000
 #: A long text is cut before a space between two letters or digits about every so many characters.
 CUT = 200_000
 
@@ -96,13 +96,12 @@ class Encoder:
 
     def __init__(self, vocabulary: str):
         self.tokenizer, self.memo = load(vocabulary), _Memo()
-        with open(vocabulary, encoding="utf-8") as f:
-            about = json.load(f)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        splitting = about.get("pre_tokenizer") or {}
-        plain = about.get("normalizer") is None and all(splitting.get(k) == v for k, v in BYTE_LEVEL.items())
-        self.by_words = plain and about["model"]["type"] == "BPE" and not any(c.isspace() for t in self.added for c in t)
-        size = vocabulary_size(vocabulary)
+        splitting = self.tokenizer.pre_tokenizer  # asked of the one loaded tokenizer: a worker's memory is dear
+        splitting = json.loads(splitting.__getstate__()) if splitting is not None else {}
+        plain = self.tokenizer.normalizer is None and all(splitting.get(k) == v for k, v in BYTE_LEVEL.items())
+        self.by_words = plain and type(self.tokenizer.model).__name__ == "BPE" and not any(c.isspace() for t in self.added for c in t)
+        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
