@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from hammerline.llm.common import give_back
+
 #: A byte-level tokenizer file whose ids of a text follow from those of its words (fixed values).
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 #: White space by any definition, for a space behind it (RE2 syntax); letters and digits that end a piece
@@ -24,7 +26,7 @@ LETTER_ENDS = r"[0-9A-Za-zÀ-ÖØ-öø-ÿ]$"
 ODD_WORD = r"^$|^[\t-\r\x1c-\x20\x{85}\p{Z}]|[\t-\r\x1c-\x20\x{85}\p{Z}]$"
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 #: Bytes of text encoded at a time; bytes of words that are remembered.
-SLICE_BYTES, MEMO_BYTES = 2_000_000, 20_000_000
+SLICE_BYTES, MEMO_BYTES = 1_000_000, 20_000_000
 #: A long text is cut before a space between two letters or digits about every so many characters.
 CUT = 200_000
 
@@ -216,6 +218,7 @@ class Encoder:
             if i == len(sizes) or (total and total + size > SLICE_BYTES):
                 if i > at:
                     yield at, *self._slice(texts.slice(at, i - at), total)
+                    give_back()
                 at, total = i, 0
             total += size
 

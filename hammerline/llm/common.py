@@ -101,6 +101,14 @@ def write_file(uri: str, parts: list[bytes]) -> None:
     where.move(draft, path)
 
 
+def give_back() -> None:
+    """Gives memory that allocators hold back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function of a mapInArrow, after which the worker gives freed memory back: Spark keeps workers for
     later tasks, also of other stages, and what an allocator holds back would add up beside the executor."""
@@ -108,9 +116,6 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            with contextlib.suppress(AttributeError, OSError):
-                ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return wrapped
