@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from hammerline.functions import denominations as dn
 from hammerline.functions import text as t
 
 #: Fraction signs (fixed values).
@@ -43,7 +44,7 @@ def catalog_denomination(text: Column) -> tuple[Column, Column, Column]:
     for sign, plain in FRACTIONS.items():
         raw = F.replace(raw, F.lit(sign), F.lit(plain))
     fraction, number = r"^([0-9]+) ?/ ?([0-9]+)(?: (.+))?$", r"^[+]?([0-9]+(?:[.,][0-9]+)?|[.,][0-9]+)(?: (.+))?$"
-    known, known_unit = t.parse_denomination(raw)
+    known, known_unit = dn.parse_denomination(raw)
     ratio = _double(_found(raw, fraction)) / F.nullif(_double(_found(raw, fraction, 2)), F.lit(0.0))
     value = F.when(raw.rlike(fraction), ratio).when(known > 0, known).otherwise(_double(_found(raw, number)))
     unit = F.when(raw.rlike(fraction), _found(raw, fraction, 3)).when(known > 0, known_unit).otherwise(_found(raw, number, 2))
@@ -159,9 +160,3 @@ def says_whole(text: Column, words: Column) -> Column:
     """Every word stands in the text as a whole word; true without words."""
     padded = F.concat(F.lit(" "), t.norm(text), F.lit(" "))
     return F.forall(words, lambda w: F.contains(padded, F.concat(F.lit(" "), w, F.lit(" "))))
-
-
-def denomination_fits(stated: Column, value: Column, unit: Column) -> Column:
-    """Some stated (v, u) equals the target's; a target without a value fits all."""
-    same = F.exists(stated, lambda d: (F.abs(d.v - value) < 1e-9) & (d.u == unit))
-    return F.when(value.isNull(), True).otherwise(F.coalesce(same, F.lit(False)))

@@ -22,9 +22,6 @@ NEGATIVE_TERMS = [
     "fantasy issue", "souvenir",
 ]
 STOP = ["the", "and", "with", "for", "der", "die", "das", "les", "des", "los", "las"]
-#: Units of denominations and their canonical name (fixed values).
-UNITS = {"cents": "cent", "cent": "cent", "dollars": "dollar", "dollar": "dollar", "euros": "euro", "euro": "euro", "francs": "franc", "franc": "franc", "lire": "lira", "lira": "lira", "marks": "mark", "mark": "mark", "pence": "penny", "penny": "penny"}
-
 
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: long expressions that use a column often would outgrow generated code."""
@@ -103,28 +100,17 @@ def parse_year(text: Column) -> Column:
     return F.when(F.size(found) > 0, F.element_at(found, -1)).cast("int")
 
 
-def parse_denomination(text: Column) -> tuple[Column, Column]:
-    """(value, unit) of the first number with a known unit; fractions as a/b, decimal commas as points, a euro cent is a cent."""
-    found = let(norm(F.regexp_replace(F.coalesce(text, F.lit("")), "([0-9]),([0-9])", "$1.$2")), _denomination)
-    return found["value"], found["unit"]
-
-
-def _denomination(t: Column) -> Column:
-    pattern = r"([0-9]+/[0-9]+|[0-9]+(?:[.,][0-9]+)?) (?:euros? (?=cents?\b))?(" + "|".join(UNITS) + r")\b"
-    number, unit = F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)
-    parts = F.split(number, "/")
-    value = F.when(F.size(parts) == 2, F.get(parts, 0).try_cast("double") / F.nullif(F.get(parts, 1).try_cast("double"), F.lit(0.0)))
-    value = value.otherwise(F.replace(number, F.lit(","), F.lit(".")).try_cast("double"))
-    canonical = F.element_at(F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair]), unit)
-    return F.struct(value.alias("value"), canonical.alias("unit"))
-
-
 def identity_key(*parts: Column) -> Column:
     """Parts in lower case, trimmed, joined by a bar; numbers without trailing zeros."""
     clean = lambda p: F.regexp_replace(F.lower(F.trim(F.coalesce(p.cast("string"), F.lit("")))), r"\.0+$|(\.[0-9]*[1-9])0+$", "$1")
     return F.concat_ws("|", *map(clean, parts))
 
 
+def coin_key(country: Column, denomination: Column, year: Column, variant: Column) -> Column:
+    """Country, denomination, year and variant as they are stated, in lower case, trimmed, joined by a bar; what is missing is empty."""
+    return F.concat_ws("|", *[F.lower(F.trim(F.coalesce(p.cast("string"), F.lit("")))) for p in (country, denomination, year, variant)])
+
+
 def item_id_from_url(url: Column) -> Column:
     found = F.regexp_extract(F.coalesce(url, F.lit("")), r"[?&](?:id|page)=([0-9]+)", 1)
     return F.when(found != "", found)

@@ -22,6 +22,22 @@ def asof_rates(sales: DataFrame, rates: DataFrame) -> DataFrame:
     return sales.join(found, ["from_ccy", "auction_date"], "left")
 
 
+def normalize_amounts(sales: DataFrame, amount: str, currency: str = "EUR") -> DataFrame:
+    """sales of asof_rates with normalized_price (two decimals, halves to even), fx_source, fx_date and
+    fx_confidence. An amount in the wanted currency passes as it is; without an amount, a currency or a rate all
+    four are null."""
+    own, known = F.upper(F.trim("from_ccy")) == currency, F.col(amount).isNotNull() & F.col("from_ccy").isNotNull()
+    rated = known & (own | F.col("rate").isNotNull())
+    value = F.when(own, F.col(amount)).otherwise(F.col(amount) * F.col("rate"))
+    exact = F.when(own, F.col("auction_date").isNotNull()).otherwise(F.col("is_exact"))
+    return sales.withColumns({
+        "normalized_price": F.when(rated, F.bround(F.round(value * 100, 4)) / 100),
+        "fx_source": F.when(rated, F.when(own, "same_currency").otherwise("reference_rates")),
+        "fx_date": F.when(rated, F.when(own, F.col("auction_date")).otherwise(F.col("rate_date"))),
+        "fx_confidence": F.when(rated, F.when(exact, "auction_date").otherwise("current_fallback")),
+    })
+
+
 def best_tariff(offers: DataFrame, tariffs: DataFrame) -> DataFrame:
     """offers (offer_id, dealer, destination, price, weight) with the cost of the best fitting tariff: nearest
     destination first, then the narrowest price band, then the narrowest weight band, which is wider than any if it

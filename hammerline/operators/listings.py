@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hammerline.functions import denominations as dn
 from hammerline.functions import text as t
 from hammerline.sources.landed import amount
 
@@ -44,12 +45,12 @@ def hard_filter(listings: DataFrame) -> DataFrame:
     """Adds reasons against a listing (title beside t_value, t_unit, t_year, t_country, t_grade of its search): an
     empty title alone is EMPTY_TEXT; otherwise all that apply. What a title doesn't state is no reason."""
     title = F.coalesce("title", F.lit(""))
-    value, unit = t.parse_denomination(title)
+    stated, wanted = dn.extract_denominations(title), (F.col("t_value"), F.col("t_unit"))
     reasons = F.array_compact(
         F.array(
             F.when(asset_class(title) == "BANKNOTE", "BANKNOTE"),
             F.when(t.product_scope(title) == "SET", "NOT_SINGLE_COIN"),
-            F.when(differs(value, F.col("t_value")) | differs(unit, F.col("t_unit")), "DENOMINATION_MISMATCH"),
+            F.when(t.let(stated, lambda found: dn.conflicts(found, *wanted)), "DENOMINATION_MISMATCH"),
             F.when(differs(t.parse_year(title), F.col("t_year")), "YEAR_MISMATCH"),
             F.when(differs(country_of(title), F.col("t_country")), "COUNTRY_MISMATCH"),
             F.when(differs(grade_tier(title), F.col("t_grade")), "GRADE_MISMATCH"),
@@ -63,9 +64,9 @@ def match_points(listings: DataFrame) -> DataFrame:
     """Adds listing_score: points of the stated fields that agree as a share of those the search states, less
     twenty for each that disagrees; with a negative word at most 20."""
     title = F.coalesce("title", F.lit(""))
-    value, unit = t.parse_denomination(title)
+    stated, wanted = dn.extract_denominations(title), (F.col("t_value"), F.col("t_unit"))
     fields = [
-        (28, F.col("t_value"), (value == F.col("t_value")) & (unit == F.col("t_unit"))),
+        (28, F.col("t_value"), t.let(stated, lambda found: F.when(F.size(found) > 0, dn.fits(found, *wanted)))),
         (28, F.col("t_year"), t.parse_year(title) == F.col("t_year")),
         (22, F.col("t_country"), country_of(title) == F.col("t_country")),
     ]
@@ -109,27 +110,41 @@ def listing_cards(pages: DataFrame) -> DataFrame:
 def strict_filter(listings: DataFrame) -> DataFrame:
     """Adds reasons against a listing as evidence of a specification: what a title doesn't state is one as well."""
     title = F.coalesce("title", F.lit(""))
-    value, unit = t.parse_denomination(title)
+    stated, wanted = dn.extract_denominations(title), (F.col("t_value"), F.col("t_unit"))
     agrees = lambda found, wanted: F.coalesce(found == wanted, F.lit(False)) | wanted.isNull()
     reasons = F.array(
         F.when(asset_class(title) != "COIN", "NOT_COIN"),
         F.when(t.product_scope(title) == "SET", "NOT_SINGLE_COIN"),
-        F.when(~(agrees(value, F.col("t_value")) & agrees(unit, F.col("t_unit"))), "DENOMINATION_MISMATCH"),
+        F.when(~dn.fits(stated, *wanted), "DENOMINATION_MISMATCH"),
         F.when(~agrees(t.parse_year(title), F.col("t_year")), "YEAR_MISMATCH"),
         F.when(~agrees(country_of(title), F.col("t_country")), "COUNTRY_MISMATCH"),
     )
     return listings.withColumn("reasons", F.array_compact(reasons))
 
 
-def title_score(listings: DataFrame, similarity) -> DataFrame:
-    """Adds title_score: likeness of the title and the search's words, and a bonus for each field that agrees."""
+#: Wordings of a type that lift a listing of a United States dollar, and by how much (fixed values).
+TYPE_WORDS = {"peace dollar": 0.18, "morgan dollar": 0.10, "silver dollar": 0.08}
+
+
+def type_bonus(title: Column, country: Column, denomination: Column) -> Column:
+    """What the wordings of a type in a title add to its rank; 0 for other searches and for null titles."""
+    wanted = (F.lower(F.trim(country)) == "united states") & F.contains(t.norm(denomination), F.lit("dollar"))
+    total = sum((F.when(t.contains_phrase(title, words), points).otherwise(0.0) for words, points in TYPE_WORDS.items()), F.lit(0.0))
+    return F.when(F.coalesce(wanted, F.lit(False)), total).otherwise(0.0)
+
+
+def title_score(listings: DataFrame, similarity, variant_col: str | None = None) -> DataFrame:
+    """Adds title_score: likeness of the title and the search's words, and a bonus for each field that agrees.
+    variant_col: the column with the variant that is searched for; a search without one agrees with all titles."""
     title = F.coalesce("title", F.lit(""))
-    value, unit = t.parse_denomination(title)
-    wanted = F.concat_ws(" ", "t_country", F.col("t_value").cast("int").cast("string"), "t_unit", "t_year")
+    stated, wished = dn.extract_denominations(title), (F.col("t_value"), F.col("t_unit"))
+    variant = t.variant_tokens(F.col(variant_col)) if variant_col else F.array().cast("array<string>")
+    wanted = F.concat_ws(" ", "t_country", F.col("t_value").cast("int").cast("string"), "t_unit", "t_year", *([variant_col] if variant_col else []))
     bonus = lambda ok, points: F.when(F.coalesce(ok, F.lit(False)), points).otherwise(0.0)
     extra = (
-        bonus(country_of(title) == F.col("t_country"), 0.18) + bonus((value == F.col("t_value")) & (unit == F.col("t_unit")), 0.22)
+        bonus(country_of(title) == F.col("t_country"), 0.18) + bonus(dn.fits(stated, *wished), 0.22)
         + bonus(t.parse_year(title) == F.col("t_year"), 0.2) + bonus(grade_tier(title) == F.col("t_grade"), 0.08)
+        + bonus((F.size(variant) == 0) | t.variant_matches(variant, title), 0.1)
     )
     score = F.when(F.trim(title) == "", 0.0).otherwise(similarity(t.norm(title), t.norm(wanted)) + extra)
     return listings.withColumn("title_score", score)

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hammerline.functions import catalogue as c
+from hammerline.functions import denominations as dn
 from hammerline.functions import text as t
 from hammerline.operators import listings, valuation
 from hammerline.plans.market import r4
@@ -101,17 +102,12 @@ def variants_of(text: Column) -> Column:
 
 labelled("variant_aliases", ["PP farbig 1999", "small date", "proofs", "", None], lambda x: {"variants": F.array_join(variants_of(x), ",")}, {"variants": (["colorized,proof", "small-date", "", "", ""], "VARCHAR")})
 labelled(
-    "denomination_matches", ["2 euro 50 cents", "5 mark", "none", ""],
-    lambda x: {n: c.denomination_fits(_stated(x), v, u) for n, v, u in (("two_euro", F.lit(2.0), F.lit("euro")), ("five_mark", F.lit(5.0), F.lit("mark")), ("unknown", F.lit(None).cast("double"), F.lit(None).cast("string")))},
-    {"two_euro": ([True, False, False, False], "BOOLEAN"), "five_mark": ([False, True, False, False], "BOOLEAN"), "unknown": ([True] * 4, "BOOLEAN")},
+    "denomination_matches", ["2 euro 50 cents", "5 mark", "none", "", "half crown, two euros or 5 Mark"],
+    lambda x: {n: dn.fits(dn.extract_denominations(x), v, u) for n, v, u in (("two_euro", F.lit(2.0), F.lit("euro")), ("five_mark", F.lit(5.0), F.lit("mark")), ("unknown", F.lit(None).cast("double"), F.lit(None).cast("string")))},
+    {"two_euro": ([True, False, False, False, True], "BOOLEAN"), "five_mark": ([False, True, False, False, True], "BOOLEAN"), "unknown": ([True] * 5, "BOOLEAN")},
 )
 
 
-def _stated(text: Column) -> Column:
-    value, unit = t.parse_denomination(text)
-    return F.array(F.struct(value.alias("v"), unit.alias("u")))
-
-
 #: Aliases that a search spells out, by country and denomination (fixed values).
 SPELLED = {"Austria": ["Austria", "Österreich"], "France": ["France", "Frankreich"], "Greece": ["Greece", "Hellas", "Griechenland"]}
 

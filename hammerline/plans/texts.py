@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hammerline.functions import denominations as dn
 from hammerline.functions import text as t
 from hammerline.plans import market
 from hammerline.sources import derived as d
@@ -54,7 +55,7 @@ add("parse_number", lambda s, f: market.r4(d.table(s, f, "part").select("p_partk
 add("parse_year", lambda s, f: _docs(s, f).select("doc_id", t.parse_year(F.col("text")).alias("year")),
     "SELECT doc_id, CAST(list_extract(regexp_extract_all(text, '\\b(1[0-9]{3}|2[01][0-9]{2})\\b', 1), -1) AS INTEGER) AS year FROM documents")
 _label = lambda: F.concat(F.element_at(F.array(*map(F.lit, ("1/2 Dollar", "0,5 Euro", "1000 Lire", "25 Cents", "no unit", "2.5 Francs"))), (F.col("p_partkey") % 6 + 1).cast("int")), F.lit(" "), F.col("p_name"))
-add("parse_denomination", lambda s, f: d.table(s, f, "part").select("p_partkey", *[c.alias(n) for c, n in zip(t.parse_denomination(F.regexp_replace(_label(), ",", ".")), ("value", "unit"))]),
+add("parse_denomination", lambda s, f: d.table(s, f, "part").select("p_partkey", *[c.alias(n) for c, n in zip(dn.parse_denomination(F.regexp_replace(_label(), ",", ".")), ("value", "unit"))]),
     "SELECT p_partkey, list_extract([0.5, 0.5, 1000, 25, NULL, 2.5]::DOUBLE[], CAST(p_partkey % 6 + 1 AS INTEGER)) AS value, list_extract(['dollar', 'euro', 'lira', 'cent', NULL, 'franc'], CAST(p_partkey % 6 + 1 AS INTEGER)) AS unit FROM part")
 add("identity_key", lambda s, f: d.specs(s, f).select("id", t.identity_key(F.col("country"), F.col("denomination_value"), F.col("issue_year")).alias("key")),
     f"WITH {d.SPECS_SQL} SELECT id, lower(country) || '|' || regexp_replace(CAST(denomination_value AS VARCHAR), '\\.0$', '') || '|' || coalesce(CAST(issue_year AS VARCHAR), '') AS key FROM specs")

@@ -79,7 +79,7 @@ def test_title_score_against_plain_python(spark):
     rows = spark.createDataFrame([row, (1, 2, " ", *row[3:])], "target_id int, seq int, title string, t_value double, t_unit string, t_year int, t_country string, t_grade string")
     got = {r.seq: r.title_score for r in listings.title_score(rows, identity.similarity).collect()}
     ratio = difflib.SequenceMatcher(None, "5 mark 1970 austria coin unc", "austria 5 mark 1970").ratio()
-    assert abs(got[1] - (ratio + 0.18 + 0.22 + 0.2 + 0.08)) < 1e-9 and got[2] == 0.0
+    assert abs(got[1] - (ratio + 0.18 + 0.22 + 0.2 + 0.08 + 0.1)) < 1e-9 and got[2] == 0.0
 
 
 def test_json_leaves_decode_escapes(spark):
