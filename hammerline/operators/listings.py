@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hammerline.functions import denominations as dn
 from hammerline.functions import text as t
 from hammerline.sources.landed import amount
+from hammerline.streaming.streams import shared_dir
 
 #: Words of bank notes, and of grade tiers (fixed values).
 NOTES = ["banknote", "paper money", "geldschein", "billet"]
@@ -78,17 +81,42 @@ def match_points(listings: DataFrame) -> DataFrame:
     return listings.withColumn("listing_score", score.cast("int"))
 
 
+#: Kinds of JSON-LD objects that are offered, and endings of their availability that rule them out (fixed values).
+PRODUCTS, GONE = ("Product", "IndividualProduct"), ("outofstock", "soldout", "discontinued")
+
+
+def json_objects(texts: DataFrame, json_col: str, mark: str) -> DataFrame:
+    """texts with v in place of json_col: a row for every JSON object, at any depth, in whose text the mark stands.
+
+    Each round takes the objects and lists of one depth apart, so there are as many rounds as the deepest of these
+    objects has lists and objects around it; what doesn't hold the mark goes no further. Broken JSON has none."""
+    spark, others = texts.sparkSession, [c for c in texts.columns if c != json_col]
+    folder = f"{shared_dir(spark)}/objects-{uuid.uuid4().hex}"
+    level, depth = texts.select(*others, F.try_parse_json(json_col).alias("v")), 0
+    while True:
+        level.filter(F.to_json("v").contains(mark)).select(*others, "v").write.parquet(f"{folder}/depth={depth}")
+        level = spark.read.schema(level.select(*others, "v").schema).parquet(f"{folder}/depth={depth}")
+        if level.isEmpty():
+            break
+        inner = spark.tvf.variant_explode(F.col("v").outer()).select(F.col("value").alias("part"))
+        level, depth = level.lateralJoin(inner).select(*others, F.col("part").alias("v")), depth + 1
+    found = spark.read.schema(level.schema).parquet(folder)
+    return found.select(*others, "v").filter(F.schema_of_variant("v").startswith("OBJECT"))
+
+
 def jsonld_offers(pages: DataFrame) -> DataFrame:
-    """A row a product in the pages' JSON-LD: page_id, name, price, currency, availability. A product stands
-    alone, in a list or in a graph; the first offer counts; sold-out products are left out."""
+    """A row a product in the pages' JSON-LD (page_id, html), at any depth, also inside other products: page_id,
+    name, price, currency, availability. The first offer counts; products without a price or sold out are left
+    out; a missing currency is EUR."""
     scripts = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    body = pages.select("page_id", F.explode(scripts).alias("j"))
-    listed = F.coalesce(F.get_json_object("j", "$.@graph"), F.when(F.trim("j").startswith("["), F.col("j")), F.concat(F.lit("["), F.col("j"), F.lit("]")))
-    items = body.select("page_id", F.explode(F.from_json(listed, "array<string>")).alias("p")).filter(F.get_json_object("p", "$.@type") == "Product")
-    offer = F.coalesce(F.get_json_object("p", "$.offers[0]"), F.get_json_object("p", "$.offers"))
-    found = items.select("page_id", F.get_json_object("p", "$.name").alias("name"), offer.alias("o"))
-    found = found.select("page_id", "name", F.get_json_object("o", "$.price").try_cast("double").alias("price"), F.get_json_object("o", "$.priceCurrency").alias("currency"), F.regexp_extract(F.coalesce(F.get_json_object("o", "$.availability"), F.lit("")), "([A-Za-z]*)$", 1).alias("availability"))
-    return found.filter(~F.lower("availability").isin("outofstock", "soldout", "discontinued"))
+    objects = json_objects(pages.select("page_id", F.explode(scripts).alias("j")), "j", "Product")
+    get = lambda v, path, kind="string": F.try_variant_get(v, path, kind)
+    first = F.coalesce(get("v", "$.offers[0]", "variant"), get("v", "$.offers", "variant"))
+    items = objects.filter(get("v", "$['@type']").isin(*PRODUCTS)).select("page_id", F.coalesce(get("v", "$.name"), F.lit("")).alias("name"), first.alias("o"))
+    stated = F.coalesce(get("o", "$.availability"), F.lit(""))
+    gone = F.exists(F.array(*map(F.lit, GONE)), lambda x: F.contains(F.replace(F.lower(stated), F.lit(" ")), x))
+    found = items.select("page_id", "name", t.parse_number(get("o", "$.price")).alias("price"), F.coalesce(get("o", "$.priceCurrency"), F.lit("EUR")).alias("currency"), F.regexp_extract(stated, "([A-Za-z]*)$", 1).alias("availability"), gone.alias("gone"))
+    return found.filter(~F.col("gone") & F.col("price").isNotNull()).drop("gone")
 
 
 def listing_cards(pages: DataFrame) -> DataFrame:

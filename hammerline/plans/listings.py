@@ -58,19 +58,24 @@ add("listing_match_score", lambda s, f: op.match_points(listings(s, f)).select("
 
 
 def listing_pages(s: SparkSession, f: str) -> DataFrame:
-    """A result page a part: its product as JSON-LD (alone, in a list or in a graph) and two table rows."""
+    """A result page a part: its product as JSON-LD (alone, in a list, in a graph or an item of a list in a graph; every fourth has
+    one related to it inside) and two table rows."""
     part, k = d.table(s, f, "part"), F.col("p_partkey")
     price = F.format_string("%.2f", F.col("p_retailprice"))
     offer = F.format_string('{"price":"%s","priceCurrency":"EUR","availability":"https://schema.org/%s"}', price, F.when(k % 6 == 0, "OutOfStock").otherwise("InStock"))
     offer = F.when(k % 2 == 0, F.concat(F.lit("["), offer, F.lit("]"))).otherwise(offer)
-    product = F.format_string('{"@type":"Product","name":"%s","offers":%s}', F.col("p_name"), offer)
-    json = F.when(k % 3 == 0, product).when(k % 3 == 1, F.concat(F.lit("["), product, F.lit("]"))).otherwise(F.concat(F.lit('{"@graph":['), product, F.lit("]}")))
+    related = F.when(k % 4 == 1, F.format_string(',"isRelatedTo":[[{"@type":"IndividualProduct","name":"%s","offers":{"price":%d}}]]', F.col("p_brand"), F.col("p_size"))).otherwise("")
+    product = F.format_string('{"@type":"Product","name":"%s","offers":%s%s}', F.col("p_name"), offer, related)
+    json = F.when(k % 3 == 0, product).when(k % 3 == 1, F.concat(F.lit("["), product, F.lit("]"))).when(k % 6 == 2, F.concat(F.lit('{"@graph":['), product, F.lit("]}")))
+    json = json.otherwise(F.concat(F.lit('{"@graph":[{"@type":"ItemList","itemListElement":[{"@type":"ListItem","item":'), product, F.lit("}]}]}")))
     row = lambda n, gone: F.format_string('<tr><td><a href="item.php?id=%d"><img></a><a href="item.php?id=%d"><b>%s</b></a></td><td>%s EUR</td><td>%s</td></tr>', n, n, F.col("p_name"), price, gone)
     html = F.concat(F.lit('<html><script type="application/ld+json">'), json, F.lit("</script><table>"), row(k, F.lit("")), row(k + 1000000, F.when(k % 4 == 0, "sold").otherwise("in stock")), F.lit("</table></html>"))
     return part.select(k.alias("page_id"), html.alias("html"))
 
 
-add("jsonld_offers", lambda s, f: r4(op.jsonld_offers(listing_pages(s, f))), "SELECT p_partkey AS page_id, p_name AS name, round(round(p_retailprice, 2) + 1e-7, 4) AS price, 'EUR' AS currency, 'InStock' AS availability FROM part WHERE p_partkey % 6 <> 0")
+add("jsonld_offers", lambda s, f: r4(op.jsonld_offers(listing_pages(s, f))), 
+    "SELECT p_partkey AS page_id, p_name AS name, round(round(p_retailprice, 2) + 1e-7, 4) AS price, 'EUR' AS currency, 'InStock' AS availability FROM part WHERE p_partkey % 6 <> 0 "
+    "UNION ALL SELECT p_partkey, p_brand, p_size, 'EUR', '' FROM part WHERE p_partkey % 4 = 1")
 add("html_listing_cards", lambda s, f: r4(op.listing_cards(listing_pages(s, f))),
     "SELECT p_partkey AS page_id, CAST(p_partkey AS VARCHAR) AS item_id, p_name AS title, round(round(p_retailprice, 2) + 1e-7, 4) AS price FROM part UNION ALL "
     "SELECT p_partkey, CAST(p_partkey + 1000000 AS VARCHAR), p_name, round(round(p_retailprice, 2) + 1e-7, 4) FROM part WHERE p_partkey % 4 <> 0")

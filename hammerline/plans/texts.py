@@ -75,11 +75,11 @@ add("stream_rate_count", lambda s, f: streams.run_to_table(streams.rate_count(st
     "SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n, count(*) > 1 AS over FROM events GROUP BY ALL")
 add("stream_latest_spot", lambda s, f: market.r4(streams.run_to_table(streams.latest_by_window(streams.landed(s, f, "events"), "event_type", "value"), "complete").select("event_type", _ntz("day"), "last", "n")),
     "SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS day, round(arg_max(value, (ts, event_id)) + 1e-7, 4) AS last, count(*) AS n FROM events GROUP BY ALL")
-add("stream_upsert_observations", lambda s, f: streams.run_to_table(streams.landed(s, f, "events").select("user_id", "event_type", "ts", "event_id"), "append", streams.latest_wins(["user_id", "event_type"], ["ts", "event_id"])).select("user_id", "event_type", "event_id"),
+add("stream_upsert_observations", lambda s, f: streams.run_to_table(streams.landed(s, f, "events").select("user_id", "event_type", "ts", "event_id"), "append", ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id"),
     "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
-add("stream_corrections", lambda s, f: streams.run_to_table(streams.landed(s, f, "conversations").select("conv_id", "role", "turn"), "append", streams.latest_wins(["conv_id", "role"], ["turn"])),
+add("stream_corrections", lambda s, f: streams.run_to_table(streams.landed(s, f, "conversations").select("conv_id", "role", "turn"), "append", ["conv_id", "role"], ["turn"]),
     "SELECT conv_id, role, max(turn) AS turn FROM conversations GROUP BY ALL")
-add("stream_news_dedupe", lambda s, f: streams.run_to_table(streams.landed(s, f, "pages").select("url", "page_id"), "append", streams.latest_wins(["url"], ["page_id"])), "SELECT url, max(page_id) AS page_id FROM pages GROUP BY ALL")
+add("stream_news_dedupe", lambda s, f: streams.run_to_table(streams.landed(s, f, "pages").select("url", "page_id"), "append", ["url"], ["page_id"]), "SELECT url, max(page_id) AS page_id FROM pages GROUP BY ALL")
 
 
 def _streamed_bids(s, f):

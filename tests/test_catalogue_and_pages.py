@@ -89,3 +89,22 @@ def test_json_leaves_decode_escapes(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.v for r in rows.orderBy("i").select(c.json_leaves(rows.t).alias("v")).collect()]
     assert got == ['say "x" café a\\b 7', "bad \\q", "", None]
+
+
+def test_jsonld_products_at_any_depth(spark):
+    def product(name, price, more=""):
+        return f'{{"@type": "Product", "name": "{name}", "offers": [{{"price": "{price}"}}, {{"price": 1}}]{more}}}'
+
+    deep = "[" * 8 + product("deep", "1.234,50") + "]" * 8
+    bodies = [
+        product("outer", 5, ', "isRelatedTo": {"x": [' + product("inner", "6") + "]}"), deep, '{"broken": ' + product("lost", 1), "[]", "7",
+        '{"@type": "Product", "offers": {"price": 3, "priceCurrency": "USD", "availability": "https://schema.org/In Stock"}}',
+        '{"@type": "Product", "name": "gone", "offers": {"price": 3, "availability": "Out Of Stock"}}',
+        '{"@type": ["Product"], "name": "list", "offers": {"price": 3}}', '{"@type": "Product", "name": "free", "offers": []}', '{"@type": "Offer", "price": 3, "of": "Product"}',
+    ]
+    html = "".join(f'<script type="application/ld+json">{b}</script>' for b in bodies)
+    pages = spark.createDataFrame([(1, html), (2, html.replace("deep", "again")), (3, None), (4, "<p>Product</p>")], "page_id int, html string")
+    got = sorted((r.page_id, r.name, r.price, r.currency) for r in listings.jsonld_offers(pages).collect())
+    want = [("", 3.0, "USD"), ("deep", 1234.5, "EUR"), ("inner", 6.0, "EUR"), ("outer", 5.0, "EUR")]
+    assert got == sorted([(1, *w) for w in want] + [(2, w[0].replace("deep", "again"), *w[1:]) for w in want])
+    assert listings.jsonld_offers(pages.limit(0)).count() == 0
