@@ -77,6 +77,7 @@ class Flattener(HTMLParser):
         self.now = Block()
         self.count: dict[str, int] = {}
         self.asides = 0
+        self.articles = self.mains = 0
 
     def parse_marked_section(self, i: int, report: int = 1) -> int:
         """What begins with <![ has no meaning in a page and is passed over to its end, whatever it holds."""
@@ -103,6 +104,9 @@ class Flattener(HTMLParser):
         named = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
         header = tag == "header" and not self._in("article", "main")
         aside = tag in AROUND or header or bool(named and tag not in ("html", "body", "article", "main") and names_an_aside(named))
+        if tag in ("article", "main") and not self._in("article", "main") and not self.asides and not aside:
+            self.articles += tag == "article"
+            self.mains += tag == "main"
         self.open.append((tag, aside))
         self.count[tag] = self.count.get(tag, 0) + 1
         self.asides += aside
@@ -151,6 +155,9 @@ def flat_blocks(html: str | None) -> list[Block]:
     parser.feed(html if rest < 0 else html[:rest])
     parser.close()
     parser._flush()
+    if parser.articles > 1 and not parser.mains:  # a list of teasers or posts: which of them is meant is not said
+        for block in parser.blocks:
+            block.inside = False
     return parser.blocks
 
 
@@ -158,7 +165,8 @@ def flat_blocks(html: str | None) -> list[Block]:
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "inside", "page_has_article"]
 #: A small labelled table of blocks (fixed values): word count and share of linked words of the block and
 #: of its neighbours, whether it lies in a part around the article, whether in one marked as the article,
-#: whether the page marks an article at all; last, 1 for main text.
+#: whether the page marks an article at all; last, 1 for main text. Where a page marks none, the neighbours
+#: decide: few words between links are a menu, between text a line of it.
 LABELLED = [
     (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0), (8, 0.0, 1, 1.0, 12, 0.0, 1, 0, 1, 0), (30, 0.0, 8, 1.0, 60, 0.0, 1, 0, 1, 0),
     (12, 0.0, 9, 0.0, 30, 0.0, 0, 1, 1, 1), (90, 0.0, 10, 0.0, 70, 0.0, 0, 1, 1, 1), (1, 0.0, 80, 0.0, 2, 0.0, 0, 1, 1, 1), (2, 0.0, 1, 0.0, 40, 0.0, 0, 1, 1, 1),
@@ -175,13 +183,21 @@ LABELLED = [
     (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 1.0, 0, 0.0, 3, 1.0, 0, 0, 0, 0), (8, 0.9, 3, 1.0, 4, 0.8, 0, 0, 0, 0), (20, 0.8, 9, 0.7, 15, 0.9, 0, 0, 0, 0),
     (4, 0.0, 3, 1.0, 2, 1.0, 0, 0, 0, 0), (5, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 0), (6, 0.0, 30, 0.0, 40, 0.0, 1, 0, 0, 0), (50, 0.0, 20, 0.0, 30, 0.0, 1, 0, 0, 0),
     (70, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1), (45, 0.0, 50, 0.0, 5, 0.2, 0, 0, 0, 1), (30, 0.0, 20, 0.0, 3, 1.0, 0, 0, 0, 1), (12, 0.0, 40, 0.0, 1, 0.0, 0, 0, 0, 1),
-    (14, 0.1, 2, 1.0, 3, 0.9, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (10, 0.2, 1, 1.0, 9, 0.0, 0, 0, 0, 1), (200, 0.1, 3, 1.0, 2, 0.9, 0, 0, 0, 1),
+    (34, 0.1, 2, 1.0, 3, 0.9, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (10, 0.2, 1, 1.0, 9, 0.0, 0, 0, 0, 1), (200, 0.1, 3, 1.0, 2, 0.9, 0, 0, 0, 1),
     (2, 0.9, 2, 1.0, 30, 0.0, 0, 0, 0, 0), (3, 0.9, 40, 0.0, 40, 0.0, 0, 0, 0, 0), (12, 0.8, 20, 0.0, 50, 0.0, 0, 0, 0, 0), (30, 0.7, 60, 0.0, 12, 0.0, 0, 0, 0, 0),
     (3, 1.0, 1, 1.0, 50, 0.0, 1, 0, 0, 0), (9, 0.0, 70, 0.0, 0, 0.0, 1, 0, 0, 0),
+    (3, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 1), (4, 0.0, 45, 0.0, 50, 0.0, 0, 0, 0, 1), (2, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 1), (5, 0.0, 50, 0.0, 35, 0.0, 0, 0, 0, 1),
+    (1, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 1), (4, 0.0, 2, 1.0, 45, 0.0, 0, 0, 0, 1), (6, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 1), (3, 0.0, 4, 1.0, 30, 0.0, 0, 0, 0, 1),
+    (3, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (2, 0.0, 4, 1.0, 2, 0.9, 0, 0, 0, 0), (5, 0.0, 3, 0.8, 4, 1.0, 0, 0, 0, 0), (1, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0),
+    (15, 0.0, 4, 1.0, 4, 1.0, 0, 0, 0, 0), (22, 0.0, 5, 1.0, 6, 1.0, 0, 0, 0, 0), (12, 0.0, 3, 1.0, 5, 1.0, 0, 0, 0, 0), (18, 0.0, 6, 1.0, 2, 1.0, 0, 0, 0, 0),
+    (3, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0), (2, 0.0, 60, 0.0, 4, 1.0, 0, 0, 0, 0), (4, 0.0, 50, 0.0, 2, 1.0, 0, 0, 0, 0), (1, 0.0, 30, 0.0, 5, 1.0, 0, 0, 0, 0),
+    (26, 0.0, 30, 0.0, 3, 1.0, 0, 0, 0, 1), (16, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 1), (20, 0.0, 25, 0.0, 4, 0.9, 0, 0, 0, 1), (12, 0.0, 35, 0.0, 2, 1.0, 0, 0, 0, 1),
+    (40, 0.0, 30, 0.0, 1, 1.0, 1, 0, 0, 0), (60, 0.0, 50, 0.0, 2, 1.0, 1, 0, 0, 0), (30, 0.0, 4, 1.0, 3, 1.0, 1, 0, 0, 0), (16, 0.0, 40, 0.0, 3, 1.0, 1, 0, 0, 0),
+    (25, 0.0, 60, 0.0, 2, 1.0, 1, 0, 0, 0), (90, 0.0, 3, 1.0, 4, 1.0, 1, 0, 0, 0), (4, 0.0, 40, 0.0, 30, 0.0, 1, 0, 0, 0), (70, 0.0, 2, 1.0, 40, 0.0, 1, 0, 0, 0),
 ]
 
 
-def grow_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 6) -> tuple | float:
+def grow_tree(rows: np.ndarray, labels: np.ndarray, depth: int = 9) -> tuple | float:
     """A binary decision tree by Gini impurity: (feature, threshold, tree below or equal, tree above), or
     the share of main text in a leaf. Ties go to the first feature and the lowest threshold."""
     share = labels.mean()

@@ -1,4 +1,5 @@
 import random
+from xml.etree import ElementTree
 
 from hammerline.llm import pagetext
 
@@ -79,3 +80,66 @@ def test_malformed_pages_take_linear_time():
         start = time.process_time()
         pagetext.flat_blocks(html)
         assert time.process_time() - start < 5
+
+
+def test_neighbours_decide_where_no_article_is_marked():
+    used = set()
+
+    def walk(tree):
+        if isinstance(tree, tuple):
+            used.add(pagetext.FEATURES[tree[0]])
+            walk(tree[2])
+            walk(tree[3])
+
+    walk(pagetext.trained_tree())
+    assert {"words_before", "links_before", "links_after"} & used and len(used & set(pagetext.FEATURES[2:6])) >= 2
+    long = "a long paragraph of the text with many words in it " * 4
+    link = '<p><a href="x">more of this</a></p>'
+    page = f"<body>{link}<p>three word label</p>{link}<p>{long}</p><p>three word line</p><p>{long}</p></body>"
+    assert pagetext.main_text(page, pagetext.trained_tree()).split("\n\n") == [long.strip(), "three word line", long.strip()]
+
+
+def test_teasers_as_articles_are_not_the_text():
+    teaser = '<article><h2><a href="x">another piece of news</a></h2><p>a few words that say what it is about</p></article>'
+    long = "a long paragraph of the text with many words in it " * 4
+    page = f'<body>{teaser * 3}<div class="box"><a href="y">all the news</a></div><div id="content"><p>{long}</p><p>{long}</p></div></body>'
+    assert pagetext.main_text(page, pagetext.trained_tree()).split("\n\n") == [long.strip()] * 2
+
+
+def _plain_main_text(html):
+    """The text blocks of the one article of a well-formed page, read as XML; None where it has another form."""
+    try:
+        root = ElementTree.fromstring(html)
+    except ElementTree.ParseError:
+        return None
+    found = []
+
+    def walk(element, inside, aside):
+        aside = aside or element.tag in pagetext.AROUND or any(pagetext.names_an_aside(element.get(k, "")) for k in ("class", "id") if element.tag != "article")
+        inside = inside or element.tag == "article"
+        if element.tag in ("p", "h1", "li", "nav", "footer", "td"):
+            text = " ".join("".join(element.itertext()).split())
+            if inside and not aside and text:
+                found.append(text)
+            return
+        for child in element:
+            walk(child, inside, aside)
+
+    walk(root, False, False)
+    return "\n\n".join(found)
+
+
+def test_random_marked_pages_against_a_plain_reading():
+    rng, words = random.Random(4), "one two three & four five".replace("&", "&amp;").split()
+    say = lambda: " ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 5, 30))))
+    leaf = lambda: rng.choice(("<p>{}</p>", "<h1>{}</h1>", "<ul><li>{}</li><li>x</li></ul>", '<p class="{}">{}</p>', "<p>a <a>{}</a> b</p>", "<table><tr><td>{}</td></tr></table>", "<nav>{}</nav>"))
+
+    def block(depth):
+        form, name = leaf(), rng.choice(("ad", "comments", "social-history", "lead", "cookie-box"))
+        one = form.format(name, say()) if form.count("{}") == 2 else form.format(say())
+        return one if depth == 0 or rng.random() < 0.6 else f'<div class="{name}">' + "".join(block(depth - 1) for _ in range(rng.randint(0, 3))) + "</div>"
+
+    tree = pagetext.trained_tree()
+    for _ in range(300):
+        html = "<body>" + "".join(block(2) for _ in range(3)) + "<article>" + "".join(block(3) for _ in range(4)) + "<p>end</p></article>" + block(1) + "</body>"
+        assert pagetext.main_text(html, tree) == _plain_main_text(html), html
