@@ -30,23 +30,43 @@ def exact_consensus(rows: DataFrame, item: str, dealer: str, value: str) -> Data
     return votes.groupBy(item).agg(F.max_by(F.struct("value", "support"), F.struct("support", -F.col("first"))).alias("b")).select(item, "b.value", "b.support")
 
 
+def _supports(values: DataFrame, item: str, absolute: float, relative: float) -> DataFrame:
+    """values (item, value, k) with support: the sum of k of the item's values within max(absolute, relative * |value|)
+    of each, by one order of the item's values and their reaches: n log n steps an item, one shuffle.
+
+    Both ways from a value are looked at as upwards, downwards on negated values: the running sum at the end of its
+    reach, less the sum before it. A reach ends at a rounded sum, and whether a value lies within is asked of rounded
+    differences; so it ends some units of the last place further, and of the last four values before its end the
+    first that is within counts (no more lie in so small a space, and the value itself always is within)."""
+    width = lambda a: F.greatest(F.lit(absolute), F.abs(a) * relative)
+    both = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), (F.col("value") * side).alias("v")) for side in (1, -1)]))
+    rows = values.repartition(F.col(item)).select(*values.columns, both.alias("s")).select(*values.columns, "s.*")
+    order = Window.partitionBy(item, "side").orderBy("v")
+    rows = rows.withColumn("upto", F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.array(F.struct("v", "upto"), *[F.struct(F.lag("v", i).over(order).alias("v"), F.lag("upto", i).over(order).alias("upto")) for i in (1, 2, 3)])
+    end = (F.col("v") + width(F.col("v"))) + (F.abs("v") + width(F.col("v"))) * 1e-15
+    events = rows.withColumn("last", last).withColumn("e", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("v").alias("at")), F.struct(F.lit(1).alias("kind"), end.alias("at")))))
+    seen = F.last(F.when(F.col("e.kind") == 0, F.col("last")), ignorenulls=True).over(Window.partitionBy(item, "side").orderBy("e.at", "e.kind").rowsBetween(Window.unboundedPreceding, 0))
+    reached = events.withColumn("seen", seen).filter("e.kind = 1")
+    inside = F.get(F.filter("seen", lambda x: F.abs(x.v - F.col("v")) <= width(F.col("v"))), 0)
+    # each side counts the value itself once
+    ahead = reached.withColumn("ahead", inside["upto"] - F.col("upto"))
+    others = [c for c in values.columns if c not in (item, "value")]
+    return ahead.groupBy(item, "value").agg(*[F.first(c).alias(c) for c in others], (F.sum("ahead") + F.first("k")).alias("support"))
+
+
 def numeric_consensus(rows: DataFrame, item: str, dealer: str, value: str, absolute: float, relative: float) -> DataFrame:
     """item, value, support: the largest cluster within max(absolute, relative * anchor) of one dealer's
     value (first anchor on ties), and its median.
 
-    A cluster is counted on the distinct values of an item and their numbers of dealers, by a range window
-    around each value; the number of distinct values is bounded by the measuring, not by the dealers."""
+    A cluster is counted on the distinct values of an item and their numbers of dealers; the number of distinct
+    values is bounded by the measuring, not by the dealers."""
     ones = first_per_dealer(rows, item, dealer, value)
     values = ones.groupBy(item, "value").agg(F.count("*").alias("k"), F.min("seq").alias("first"))
-    lists = values.groupBy(item).agg(F.sort_array(F.collect_list(F.struct("value", "k", "first"))).alias("all"))
-    width = lambda a: F.greatest(F.lit(absolute), F.abs(a) * relative)
-    near = lambda a: F.filter("all", lambda x: F.abs(x.value - a.value) <= width(a.value))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x.k)
-    best = F.array_max(F.transform("all", lambda a: F.struct(total(near(a)).alias("support"), (-a.first).alias("f"), a.value.alias("anchor"))))
-    chosen = lists.select(item, "all", best.alias("b"))
-    members = chosen.select(item, F.col("b.support").alias("support"), F.explode("all").alias("m"), F.col("b.anchor").alias("anchor"))
-    members = members.filter(F.abs(F.col("m.value") - F.col("anchor")) <= width(F.col("anchor")))
-    return members.groupBy(item).agg(F.expr("percentile(m.value, 0.5, m.k)").alias("value"), F.max("support").alias("support"))
+    counted = _supports(values, item, absolute, relative)
+    best = counted.groupBy(item).agg(F.max_by(F.struct("support", F.col("value").alias("anchor")), F.struct("support", -F.col("first"))).alias("b")).select(item, "b.*")
+    members = counted.drop("support").join(best, item).filter(F.abs(F.col("value") - F.col("anchor")) <= F.greatest(F.lit(absolute), F.abs("anchor") * relative))
+    return members.groupBy(item).agg(F.expr("percentile(value, 0.5, k)").alias("value"), F.max("support").alias("support"))
 
 
 def recompute_canonical(rows: DataFrame, item: str, dealer: str, fields: dict[str, int]) -> DataFrame:
@@ -107,16 +127,40 @@ def incomplete(specs: DataFrame) -> DataFrame:
     return rows.filter(F.size("missing") > 0).withColumn("representative_year", anchor_year())
 
 
+def sampled(rows: DataFrame, code: str, *shown: str, most: int = 20, parts: int = 256) -> DataFrame:
+    """(code, n, samples): how many rows bear a code, and those with the `most` least values of the shown columns
+    (they should be unique together), in one pass over the rows. A code's rows are numbered in `parts` parts, so that
+    a code of all rows is shared by many tasks; no more than `most` of each part meet in the end."""
+    part = Window.partitionBy(code, F.pmod(F.hash(*shown), F.lit(parts))).orderBy(*shown)
+    first = F.when(F.row_number().over(part) <= most, F.struct(*shown))
+    found = rows.select(code, first.alias("first")).groupBy(code).agg(F.count("*").alias("n"), F.collect_list("first").alias("all"))
+    return found.select(code, "n", F.slice(F.array_sort("all"), 1, most).alias("samples"))
+
+
 def completeness(specs: DataFrame) -> DataFrame:
     m = missing_fields()
+    fields = ("weight_g", "diameter_mm", "primary_metal", "fineness_per_mille")
+    plain = ~precious_metal() & F.col("primary_metal").isNotNull() & F.col("fineness_per_mille").isNull() & (F.size(m) == 0)
     return specs.agg(
         F.count("*").alias("total"), F.count("issue_year").alias("issue_specific"), F.count_if(F.size(m) == 0).alias("complete"), F.count_if(F.size(m) > 0).alias("incomplete"),
-        *[F.count_if(F.array_contains(m, c)).alias(f"lacks_{c}") for c in ("weight_g", "diameter_mm", "primary_metal", "fineness_per_mille")],
+        F.count_if(F.coalesce(plain, F.lit(False))).alias("base_metal_complete"), *[F.count_if(F.array_contains(m, c)).alias(f"lacks_{c}") for c in fields],
     )
 
 
-def integrity(specs: DataFrame) -> DataFrame:
-    """code, n, example (least id): violations of each rule."""
+def completeness_samples(specs: DataFrame, most: int = 20) -> DataFrame:
+    """(code, n, samples): rows that are complete, incomplete or lack a field, with the least ids of each."""
+    m = missing_fields()
+    codes = F.concat(F.array(F.when(F.size(m) == 0, "complete").otherwise("incomplete")), F.transform(m, lambda c: F.concat(F.lit("lacks_"), c)))
+    return sampled(specs.select("id", F.explode(codes).alias("code")), "code", "id", most=most)
+
+
+#: Rules of integrity whose violation forbids unattended work.
+BLOCKING = ("euro_conflict", "fineness_range", "no_year", "overlap")
+
+
+def integrity(specs: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """code, n, example (least id), blocking: violations of each rule. selected: ids chosen for further work; one that
+    contradicts itself as a euro coin violates overlap."""
     rules = {
         "euro_conflict": euro_conflict(),
         "euro_year": euro_year_invalid(),
@@ -124,7 +168,10 @@ def integrity(specs: DataFrame) -> DataFrame:
         "no_year": anchor_year().isNull(),
     }
     codes = F.array_compact(F.array(*[F.when(c, n) for n, c in rules.items()]))
-    return specs.select("id", F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("example"))
+    found = specs.select("id", F.explode(codes).alias("code"))
+    if selected is not None:
+        found = found.union(found.filter("code = 'euro_conflict'").join(selected.select("id").distinct(), "id", "left_semi").select("id", F.lit("overlap")))
+    return found.groupBy("code").agg(F.count("*").alias("n"), F.min("id").alias("example")).withColumn("blocking", F.col("code").isin(*BLOCKING))
 
 
 def repeated_fingerprints(specs: DataFrame, rows: int = 4, countries: int = 3) -> DataFrame:

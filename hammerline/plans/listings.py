@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hammerline.functions import text as t
 from hammerline.operators import listings as op
+from hammerline.operators import specs
 from hammerline.plans.market import r4
 from hammerline.sources import derived as d
 
@@ -41,7 +42,14 @@ judged AS (SELECT target_id, seq, o, CASE WHEN o % 10 = 0 THEN 'EMPTY_TEXT' ELSE
 _judged = lambda s, f: op.hard_filter(listings(s, f))
 add("hard_filter_reasons", lambda s, f: _judged(s, f).select("target_id", "seq", F.concat_ws(",", "reasons").alias("reasons")), f"WITH {LISTINGS} SELECT target_id, seq, reasons FROM judged")
 add("passes_hard_filter", lambda s, f: _judged(s, f).filter(F.size("reasons") == 0).groupBy("target_id").agg(F.count("*").alias("n")), f"WITH {LISTINGS} SELECT target_id, count(*) AS n FROM judged WHERE reasons = '' GROUP BY ALL")
-add("rejection_counts", lambda s, f: _judged(s, f).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n")), f"WITH {LISTINGS} SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ',')) AS reason FROM judged) WHERE reason <> '' GROUP BY ALL")
+add(
+    "rejection_counts",
+    lambda s, f: specs.sampled(_judged(s, f).select("target_id", "seq", F.explode("reasons").alias("reason")), "reason", "target_id", "seq", most=12)
+    .select("reason", "n", F.concat_ws(",", F.transform("samples", lambda x: F.concat_ws("-", x.target_id.cast("string"), x.seq.cast("string")))).alias("samples")),
+    f"""WITH {LISTINGS}, v AS (SELECT target_id, seq, unnest(string_split(reasons, ',')) AS reason FROM judged WHERE reasons <> ''),
+    r AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY target_id, seq) AS rn, count(*) OVER (PARTITION BY reason) AS n FROM v)
+    SELECT reason, any_value(n) AS n, string_agg(target_id || '-' || seq, ',' ORDER BY target_id, seq) AS samples FROM r WHERE rn <= 12 GROUP BY reason""",
+)
 add("title_denomination_veto", lambda s, f: _judged(s, f).filter(F.array_contains("reasons", "DENOMINATION_MISMATCH")).groupBy("target_id").agg(F.count("*").alias("vetoed")), f"WITH {LISTINGS} SELECT target_id, count(*) AS vetoed FROM judged WHERE contains(reasons, 'DENOMINATION_MISMATCH') GROUP BY ALL")
 add("grade_conflict", lambda s, f: listings(s, f).select("target_id", "seq", op.differs(op.grade_tier(F.col("title")), F.col("t_grade")).alias("conflict")), f"WITH {LISTINGS} SELECT target_id, seq, target_id % 2 = 0 AND o % 5 = 0 AND o % 10 <> 0 AS conflict FROM judged")
 add("classify_asset", lambda s, f: listings(s, f).groupBy(op.asset_class(F.col("title")).alias("asset")).agg(F.count("*").alias("n")), f"WITH {LISTINGS} SELECT CASE WHEN o % 10 = 0 THEN 'UNKNOWN' WHEN o % 10 = 1 THEN 'BANKNOTE' ELSE 'COIN' END AS asset, count(*) AS n FROM l GROUP BY ALL")

@@ -182,16 +182,29 @@ add(
 add(
     "completeness_audit",
     lambda s, f: specs.completeness(d.specs(s, f)),
-    f"WITH {AUDIT} SELECT count(*) AS total, count(issue_year) AS issue_specific, count(*) FILTER (len(missing) = 0) AS complete, count(*) FILTER (len(missing) > 0) AS incomplete, "
+    f"WITH {AUDIT} SELECT count(*) AS total, count(issue_year) AS issue_specific, count(*) FILTER (len(missing) = 0) AS complete, count(*) FILTER (len(missing) > 0) AS incomplete, count(*) FILTER (len(missing) = 0 AND NOT precious AND primary_metal IS NOT NULL AND fineness_per_mille IS NULL) AS base_metal_complete, "
     + ", ".join(f"count(*) FILTER (list_contains(missing, '{c}')) AS lacks_{c}" for c in ("weight_g", "diameter_mm", "primary_metal", "fineness_per_mille"))
     + " FROM audit",
 )
+add(
+    "completeness_samples",
+    lambda s, f: specs.completeness_samples(d.specs(s, f)).select("code", "n", F.concat_ws(",", F.transform("samples", lambda x: x.id.cast("string"))).alias("ids")),
+    f"""WITH {AUDIT}, v AS (SELECT id, unnest(list_prepend(CASE WHEN len(missing) = 0 THEN 'complete' ELSE 'incomplete' END, list_transform(missing, lambda x: 'lacks_' || x))) AS code FROM audit),
+    r AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY id) AS rn, count(*) OVER (PARTITION BY code) AS n FROM v)
+    SELECT code, any_value(n) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM r WHERE rn <= 20 GROUP BY code""",
+)
+#: Specifications with every 50th fineness per ten thousand and every 70th metal of a euro coin that of a precious one.
+_damaged = lambda s, f: d.specs(s, f).withColumns({
+    "fineness_per_mille": F.when(F.col("id") % 50 == 3, F.col("id") % 7 * 1000.0).otherwise(F.col("fineness_per_mille")), "primary_metal": F.when(F.col("id") % 7 == 0, "silver").otherwise(F.col("primary_metal")),
+})
+DAMAGED = AUDIT.replace(d.SPECS_SQL, d.SPECS_SQL + ", damaged AS (SELECT * REPLACE (CASE WHEN id % 50 = 3 THEN id % 7 * 1000.0 ELSE fineness_per_mille END AS fineness_per_mille, CASE WHEN id % 7 = 0 THEN 'silver' ELSE primary_metal END AS primary_metal) FROM specs)").replace("FROM specs s", "FROM damaged s")
 add(
     "integrity_audit",
-    lambda s, f: specs.integrity(d.specs(s, f)),
-    f"""WITH {AUDIT}, v AS (SELECT id, 'euro_conflict' AS code FROM audit WHERE conflict UNION ALL SELECT id, 'euro_year' FROM audit WHERE bad_year
-      UNION ALL SELECT id, 'fineness_range' FROM audit WHERE fineness_per_mille <= 0 OR fineness_per_mille > 1000 UNION ALL SELECT id, 'no_year' FROM audit WHERE anchor IS NULL)
-    SELECT code, count(*) AS n, min(id) AS example FROM v GROUP BY code""",
+    lambda s, f: specs.integrity(_damaged(s, f), _damaged(s, f).filter("weight_g IS NOT NULL AND id % 2 = 0")),
+    f"""WITH {DAMAGED}, v AS (SELECT id, 'euro_conflict' AS code FROM audit WHERE conflict UNION ALL SELECT id, 'euro_year' FROM audit WHERE bad_year
+      UNION ALL SELECT id, 'fineness_range' FROM audit WHERE fineness_per_mille <= 0 OR fineness_per_mille > 1000 UNION ALL SELECT id, 'no_year' FROM audit WHERE anchor IS NULL
+      UNION ALL SELECT id, 'overlap' FROM audit WHERE conflict AND weight_g IS NOT NULL AND id % 2 = 0)
+    SELECT code, count(*) AS n, min(id) AS example, code <> 'euro_year' AS blocking FROM v GROUP BY code""",
 )
 add(
     "repeated_fingerprints",
