@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and what they are without (fixed values, in order).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _without_accents() -> dict[str, str]:
+    """Small letters of Latin, Greek and Cyrillic that are one letter with marks, and that letter."""
+    found = {}
+    for letter in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x460), *range(0x1E00, 0x2000)]):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
+        if letter.islower() and plain != letter and re.fullmatch("[a-zα-ωа-я]", plain):
+            found[letter] = plain
+    return found
+
+
+#: Accented letters and what they are without, in order.
+ACCENTED, PLAIN = map("".join, zip(*_without_accents().items()))
+#: Signs of currencies and fractions as words (fixed values).
+SIGN_WORDS = {"€": " euro ", "£": " gbp ", "$": " usd ", "¢": " cent ", "½": " 1/2 ", "¼": " 1/4 "}
+#: What normal forms keep: letters of three scripts, digits, points and slashes.
+KEPT = "a-z0-9α-ωа-яєґ./"
 #: Greek letters with one Latin letter, and those with two (fixed values, in order).
 GREEK = "αβγδεζηικλμνξοπρσςτυφω"
 LATIN = "avgdeziiklmnxoprsstyfo"
@@ -23,20 +41,23 @@ NEGATIVE_TERMS = [
 ]
 STOP = ["the", "and", "with", "for", "der", "die", "das", "les", "des", "los", "las"]
 
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: long expressions that use a column often would outgrow generated code."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
 def norm(text: Column) -> Column:
-    """Lower case, no accents, quarters and halves as words, only letters, digits, points and slashes."""
+    """Lower case, no accents, signs of currencies, quarters and halves as words; only Latin, Greek and Cyrillic letters,
+    digits, points and slashes. Hyphens part words, so that each is found as a whole word."""
     t = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
-    t = F.replace(F.replace(t, F.lit("½"), F.lit(" 1/2 ")), F.lit("¼"), F.lit(" 1/4 "))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9./]+", " "), " +", " "))
+    for sign, word in SIGN_WORDS.items():
+        t = F.replace(t, F.lit(sign), F.lit(word))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, f"[^{KEPT}]+", " "), " +", " "))
 
 
 def transliterate_greek(text: Column) -> Column:
-    t = F.translate(F.lower(text), GREEK, LATIN)
+    t = F.translate(F.translate(F.lower(text), ACCENTED, PLAIN), GREEK, LATIN)
     for letter, pair in GREEK_PAIRS.items():
         t = F.replace(t, F.lit(letter), F.lit(pair))
     return t

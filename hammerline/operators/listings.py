@@ -9,25 +9,13 @@ from pyspark.sql import functions as F
 
 from hammerline.functions import denominations as dn
 from hammerline.functions import text as t
+from hammerline.functions.assets import classify
+from hammerline.functions.places import country_in, country_of
 from hammerline.sources.landed import amount
 from hammerline.streaming.streams import shared_dir
 
-#: Words of bank notes, and of grade tiers (fixed values).
-NOTES = ["banknote", "paper money", "geldschein", "billet"]
+#: Words of grade tiers (fixed values).
 MINT, CIRCULATED = r"\b(unc|bu|ms|proof|uncirculated)\b", r"\b(vf|xf|ef|fine|vg|good|circulated)\b"
-COUNTRIES = {"austria": "Austria", "österreich": "Austria", "france": "France", "frankreich": "France", "greece": "Greece", "hellas": "Greece"}
-
-
-def any_of(text: Column, words: list[str]) -> Column:
-    return F.lower(text).rlike(r"\b(" + "|".join(words) + r")\b")
-
-
-def country_of(text: Column) -> Column:
-    """The first country of the list that the text names; null if none."""
-    found = F.lit(None).cast("string")
-    for alias, name in reversed(COUNTRIES.items()):
-        found = F.when(F.contains(F.lower(text), F.lit(alias)), name).otherwise(found)
-    return found
 
 
 def grade_tier(text: Column) -> Column:
@@ -36,7 +24,7 @@ def grade_tier(text: Column) -> Column:
 
 
 def asset_class(text: Column) -> Column:
-    return F.when(any_of(text, NOTES), "BANKNOTE").when(any_of(text, ["coin", "münze", "pièce", "moneda"]), "COIN").otherwise("UNKNOWN")
+    return classify(text)["asset"]
 
 
 def differs(found: Column, wanted: Column) -> Column:
@@ -63,22 +51,36 @@ def hard_filter(listings: DataFrame) -> DataFrame:
     return listings.withColumn("reasons", F.when(F.trim(title) == "", F.array(F.lit("EMPTY_TEXT"))).otherwise(reasons))
 
 
+#: Points of the fields of a search that a title agrees with, and what each of the first three costs if it doesn't (fixed values).
+POINTS = {"country": 28, "year": 28, "denomination": 22, "currency": 16, "issuer": 6, "mintmark": 5, "variant": 4}
+NEEDED, COST, NEGATIVE_COST, NEGATIVE_MOST = ("country", "year", "denomination"), 20, 45, 20
+
+
 def match_points(listings: DataFrame) -> DataFrame:
-    """Adds listing_score: points of the stated fields that agree as a share of those the search states, less
-    twenty for each that disagrees; with a negative word at most 20."""
+    """Adds listing_score, 0 to 100: points of the fields that the title agrees with as a share of those the search
+    states (t_country, t_year, t_value, t_unit, and t_issuer, t_mintmark, t_variant where there are such columns), less
+    twenty for each of country, year and denomination that it doesn't; with a word of other products 45 less and 20
+    at most. A value agrees as a number alone or within a denomination, a variant in 60 percent of its words."""
     title = F.coalesce("title", F.lit(""))
-    stated, wanted = dn.extract_denominations(title), (F.col("t_value"), F.col("t_unit"))
-    fields = [
-        (28, F.col("t_value"), t.let(stated, lambda found: F.when(F.size(found) > 0, dn.fits(found, *wanted)))),
-        (28, F.col("t_year"), t.parse_year(title) == F.col("t_year")),
-        (22, F.col("t_country"), country_of(title) == F.col("t_country")),
-    ]
-    total = sum((F.when(w.isNotNull(), p).otherwise(0) for p, w, _ in fields), F.lit(0))
-    got = sum((F.when(w.isNotNull() & F.coalesce(ok, F.lit(False)), p).otherwise(0) for p, w, ok in fields), F.lit(0))
-    missed = sum((F.when(w.isNotNull() & ~F.coalesce(ok, F.lit(True)), 1).otherwise(0) for _, w, ok in fields), F.lit(0))
-    raw = F.when(total > 0, F.bround(100.0 * got / total)).otherwise(0) - 20 * missed
-    score = F.greatest(F.lit(0), F.when(t.is_negative(title), F.least(raw, F.lit(20))).otherwise(raw))
-    return listings.withColumn("listing_score", score.cast("int"))
+    has = lambda c: F.col(c) if c in listings.columns else F.lit(None).cast("string")
+    padded = F.concat(F.lit(" "), t.norm(title), F.lit(" "))
+    holds = lambda words: F.contains(padded, F.concat(F.lit(" "), t.norm(words), F.lit(" ")))
+    stands = lambda number: F.call_function("regexp_like", title, F.concat(F.lit("(?<![0-9])"), F.replace(number, F.lit("."), F.lit("[.]")), F.lit("(?![0-9])")))
+    value = F.regexp_replace(F.col("t_value").cast("decimal(18,6)").cast("string"), r"\.?0+$", "")
+    stated = dn.extract_denominations(title)
+    unit = F.exists(stated, lambda d: d.unit == F.col("t_unit")) | holds(F.col("t_unit"))
+    agrees = {
+        "country": (F.col("t_country"), country_in(title, F.col("t_country"))), "year": (F.col("t_year"), stands(F.col("t_year").cast("string"))),
+        "denomination": (F.col("t_value"), stands(value) | dn.fits(stated, F.col("t_value"), F.coalesce("t_unit", F.lit("?")))), "currency": (F.col("t_unit"), unit),
+        "issuer": (has("t_issuer"), holds(has("t_issuer"))), "mintmark": (has("t_mintmark"), holds(has("t_mintmark"))),
+        "variant": (has("t_variant"), t.variant_matches(t.variant_tokens(has("t_variant")), title)),
+    }
+    total = sum((F.when(w.isNotNull(), POINTS[n]).otherwise(0) for n, (w, _) in agrees.items()), F.lit(0))
+    got = sum((F.when(w.isNotNull() & F.coalesce(ok, F.lit(False)), POINTS[n]).otherwise(0) for n, (w, ok) in agrees.items()), F.lit(0))
+    missed = sum((F.when(agrees[n][0].isNotNull() & ~F.coalesce(agrees[n][1], F.lit(False)), 1).otherwise(0) for n in NEEDED), F.lit(0))
+    raw = F.when(total > 0, 100.0 * got / total).otherwise(0.0) - COST * missed
+    score = F.when(t.is_negative(title), F.least(raw - NEGATIVE_COST, F.lit(NEGATIVE_MOST))).otherwise(raw)
+    return listings.withColumn("listing_score", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).cast("int"))
 
 
 #: Kinds of JSON-LD objects that are offered, and endings of their availability that rule them out (fixed values).

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hammerline.functions import assets
 from hammerline.functions import text as t
 from hammerline.operators import listings as op
 from hammerline.operators import specs
+from hammerline.plans import texts
 from hammerline.plans.market import r4
 from hammerline.sources import derived as d
 
@@ -53,16 +55,25 @@ add(
 add("title_denomination_veto", lambda s, f: _judged(s, f).filter(F.array_contains("reasons", "DENOMINATION_MISMATCH")).groupBy("target_id").agg(F.count("*").alias("vetoed")), f"WITH {LISTINGS} SELECT target_id, count(*) AS vetoed FROM judged WHERE contains(reasons, 'DENOMINATION_MISMATCH') GROUP BY ALL")
 add("grade_conflict", lambda s, f: listings(s, f).select("target_id", "seq", op.differs(op.grade_tier(F.col("title")), F.col("t_grade")).alias("conflict")), f"WITH {LISTINGS} SELECT target_id, seq, target_id % 2 = 0 AND o % 5 = 0 AND o % 10 <> 0 AS conflict FROM judged")
 add("classify_asset", lambda s, f: listings(s, f).groupBy(op.asset_class(F.col("title")).alias("asset")).agg(F.count("*").alias("n")), f"WITH {LISTINGS} SELECT CASE WHEN o % 10 = 0 THEN 'UNKNOWN' WHEN o % 10 = 1 THEN 'BANKNOTE' ELSE 'COIN' END AS asset, count(*) AS n FROM l GROUP BY ALL")
+_held = lambda terms: " + ".join(f"contains(t, '{x}')::INT" for x in assets._terms(terms))
+add(
+    "asset_confidence",
+    lambda s, f: r4(d.table(s, f, "documents").select("doc_id", assets.classify(F.col("text")).alias("c")).select("doc_id", "c.*")),
+    f"""WITH n AS (SELECT doc_id, {texts._NORM.format('text')} AS t FROM documents),
+    k AS (SELECT doc_id, {_held(assets.EVIDENCE)} > 0 AS sure, {_held(assets.STRONG)} AS strong, {_held(assets.COINS)} AS coin, {_held(assets.WEAK)} + CASE WHEN regexp_matches(t, '{assets.PICK}') THEN 3 ELSE 0 END AS bank FROM n)
+    SELECT doc_id, CASE WHEN sure OR strong > 0 OR (bank >= 2 AND bank > coin) THEN 'BANKNOTE' WHEN coin >= 1 THEN 'COIN' ELSE 'UNKNOWN' END AS asset,
+      CASE WHEN sure THEN 0.995 WHEN strong > 0 THEN least(0.995, 0.90 + 0.02 * strong) WHEN bank >= 2 AND bank > coin THEN least(0.99, 0.65 + 0.08 * bank) WHEN coin >= 1 THEN least(0.98, 0.70 + 0.06 * coin) ELSE 0.45 END::DOUBLE AS confidence FROM k""",
+)
 add("canonical_country", lambda s, f: listings(s, f).groupBy(op.country_of(F.col("title")).alias("country")).agg(F.count("*").alias("n")),
     f"WITH {LISTINGS} SELECT CASE WHEN o % 10 <> 0 THEN list_extract(['Austria', 'France', 'Greece'], CAST((target_id + CASE WHEN o % 11 = 0 THEN 1 ELSE 0 END) % 3 + 1 AS INTEGER)) END AS country, count(*) AS n FROM l GROUP BY ALL")
 _NEGATIVE = "(o % 13 = 0 OR o % 10 IN (1, 2)) AND o % 10 <> 0"
 add("negative_flags", lambda s, f: listings(s, f).select("target_id", "seq", F.array_join(t.negative_flags(F.col("title")), ",").alias("flags")),
     f"WITH {LISTINGS} SELECT target_id, seq, CASE WHEN o % 10 = 0 THEN '' ELSE concat_ws(',', CASE WHEN o % 10 = 1 THEN 'banknote' WHEN o % 10 = 2 THEN 'coin set' END, CASE WHEN o % 13 = 0 THEN 'replica' END, CASE WHEN o % 10 = 2 THEN 'set' END) END AS flags FROM l")
 _MISS = "CASE WHEN o % 9 = 0 THEN 1 ELSE 0 END + CASE WHEN o % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN o % 11 = 0 THEN 1 ELSE 0 END"
-_GOT = "CASE WHEN o % 9 = 0 THEN 0 ELSE 28 END + CASE WHEN o % 7 = 0 THEN 0 ELSE 28 END + CASE WHEN o % 11 = 0 THEN 0 ELSE 22 END"
+_GOT = "CASE WHEN o % 9 = 0 THEN 0 ELSE 22 END + CASE WHEN o % 7 = 0 THEN 0 ELSE 28 END + CASE WHEN o % 11 = 0 THEN 0 ELSE 28 END + 16"
 add("listing_match_score", lambda s, f: op.match_points(listings(s, f)).select("target_id", "seq", "listing_score"),
-    f"WITH {LISTINGS}, r AS (SELECT target_id, seq, o, CASE WHEN o % 10 = 0 THEN 0 ELSE round_even(100.0 * ({_GOT}) / 78, 0) - 20 * ({_MISS}) END AS raw FROM l) "
-    f"SELECT target_id, seq, CAST(greatest(0, CASE WHEN {_NEGATIVE} THEN least(raw, 20) ELSE raw END) AS INTEGER) AS listing_score FROM r")
+    f"WITH {LISTINGS}, r AS (SELECT target_id, seq, o, CASE WHEN o % 10 = 0 THEN 0 ELSE 100.0::DOUBLE * ({_GOT}) / 94 - 20 * ({_MISS}) END AS raw FROM l) "
+    f"SELECT target_id, seq, CAST(round_even(greatest(0, CASE WHEN {_NEGATIVE} THEN least(raw - 45, 20) ELSE raw END), 0) AS INTEGER) AS listing_score FROM r")
 
 
 def listing_pages(s: SparkSession, f: str) -> DataFrame:

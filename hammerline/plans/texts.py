@@ -23,17 +23,21 @@ def _docs(s, f):
     return d.table(s, f, "documents").select("doc_id", "text")
 
 
-_NORM = f"trim(regexp_replace(regexp_replace(replace(replace(translate(lower(coalesce({{0}}, '')), '{t.ACCENTED}', '{t.PLAIN}'), '½', ' 1/2 '), '¼', ' 1/4 '), '[^a-z0-9./]+', ' ', 'g'), ' +', ' ', 'g'))"
+_PLAIN = f"translate(lower(coalesce({{0}}, '')), '{t.ACCENTED}', '{t.PLAIN}')"
+_SIGNS = _PLAIN
+for _sign, _word in t.SIGN_WORDS.items():
+    _SIGNS = f"replace({_SIGNS}, '{_sign}', '{_word}')"
+_NORM = f"trim(regexp_replace(regexp_replace({_SIGNS}, '[^{t.KEPT}]+', ' ', 'g'), ' +', ' ', 'g'))"
 _TOK = f"list_filter(list_distinct(string_split({_NORM}, ' ')), lambda x: x <> '')"
 #: Each document's words with the place where each first stands.
 _FIRST = f"firsts AS (SELECT doc_id, word, min(p) AS p FROM (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM (SELECT doc_id, string_split({_NORM.format('text')}, ' ') AS ws FROM documents)) WHERE word <> '' GROUP BY ALL)"
 _lower = "lower(coalesce({0}, ''))"
 add("norm_identity", lambda s, f: _docs(s, f).select("doc_id", F.md5(t.norm(F.col("text"))).alias("norm_md5")), f"SELECT doc_id, md5({_NORM.format('text')}) AS norm_md5 FROM documents")
 add("transliterate_greek", lambda s, f: d.table(s, f, "part").select("p_partkey", t.transliterate_greek(F.concat(F.lit("Θεσσαλός χψ "), F.translate("p_name", "abgdek", "αβγδεκ"))).alias("latin")),
-    f"SELECT p_partkey, replace(replace(replace(translate(lower('Θεσσαλός χψ ' || translate(p_name, 'abgdek', 'αβγδεκ')), '{t.GREEK}', '{t.LATIN}'), 'θ', 'th'), 'χ', 'ch'), 'ψ', 'ps') AS latin FROM part")
+    f"SELECT p_partkey, replace(replace(replace(translate({_PLAIN.format("'Θεσσαλός χψ ' || translate(p_name, 'abgdek', 'αβγδεκ')")}, '{t.GREEK}', '{t.LATIN}'), 'θ', 'th'), 'χ', 'ch'), 'ψ', 'ps') AS latin FROM part")
 _greek = lambda: F.when(F.col("p_partkey") % 3 == 0, F.translate("p_name", "abgdek", "αβγδεκ")).otherwise(F.col("p_name"))
 _GREEK = "CASE WHEN p_partkey % 3 = 0 THEN translate(p_name, 'abgdek', 'αβγδεκ') ELSE p_name END"
-_LATIN = f"replace(replace(replace(translate(lower(g), '{t.GREEK}', '{t.LATIN}'), 'θ', 'th'), 'χ', 'ch'), 'ψ', 'ps')"
+_LATIN = f"replace(replace(replace(translate({_PLAIN.format('g')}, '{t.GREEK}', '{t.LATIN}'), 'θ', 'th'), 'χ', 'ch'), 'ψ', 'ps')"
 add("text_variants", lambda s, f: d.table(s, f, "part").select("p_partkey", F.array_join(F.array_distinct(F.array(t.norm(_greek()), t.norm(t.transliterate_greek(_greek())))), "|").alias("variants")),
     f"SELECT p_partkey, CASE WHEN a = b THEN a ELSE a || '|' || b END AS variants FROM (SELECT p_partkey, {_NORM.format('g')} AS a, {_NORM.format(_LATIN)} AS b FROM (SELECT p_partkey, {_GREEK} AS g FROM part))")
 add("distinct_preserving_order", lambda s, f: _docs(s, f).select("doc_id", F.size(t.tokens(F.col("text"))).alias("n_tokens"), F.md5(F.array_join(t.tokens(F.col("text")), " ")).alias("md5")),
