@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import functools
+import operator
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,26 +56,54 @@ def _met_by(rows: DataFrame, text: str, least: float) -> DataFrame:
     return rows.withColumn("letters", _letters(F.col(text))).withColumn("letter", F.explode(F.slice("letters", F.lit(1), n - fewest + 1)))
 
 
-def similar_alias(words: DataFrame, aliases: DataFrame, word_col: str, least: float = 0.82) -> DataFrame:
-    """(word_col, alias, target, ratio): for each distinct string the most similar alias of five letters or more,
-    if its ratio is at least `least`; of equally similar ones the last in order.
+def similar_pairs(words: DataFrame, aliases: DataFrame, word_col: str, least: float, shortest: int = 5) -> DataFrame:
+    """(word_col, alias, target, ratio): all pairs of a distinct string and an alias of `shortest` letters or more whose
+    ratio is at least `least`.
 
     No such pair is missed. A ratio of r takes r/2 of both lengths in common letters, so neither is shorter
     than r/(2-r) of the other and each shares at least that part of its own letters. Put in one common order,
     the letters before the last such part then hold one that both have (prefix filtering): an equi-join.
     Those with enough common letters are compared. aliases is a dimension table; only its greatest length
     comes to the driver, by which strings too long for any alias are left out first."""
-    some = aliases.filter(F.length("alias") >= 5)
+    some = aliases.filter(F.length("alias") >= shortest)
     longest = some.agg(F.max(F.length("alias"))).first()[0] or 0
     w = words.select(word_col).filter(F.length(word_col).between(1, int(longest * (2 - least) / least + 1e-9))).distinct()
     w, a = _met_by(w, word_col, least), _met_by(some, "alias", least).withColumnRenamed("letters", "theirs")
     both = (F.length(word_col) + F.length("alias")) * (least / 2) - 1e-9
     met = w.join(a, "letter").filter((F.least(F.length(word_col), F.length("alias")) >= both) & (F.size(F.array_intersect("letters", "theirs")) >= both))
-    pairs = met.select(word_col, "alias", "target").distinct().withColumn("ratio", similarity(F.col(word_col), F.col("alias"))).filter(F.col("ratio") >= least)
+    return met.select(word_col, "alias", "target").distinct().withColumn("ratio", similarity(F.col(word_col), F.col("alias"))).filter(F.col("ratio") >= least)
+
+
+def similar_alias(words: DataFrame, aliases: DataFrame, word_col: str, least: float = 0.82) -> DataFrame:
+    """(word_col, alias, target, ratio): for each distinct string the most similar alias of five letters or more,
+    if its ratio is at least `least`; of equally similar ones the last in order."""
+    pairs = similar_pairs(words, aliases, word_col, least)
     best = pairs.groupBy(word_col).agg(F.max_by(F.struct("alias", "target", "ratio"), F.struct("ratio", "alias", "target")).alias("b"))
     return best.select(word_col, "b.alias", "b.target", "b.ratio")
 
 
+def issuers_of(texts: DataFrame, issuers: DataFrame, id_col: str, text_col: str, least: float = 0.72) -> DataFrame:
+    """(id_col, issuer, alias, score): the best issuer of each text that has any. An alias as whole words of the text
+    scores 1, else its likeness to the whole text, if that is at least `least`; of equal scores the issuer with the least
+    place wins, then the longest alias.
+
+    texts may state country_code and year: an issuer of another country, or whose years (valid_from, valid_to; both
+    within; open where null) don't hold the year, is none. issuers is a dimension table (issuer, place, alias in normal
+    form, country_code, valid_from, valid_to), a row an alias; only its greatest numbers of words and letters come to
+    the driver. Texts meet aliases by equal runs of words, and by prefix filtering of letters; no likeness is missed."""
+    known = issuers.filter(F.length("alias") > 0)
+    words = known.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
+    named = texts.select(id_col, t.norm(F.col(text_col)).alias("word"))
+    exact = word_runs(texts, id_col, text_col, "alias", words).select(id_col, "alias", F.lit(1.0).alias("score"))
+    near = similar_pairs(named, known.select("alias", F.lit("").alias("target")).distinct(), "word", least, 1)
+    hits = exact.unionByName(named.join(near, "word").select(id_col, "alias", F.col("ratio").alias("score")))
+    stated = texts.select(id_col, *[(F.col(c) if c in texts.columns else F.lit(None).cast(kind)).alias(f"text_{c}") for c, kind in (("country_code", "string"), ("year", "int"))])
+    found = hits.join(known, "alias").join(stated, id_col)
+    differ = [F.col("text_country_code") != F.col("country_code"), F.col("text_year") < F.col("valid_from"), F.col("text_year") > F.col("valid_to")]
+    best = found.filter(~functools.reduce(operator.or_, [F.coalesce(d, F.lit(False)) for d in differ])).groupBy(id_col).agg(F.max_by(F.struct("issuer", "alias", "score"), F.struct("score", -F.col("place"), F.length("alias"), "alias")).alias("b"))
+    return best.select(id_col, "b.*")
+
+
 def candidates(scored: DataFrame, keys: list[str], least_gap: float = 0.08) -> DataFrame:
     """The best candidate of each group of keys with gap (to the second) and ambiguous (gap below least_gap)."""
     order = Window.partitionBy(*keys).orderBy(F.desc("confidence"), "seq")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hammerline.functions import catalogue as c
 from hammerline.functions import denominations as dn
-from hammerline.functions import text as t
+from hammerline.functions import places
 from hammerline.operators import listings, valuation
 from hammerline.plans.market import r4
 from hammerline.sources import derived as d
@@ -41,7 +41,7 @@ def labelled(name: str, labels: list[str | None], found, expected: dict[str, tup
 labelled(
     "parse_catalog_denomination", ["½ Dollar", "1 / 4 Florin", "3/8", "2,5 Schilling", ".5 Ecu", "+7  Groats", "0 Mark", "abc", "", None, "1/0 Mark", "25 Cents"],
     lambda x: dict(zip(("value", "unit", "error"), c.catalog_denomination(x))),
-    {"value": ([0.5, 0.25, 0.375, 2.5, 0.5, 7, None, None, None, None, None, 25], "DOUBLE"), "unit": (["Dollar", "Florin", None, "Schilling", "Ecu", "Groats", None, None, None, None, None, "cent"], "VARCHAR"),
+    {"value": ([0.5, 0.25, 0.375, 2.5, 0.5, 7, None, None, None, None, None, 25], "DOUBLE"), "unit": (["Dollar", "Florin", None, "schilling", "Ecu", "Groats", None, None, None, None, None, "cent"], "VARCHAR"),
      "error": ([None] * 6 + ["INVALID", "INVALID", "EMPTY", "EMPTY", "INVALID", None], "VARCHAR")},
 )
 labelled("spec_denomination_value", ["50 cent", "0,5", "2 euro", "20 Λεπτά", "none", None], lambda x: {"value": c.spec_denomination(x)}, {"value": ([0.5, 0.5, 2, 0.2, None, None], "DOUBLE")})
@@ -73,34 +73,24 @@ labelled(
 labelled("smart_join_fragments", ["33|,90|EUR", "3|3,90 EUR", "old|price|5", "|a||b", ""], lambda x: {"joined": c.joined_fragments(F.split(x, r"\|"))}, {"joined": (["33,90 EUR", "33,90 EUR", "old price 5", "a b", ""], "VARCHAR")})
 labelled("grade_tier", ["Proof 1964", "nice VF", "UNC", "no grade", None], lambda x: {"tier": listings.grade_tier(x)}, {"tier": (["MINT", "CIRCULATED", "MINT", None, None], "VARCHAR")})
 labelled("variant_explicit", ["large date silver", "silver date", "", None], lambda x: {"explicit": c.says_whole(x, F.array(F.lit("silver"), F.lit("date")))}, {"explicit": ([True, True, False, False], "BOOLEAN")})
-labelled("country_in_title", ["10 Mark Österreich", "hellas 5", "FRANCE 1 franc", "5 lire", None], lambda x: {"country": listings.country_of(x)}, {"country": (["Austria", "Greece", "France", None, None], "VARCHAR")})
-
-#: Names of destinations in texts (fixed values).
-DESTINATIONS = {"GR": ("Greece", "greece|griechenland|grece|ellada"), "DE": ("Germany", "germany|deutschland|allemagne"), "FR": ("France", "france|frankreich")}
-
-
-def destination(code: Column) -> Column:
-    """Display name and pattern of a country by its code."""
-    found = F.lit(None).cast("struct<name:string,pattern:string>")
-    for iso, (name, names) in DESTINATIONS.items():
-        found = F.when(code == iso, F.struct(F.lit(name).alias("name"), F.lit(names).alias("pattern"))).otherwise(found)
-    return found
-
-
 labelled(
-    "destination_pattern", ["GR", "DE", "FR", "US", None], lambda x: {"name": destination(x)["name"], "pattern": destination(x)["pattern"]},
-    {"name": (["Greece", "Germany", "France", None, None], "VARCHAR"), "pattern": (["greece|griechenland|grece|ellada", "germany|deutschland|allemagne", "france|frankreich", None, None], "VARCHAR")},
+    "country_in_title", ["10 Mark Österreich", "hellas 5", "FRANCE 1 franc", "5 lire", "ΕΛΛΆΔΑ 2 ευρώ", "San-Marino", None],
+    lambda x: {"country": places.country_of(x), "greek": places.country_in(x, F.lit("Griechenland")), "unknown": places.country_in(x, F.lit("Lire")), "any": places.country_in(x, F.lit(None).cast("string"))},
+    {"country": (["Austria", "Greece", "France", None, "Greece", "San Marino", None], "VARCHAR"), "greek": ([False, True, False, False, True, False, False], "BOOLEAN"),
+     "unknown": ([False] * 3 + [True] + [False] * 3, "BOOLEAN"), "any": ([True] * 7, "BOOLEAN")},
 )
 
-#: Names of variants and their canonical form (fixed values).
-VARIANTS = {"colorized": ["colored", "colorized", "farbig"], "proof": ["proof", "pp"], "small-date": ["small date", "sd"]}
 
+def _pattern(names: str) -> str:
+    return "(?:" + "|".join(n.replace(".", "\\.").replace("-", "\\-") for n in sorted(set(names.split("|")), key=lambda n: (-len(n), n))) + ")"
 
-def variants_of(text: Column) -> Column:
-    return F.array_sort(F.array_compact(F.array(*[F.when(sum((t.contains_phrase(text, a).cast("int") for a in names), F.lit(0)) > 0, v) for v, names in VARIANTS.items()])))
 
-
-labelled("variant_aliases", ["PP farbig 1999", "small date", "proofs", "", None], lambda x: {"variants": F.array_join(variants_of(x), ",")}, {"variants": (["colorized,proof", "small-date", "", "", ""], "VARCHAR")})
+labelled(
+    "destination_pattern", ["GREECE", "Deutschland", "france", "USA", "st. peru", "San Marino", None], lambda x: {n: places.destination(x)[n] for n in ("name", "code", "pattern")},
+    {"name": (["Greece", "Germany", "France", "United States", "St. Peru", "San Marino", "Greece"], "VARCHAR"), "code": (["GR", "DE", "FR", "US", "", "", "GR"], "VARCHAR"),
+     "pattern": ([_pattern(places.NAMES.get(n, n)) for n in ("greece", "germany", "france", "united states", "st. peru", "san marino", "greece")], "VARCHAR")},
+)
+labelled("variant_aliases", ["PP coloured 1999", "small date", "proofs", "off-centre strike BU", "Αναμνηστικό", "", None], lambda x: {"variants": F.array_join(c.variants_of(x), ",")}, {"variants": (["colorized,proof", "small_date", "", "error,unc", "commemorative", "", ""], "VARCHAR")})
 labelled(
     "denomination_matches", ["2 euro 50 cents", "5 mark", "none", "", "half crown, two euros or 5 Mark"],
     lambda x: {n: dn.fits(dn.extract_denominations(x), v, u) for n, v, u in (("two_euro", F.lit(2.0), F.lit("euro")), ("five_mark", F.lit(5.0), F.lit("mark")), ("unknown", F.lit(None).cast("double"), F.lit(None).cast("string")))},
@@ -108,19 +98,12 @@ labelled(
 )
 
 
-#: Aliases that a search spells out, by country and denomination (fixed values).
-SPELLED = {"Austria": ["Austria", "Österreich"], "France": ["France", "Frankreich"], "Greece": ["Greece", "Hellas", "Griechenland"]}
-
-
 def _variants(x: Column) -> dict[str, Column]:
-    names = F.array(F.lit("?"))
-    for country, spelled in SPELLED.items():
-        names = F.when(x == country, F.array(*map(F.lit, spelled))).otherwise(names)
-    found = c.search_strings(names, F.array(F.lit("0.5 euro"), F.lit("50 cent"), F.lit("0.5 euro")), F.lit("1999"), 5)
+    found = c.search_strings(places.names_of(x), F.array(F.lit("0.5 euro"), F.lit("50 cent"), F.lit("0.5 euro")), F.lit("1999"), 5)
     return {"n": F.size(found), "last": F.element_at(found, -1)}
 
 
-labelled("query_variants", ["Austria", "France", "Greece", "Peru"], _variants, {"n": ([4, 4, 5, 2], "INTEGER"), "last": (["Österreich 50 cent 1999", "Frankreich 50 cent 1999", "Griechenland 0.5 euro 1999", "? 50 cent 1999"], "VARCHAR")})
+labelled("query_variants", ["Austria", "France", "Hellas", "Peru"], _variants, {"n": ([5, 5, 5, 2], "INTEGER"), "last": (["österreich 0.5 euro 1999", "française 0.5 euro 1999", "hellas 0.5 euro 1999", "peru 50 cent 1999"], "VARCHAR")})
 _EURO = ["Austria", "Greece", "Croatia", "France", "Latvia"]
 add(
     "catalogue_denomination_form",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hammerline.functions import text as t
 from hammerline.operators import identity, resolver, specs
 from hammerline.plans import texts
 from hammerline.plans.catalogue import K, pick, sql_pick
@@ -44,6 +45,30 @@ add(
     al(alias, target) AS (SELECT lower(n_name), n_name FROM nation UNION ALL VALUES ('of the', 'OF-THE'), ('de la', 'DE-LA'), ('in der', 'IN-DER'), ('and the', 'AND-THE'))
     SELECT target, count(*) AS n_docs FROM runs JOIN al USING (alias) GROUP BY ALL""",
 )
+
+
+def _issued(s, f):
+    """A text a customer: its nation in a sentence, misspelt in every fifth; with a year, and every second with a region."""
+    k = F.col("c_custkey")
+    rows = d.table(s, f, "customer").join(d.table(s, f, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.concat(F.lit("A coin of "), F.initcap("n_name"), F.when(k % 5 == 1, "x").otherwise(", fine"))
+    region = F.when(k % 2 == 0, (F.col("n_regionkey") + F.when(k % 6 == 0, 1).otherwise(0)).cast("string"))
+    return rows.select(k, text.alias("text"), region.alias("country_code"), F.when(k % 7 != 0, 1995 + k % 40).cast("int").alias("year"))
+
+
+def _issuers(s, f):
+    """Nations as issuers with ten years each; every fourth still issues."""
+    n = F.col("n_nationkey")
+    return d.table(s, f, "nation").select(F.col("n_name").alias("issuer"), n.alias("place"), t.norm(F.col("n_name")).alias("alias"), F.col("n_regionkey").cast("string").alias("country_code"), (1995 + n).cast("int").alias("valid_from"), F.when(n % 4 != 0, 2005 + n).cast("int").alias("valid_to"))
+
+
+add(
+    "issuer_validity_join",
+    lambda s, f: r4(identity.issuers_of(_issued(s, f), _issuers(s, f), "c_custkey", "text")),
+    f"""WITH i AS (SELECT c_custkey, n_name, n_nationkey AS n, 1995 + c_custkey % 40 AS year FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 5 <> 1 AND c_custkey % 6 <> 0)
+    SELECT c_custkey, n_name AS issuer, {texts._NORM.format('n_name')} AS alias, 1::DOUBLE AS score FROM i
+    WHERE c_custkey % 7 = 0 OR (year >= 1995 + n AND (n % 4 = 0 OR year <= 2005 + n))""",
+)
 _scored = lambda s, f: d.dealer_prices(s, f).select("target_id", "seq", F.col("score").alias("confidence"))
 add(
     "ambiguity_gap",

@@ -62,3 +62,21 @@ def test_reasons_against_listings(spark):
     df = spark.createDataFrame(rows, "title string").select("title", F.lit(2.0).alias("t_value"), F.lit("euro").alias("t_unit"), F.lit(1999).alias("t_year"), F.lit("Austria").alias("t_country"), F.lit("MINT").alias("t_grade"))
     got = [r.reasons for r in listings.hard_filter(df).collect()]
     assert got == [[], ["EMPTY_TEXT"], ["NOT_SINGLE_COIN", "DENOMINATION_MISMATCH", "YEAR_MISMATCH", "COUNTRY_MISMATCH", "GRADE_MISMATCH", "NEGATIVE_PRODUCT_FLAG"], ["EMPTY_TEXT"], []]
+
+
+def test_issuers_of_a_country_and_of_their_years(spark):
+    kings = [("Otto", 0, "otto", "GR", 1832, 1862), ("George", 1, "george i", "GR", 1863, 1913), ("George", 1, "king george i", "GR", 1863, 1913), ("George V", 2, "king george", "GB", 1910, 1936), ("Republic", 3, "hellenic republic", "GR", 1974, None), ("None", 4, "", None, None, None)]
+    issuers = spark.createDataFrame(kings, "issuer string, place int, alias string, country_code string, valid_from int, valid_to int")
+    rows = [
+        (1, "5 drachmai King George I", "GR", 1913), (2, "5 drachmai King George I", "GR", 1914), (3, "King George I", None, 1911), (4, "King George I", "GB", 1911), (5, "OTTO 1 lepton", None, None),
+        (6, "Helenic Republc", "GR", 2000), (7, "Helenic Republc", "GR", 1973), (8, None, "GR", 1900), (9, "", None, None), (10, "ottoman", None, None), (11, "King George", "GR", 1900),
+    ]
+    texts = spark.createDataFrame(rows, "id int, text string, country_code string, year int")
+    got = {r.id: (r.issuer, r.alias, round(r.score, 3)) for r in identity.issuers_of(texts, issuers, "id", "text").collect()}
+    near = difflib.SequenceMatcher(None, "helenic republc", "hellenic republic").ratio()
+    assert got == {
+        1: ("George", "king george i", 1.0), 3: ("George", "king george i", 1.0), 4: ("George V", "king george", 1.0), 5: ("Otto", "otto", 1.0), 6: ("Republic", "hellenic republic", round(near, 3)),
+        10: ("Otto", "otto", round(8 / 11, 3)), 11: ("George", "king george i", round(22 / 24, 3)),
+    }
+    assert identity.issuers_of(texts, issuers.filter("false"), "id", "text").count() == 0
+    assert {r.id for r in identity.issuers_of(texts.drop("year", "country_code"), issuers, "id", "text").collect()} == {1, 2, 3, 4, 5, 6, 7, 10, 11}
