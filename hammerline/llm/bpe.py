@@ -14,6 +14,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 from hammerline.llm.common import give_back
 
@@ -74,15 +75,34 @@ def ended(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> np.ndarray:
 
 
 class _Memo:
-    """Ids of words seen lately; it starts anew where it outgrows its limit."""
+    """Ids of words seen lately; it starts anew where it outgrows its limit. Words are found by their hashes, which
+    are kept in order, and compared: no table of all words is built for a slice."""
 
     def __init__(self) -> None:
         self.words, self.ids, self.starts, self.counts = pa.array([], pa.string()), *(np.zeros(0, k) for k in ("<u4", np.int32, np.int32))
-
-    def add(self, words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
-        if self.words.nbytes + self.ids.nbytes + 8 * len(self.words) > MEMO_BYTES:
+        self.hashes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The words' places, -1 for those not known, and their hashes."""
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.to_numpy(zero_copy_only=False)), np.uint64, len(words))
+        if not len(self.hashes):
+            return np.full(len(words), -1), hashes
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == hashes)
+        places = self.places[at[hit]]
+        same = pc.equal(words.take(pa.array(hit)), self.words.take(pa.array(places))).to_numpy(zero_copy_only=False)
+        found = np.full(len(words), -1)
+        found[hit[same]] = places[same]
+        return found, hashes
+
+    def add(self, words: pa.Array, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        if self.words.nbytes + self.ids.nbytes + 20 * len(self.words) > MEMO_BYTES:
             self.__init__()
         starts, counts = (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32), counts.astype(np.int32)
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.places = np.insert(self.places, at, (len(self.words) + order).astype(np.int32))
+        self.hashes = np.insert(self.hashes, at, hashes[order])
         self.words, self.ids = pa.concat_arrays([self.words, words]), np.concatenate([self.ids, ids])
         self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts])
 
@@ -151,16 +171,15 @@ class Encoder:
 
     def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, a space before each, by way of the memo."""
-        at = pc.index_in(words, value_set=self.memo.words)
-        new = words.filter(at.is_null())
-        ids, counts = self._words(new)
-        at = at.fill_null(-1).to_numpy(zero_copy_only=False)
+        at, hashes = self.memo.find(words)
         n, old = np.empty(len(words), np.int64), at >= 0
+        new = words.filter(pa.array(~old))
+        ids, counts = self._words(new)
         n[old], n[~old] = self.memo.counts[at[old]], counts
         starts = np.empty(len(words), np.int64)
         starts[old], starts[~old] = self.memo.starts[at[old]], len(self.memo.ids) + np.cumsum(counts) - counts
         found = gather(np.concatenate([self.memo.ids, ids]), starts, n)
-        self.memo.add(new, ids, counts)
+        self.memo.add(new, hashes[~old], ids, counts)
         return found, n
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -150,3 +150,21 @@ def test_plan_places_every_piece_once():
                 at += n
             assert at <= capacity
             assert sum(3 * n > capacity for _, n in parts) <= 2
+
+
+def test_known_words_are_found_by_hashes_and_compared(reference, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["river", "Stone,", "éa", "x9", "light."]) + rng.choice(["", "s", "!"]) for _ in range(200)) for _ in range(6)]
+    want = [reference(t) for t in texts]
+
+    def built(*_, **__):
+        raise AssertionError("a table of all words known is built anew")
+
+    monkeypatch.setattr(bpe.pc, "index_in", built)
+    digest = bpe.xxhash.xxh64_intdigest
+    for hashed in (digest, lambda w: 7, lambda w: digest(w) % 3):  # words of one hash are told apart
+        monkeypatch.setattr(bpe.xxhash, "xxh64_intdigest", hashed)
+        encoder = bpe.Encoder(bpe.default_vocabulary())
+        for t, ids in zip(texts, want):
+            assert encoder.encode(pa.array([t]))[0].tolist() == ids
+    assert len(encoder.memo.words)
