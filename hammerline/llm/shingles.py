@@ -1,6 +1,7 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, found without loss by prefix filtering.
+"""Near-duplicates by SimHash fingerprints, and by exact Jaccard similarity of word shingles without loss.
 
-Put the distinct shingles of every text in one common order. Two texts of similarity 0.8 or more then share
+Texts are linked where their fingerprints (see simhash) differ in two bits or fewer. Few edited copies come so
+near, so texts of similarity 0.8 or more are linked too, found by prefix filtering. Put the distinct shingles of every text in one common order. Two texts of similarity 0.8 or more then share
 a shingle among the first n - ceil(0.8 n) + 1 of each, n being their number, so texts that meet on none of
 these needn't be compared, and every pair that does is verified. Any common order is right; this one puts the
 shingles of fewest texts first. Those of one text alone meet none, so most texts have few left to be met on.
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hammerline.llm import packed, substring
+from hammerline.llm import packed, simhash, substring
 from hammerline.llm.common import discard, released, rows_of, stored, stored_in_few
 from hammerline.llm.components import connected_components
 
@@ -29,7 +30,7 @@ SEED = 42
 LEAST = (4, 5)
 #: About so many shingles a slice.
 SLICE_SHINGLES = 2_000_000
-MARKS = "id long, x long, src long, at int, c long, n int, bits array<long>, places array<int>, tokens array<long>"
+MARKS = "id long, x long, src long, at int, c long, fp long, n int, bits array<long>, places array<int>, tokens array<long>"
 #: Bits of a text's sketch, in longs: a bit is 1 if an odd number of its shingles fall on it.
 SKETCH_LONGS = 8
 #: Rounds in which each class is compared with one other at most, before what is left is compared by pairs.
@@ -121,7 +122,7 @@ def _prefix(hashes: np.ndarray, slots: np.ndarray, numbers: np.ndarray) -> tuple
 
 def _marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The stored sources of docs (id, text), and a row for each of their texts: id, x (hash of the text as it
-    is), src and at (where it lies), c (its class), n (its number of shingles), bits (its sketch), and the
+    is), src and at (where it lies), c (its class), fp (its fingerprint), n (its number of shingles), bits (its sketch), and the
     places and tokens of its prefix that other texts have too."""
     sources = substring.to_sources(docs.select("id", F.xxhash64("text").alias("x"), "text"), "text")
     n_bytes = sources.agg(F.sum("n_bytes")).first()[0] or 0
@@ -136,20 +137,23 @@ def _marks(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for src, texts in _texts(batches):
             slots, numbers = _counts(counts, src)
-            classes, sizes, sketches, places, tokens = [], [], [], [], []
+            classes, sizes, sketches, places, tokens, prints = [], [], [], [], [], {}
             for text in texts.field(2):
-                words = words_of(text.as_py())
+                text = text.as_py()
+                words = words_of(text)
                 hashes = shingle_hashes(words)
                 where, found = _prefix(hashes, slots, numbers)
                 classes.append(text_class(words))
+                if classes[-1] not in prints:  # copies have the same
+                    prints[classes[-1]] = simhash.simhash64(text)
                 sizes.append(len(hashes))
                 sketches.append(sketch(hashes))
                 places.append(where)
                 tokens.append(found)
             n = len(texts)
             columns = [texts.field(0), texts.field(1), pa.array(np.full(n, src)), pa.array(np.arange(n, dtype=np.int32)), pa.array(classes, pa.int64())]
-            columns += [pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "x", "src", "at", "c", "n", "bits", "places", "tokens"])
+            columns += [pa.array(np.array([prints[c] for c in classes], np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "x", "src", "at", "c", "fp", "n", "bits", "places", "tokens"])
 
     return rows, stored(rows.mapInArrow(released(run), MARKS), "marks")
 
@@ -216,24 +220,24 @@ def _chosen(rows: DataFrame, turn: int) -> DataFrame:
 def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of docs (id, text): (id, x, c) of each row, and (c, component, least: the class's least id and x).
 
-    Texts of the same words form one class first, so copies cost a row. In each round a class is compared
-    with one other at most that it may be alike to and that isn't in its component yet. So a group of many
+    Texts of the same words form one class first, so copies cost a row. Fingerprints then link classes, and only
+    what they leave apart is compared by shingles. In each round of that a class is compared with one other at most that it may be alike to and that isn't in its component yet. So a group of many
     near copies is linked by a few times as many comparisons as it has members. What shares a shingle and
     lies in different components then is compared by pairs, so no link between components is lost."""
     sources, marks = _marks(docs)
-    first = F.min_by(F.struct("n", "bits", "places", "tokens"), F.struct("src", "at")).alias("first")
+    first = F.min_by(F.struct("fp", "n", "bits", "places", "tokens"), F.struct("src", "at")).alias("first")
     classes = marks.groupBy("c").agg(F.min(F.struct("id", "x")).alias("least"), F.min(F.struct("src", "at")).alias("where"), first)
     classes = stored(classes.select("c", "least", "where", "first.*"), "classes")
     # Texts without shingles have the same words, none, and are one class.
     bits = F.struct(*[F.col("bits")[k].alias(f"b{k}") for k in range(SKETCH_LONGS)]).alias("bits")
     tokens = classes.select("c", "n", bits, F.explode(F.arrays_zip("places", "tokens")).alias("t"))
     tokens = tokens.select("c", "n", "bits", F.col("t.places").alias("at"), F.col("t.tokens").alias("token"))
-    links, parts = None, classes.limit(0).select(F.col("c").alias("node"), F.col("c").alias("component"))
-    met = _open(tokens, parts)
+    links = stored(simhash.class_links(classes.select("c", "fp")), "near")
+    met = _open(tokens, connected_components(links, links.count()))
     for turn in range(ROUNDS):
         rows = met.count()
         found = _alike(_chosen(met, turn), sources, classes, rows)
-        links = found if links is None else links.union(found)
+        links = links.union(found)
         parts, before = connected_components(links, links.count()), met
         met = _open(met, parts, rows)
         discard(before)
@@ -254,8 +258,8 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, component_id), a row for each row with an id: the least id reachable over texts of similarity
-    0.8 or more. Texts without words (null, empty) are alike. Repeated ids keep their rows, each in the
+    """(id_col, component_id), a row for each row with an id: the least id reachable over fingerprints of two
+    or fewer differing bits and texts of similarity 0.8 or more. Texts without words (null, empty) are alike. Repeated ids keep their rows, each in the
     component of its own text."""
     marks, named = _groups(_rows(docs, id_col, text_col))
     ids = named.groupBy("component").agg(F.min("least.id").alias("component_id"))

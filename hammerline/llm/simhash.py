@@ -100,6 +100,16 @@ def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return met.distinct().filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
 
 
+def class_links(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """prints (c distinct, fp; stored) to links (u, v) between the c that connect exactly what fingerprints of
+    `radius` or fewer differing bits connect. Those of one fingerprint are linked to the least."""
+    least = stored(prints.groupBy("fp").agg(F.min("c").alias("least")), "prints")
+    same = prints.join(least, "fp").filter("least <> c").select(F.col("least").alias("u"), F.col("c").alias("v"))
+    balls = stored(ball_links(least.select("fp"), radius), "balls")
+    u, v = (least.select(F.col("fp").alias(n), F.col("least").alias(f"{n}c")) for n in "uv")
+    return same.union(balls.join(u, "u").join(v, "v").select(F.col("uc").alias("u"), F.col("vc").alias("v")))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = 2
 ) -> DataFrame:
