@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-from hammerline.llm.common import give_back
+from hammerline.llm.common import give_back, kept
 
 #: A byte-level tokenizer file whose ids of a text follow from those of its words (fixed values).
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
@@ -248,12 +248,6 @@ class Encoder:
         return np.concatenate(parts), np.array([sum(map(len, parts))])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(vocabulary: str) -> Encoder:
     """One encoder a worker process, for the vocabulary asked for last."""
-    if vocabulary not in _encoders:
-        _encoders.clear()
-        _encoders[vocabulary] = Encoder(vocabulary)
-    return _encoders[vocabulary]
+    return kept(f"encoder {vocabulary}", lambda: Encoder(vocabulary))

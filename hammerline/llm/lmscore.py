@@ -64,7 +64,7 @@ def _encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str) -> Da
         if keys:
             yield close()
 
-    return stored(rows.mapInArrow(released(run), f"src long, keys array<{kind}>, sizes array<int>, ids binary"), "encoded", **packed.SHORT_GROUPS)
+    return stored(rows.mapInArrow(released(run, keeps=True), f"src long, keys array<{kind}>, sizes array<int>, ids binary"), "encoded", **packed.SHORT_GROUPS)
 
 
 class _Source:

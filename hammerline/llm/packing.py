@@ -151,7 +151,7 @@ def pieces(
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(released(run), PIECES)
+    return rows.mapInArrow(released(run, keeps=True), PIECES)
 
 
 def place(found: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -179,7 +179,7 @@ def place(found: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *places], [*kept, "sequence_id", "offset"])
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema if f.name in kept)
-    return ranked.select(*kept, "rank").mapInArrow(run, f"{kind}, sequence_id long, offset long")
+    return ranked.select(*kept, "rank").mapInArrow(released(run), f"{kind}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -203,7 +203,7 @@ def write_tokens(
             row = out.close()
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([(k, pa.int64()) for k in row]))
 
-    made = stored(rows.select("id", "t").mapInArrow(released(run), MANIFEST), "shards")
+    made = stored(rows.select("id", "t").mapInArrow(released(run, keeps=True), MANIFEST), "shards")
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     made.withColumn("base", before).coalesce(1).write.parquet(f"{folder}/manifest")
     return folder
