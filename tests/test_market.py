@@ -2,6 +2,7 @@ import datetime
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,25 @@ def test_bucketed_quantiles_are_those_of_one_window(spark):
     assert flat(stats.flag_outliers(df, ["target_id"], "price", "seq")) == flat(stats.flag_outliers(df, ["target_id"], "price"))
 
 
+def test_large_groups_lose_no_point_between_two_buckets(spark):
+    weights = [[0.23, 0.42, 0.19, 0.46], [0.47, 0.82, 0.99, 0.3], [0.56, 0.7, 0.82, 0.44], [0.81, 0.15, 0.46, 0.5], [0.94, 0.28, 0.4, 0.82]]
+    rows = [(k, n, n + 1.0, w) for k, group in enumerate(weights) for n, w in enumerate(group)]
+    df = spark.createDataFrame(rows, "target_id long, seq long, price double, w double").repartition(1)
+    for large in (0, stats.LARGE):
+        got = {r.target_id: r.q for r in stats.bucketed_quantiles(df, ["target_id"], "price", "w", "seq", {"q": 0.5}, large=large).collect()}
+        assert set(got) == set(range(len(weights)))
+        assert all(math.isclose(got[k], direct([1.0, 2.0, 3.0, 4.0], w, 0.5), rel_tol=1e-9) for k, w in enumerate(weights))
+
+
+def test_large_groups_are_cut_and_small_ones_not(spark):
+    rng = random.Random(9)
+    rows = [(key, k, rng.choice([5.0, rng.random() * 100]), rng.choice([0.2, 1.0])) for key, n in (("hot", 400), ("few", 3), (None, 5)) for k in range(n)]
+    df = spark.createDataFrame(rows, "target_id string, seq long, price double, w double")
+    points = {"p0": 0.0, "p25": 0.25, "p90": 0.9}
+    of = lambda found: {r.target_id: (r.p0, round(r.p25, 9), round(r.p90, 9)) for r in found.collect()}
+    assert of(stats.bucketed_quantiles(df, ["target_id"], "price", "w", "seq", points, large=100)) == of(stats.weighted_quantiles(df, ["target_id"], "price", "w", "seq", points))
+
+
 def test_outliers_and_dispersion(spark):
     flags = lambda prices: [r.outlier_flag for r in stats.flag_outliers(sample(spark, prices), ["target_id"], "price").orderBy("seq").collect()]
     assert flags([100, 105, 110, 115, 500]) == [None] * 4 + ["OUTLIER_HIGH"]
@@ -134,6 +154,14 @@ def test_specs_join_by_difference(spark):
     assert got == {k: near(w) for k, w in enumerate(wanted)}
 
 
+def test_specs_meet_what_targets_ask_once(spark):
+    specs = spark.range(300).selectExpr("id", "'AT' AS country", "1.0D AS denomination_value", "cast(null AS int) AS year_from", "cast(null AS int) AS year_to", "true AS verified", "0.5D AS confidence", "1.0D AS weight_g", "1.0D AS diameter_mm", "'x' AS primary_metal")
+    targets = spark.range(300).selectExpr("id AS target_id", "'at' AS country", "1.0D AS denomination", "2000 AS year")
+    found = joins.best_spec(targets, specs)
+    assert [(r.n, r.spec_id) for r in found.groupBy("spec_id").agg(F.count("*").alias("n")).collect()] == [(300, 0)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3  # of specs, of targets and of what met
+
+
 SALE = "target_id int, seq int, price_semantics string, hammer_price double, realized_price double, withdrawn boolean, unsold boolean, auction_date date, identity_match_score int, source string, source_url string, auction_house string, grade_weight double"
 
 
@@ -162,6 +190,32 @@ def test_backtest_values_each_sale_by_the_snapshot_of_its_day(spark):
         assert found.within == (None if want.fair_central is None else want.fair_low <= r[3] <= want.fair_high)
 
 
+@pytest.mark.parametrize("rows_a_batch", [7, 64, 10_000])
+def test_backtest_values_many_targets_in_one_call(monkeypatch, rows_a_batch):
+    rng, rows = random.Random(2), []
+    for target, n in enumerate([1, 2, 3, 5, 30, 31, 200, 1, 12] * 3):
+        sales = sorted((rng.choice([1.0, 2.0, 2.0, 9.0, 40.0, rng.random() * 10]), k) for k in range(n))
+        rows += [(target, k, price, rng.randrange(12), rng.choice([0.1, 1.0, 3.0]), rng.choice(["EXACT", "STRONG", "SUPPORTING"]), rng.choice(["a", "b", "c", None]), rng.random() < 0.8) for price, k in sales]
+    table = pa.Table.from_pylist([dict(zip(("target_id", "seq", "price", "day", "weight", "tier", "house", "counts"), r)) for r in rows])
+    found = {}
+    for small in (128, 0):
+        monkeypatch.setattr(backtest, "SMALL", small)
+        monkeypatch.setattr(backtest, "GATHERED", 50)
+        found[small] = [r for b in backtest._known_before(iter(table.to_batches(rows_a_batch))) for r in b.to_pylist()]
+    assert [(r["target_id"], r["seq"]) for r in found[128]] == [r[:2] for r in rows]
+    for a, b in zip(found[128], found[0], strict=True):
+        assert all(math.isclose(a[k], b[k], rel_tol=1e-9, abs_tol=1e-12) if isinstance(a[k], float) and b[k] is not None else a[k] == b[k] for k in a), (a, b)
+
+
+def test_upper_median_error_of_each_label(spark):
+    rng = random.Random(4)
+    rows = [(label, None if rng.random() < 0.1 else rng.choice([0.5, rng.random()]), rng.random() < 0.5) for label, n in (("HIGH", 301), ("LOW", 40), ("MEDIUM", 1)) for _ in range(n)] + [("NONE", None, None)]
+    got = {r.label: r for r in backtest.backtest_report(spark.createDataFrame(rows, "label string, pct_error double, within boolean")).collect()}
+    for label in ("HIGH", "LOW", "MEDIUM", "NONE", None):
+        errors = sorted(e for x, e, _ in rows if label in (x, None) and e is not None)
+        assert (got[label].cases, got[label].scored, got[label].median_error) == (sum(label in (r[0], None) for r in rows), len(errors), errors[len(errors) // 2] if errors else None)
+
+
 def test_order_by_price_against_direct_counting():
     rng = random.Random(1)
     for n in (1, 2, 3, 5, 8, 60):
