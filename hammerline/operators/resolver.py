@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hammerline.functions import catalogue as c
 from hammerline.functions import text as t
 from hammerline.operators import identity
+from hammerline.streaming.streams import shared_dir
 
 #: Currencies whose cents are a hundredth of the denomination (fixed values).
 CENT_CURRENCIES = ["EUR", "USD"]
@@ -53,9 +56,20 @@ def resolve_identity(texts: DataFrame, aliases: DataFrame, id_col: str, text_col
     country alone offers the currencies of the year. A candidate without a denomination yields to one of
     the same currency with one. resolved needs the accepted confidence, a gap to the second candidate and
     no word of other products; below the rejected confidence a text is unresolved; the rest is for review.
+
+    Each distinct text is resolved once. What is known of texts, the aliases they hold and their candidates are written
+    to the shared folder: a single plan of all steps, which reads these many times, is much for a small driver.
     """
-    facts = _facts(texts, id_col, text_col)
-    hits = _hits(facts, aliases)
+    spark = texts.sparkSession
+    folder = f"{shared_dir(spark)}/identities-{uuid.uuid4().hex}"
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    given = texts.select(F.col(id_col).alias("id_"), F.coalesce(text_col, F.lit("")).alias("text_"))
+    facts = written(_facts(given.select("text_").distinct(), "text_", "text_"), "facts")
+    hits = written(_hits(facts, aliases), "hits")
     named = hits.filter("kind = 'country'").groupBy("key", "country_code").agg(F.max("strength").alias("named"), F.max(F.length("alias")).alias("long"))
     full = F.col("named") >= 0.95
     longest = F.max(F.when(full, F.col("long"))).over(Window.partitionBy("key"))
@@ -74,14 +88,14 @@ def resolve_identity(texts: DataFrame, aliases: DataFrame, id_col: str, text_col
     scored = found.select("key", "country_code", "currency_code", F.when(F.col("special"), F.col("special_value")).otherwise(value).alias("value"), F.when(F.col("special"), by_name).otherwise(by_money).alias("raw"))
     alone = named.join(hits.filter("kind <> 'country'").select("key").distinct(), "key", "left_anti").join(money, "country_code").join(facts, "key").filter(_year_fit(0.0, 1.0) >= 0)
     by_place = 0.48 + 0.22 * F.col("named") + F.when(F.col("year").isNotNull(), 0.1).otherwise(0.0) + F.when(F.col("value").isNotNull(), 0.04).otherwise(0.0)
-    scored = scored.union(alone.select("key", "country_code", "currency_code", "value", by_place))
+    scored = written(scored.union(alone.select("key", "country_code", "currency_code", "value", by_place)), "scored")
     core = ["key", "country_code", "currency_code"]
     best = scored.groupBy(*core, "value").agg(F.bround(F.greatest(F.lit(0.0), F.least(F.max("raw"), F.lit(1.0))), 4).alias("confidence"))
     best = best.withColumn("n", F.count("value").over(Window.partitionBy(*core))).filter("value IS NOT NULL OR n = 0")
     order = Window.partitionBy("key").orderBy(F.desc("confidence"), "country_code", "currency_code", "value")
     best = best.withColumn("rn", F.row_number().over(order)).withColumn("next", F.lead("confidence").over(order)).filter("rn = 1")
-    rows = facts.select("key", "year", "negative").join(best, "key", "left")
+    rows = given.join(facts.select("key", "year", "negative").join(best, "key", "left"), F.col("text_") == F.col("key"))
     sure = F.coalesce("confidence", F.lit(0.0))
     close = F.coalesce(F.col("confidence") - F.col("next") < gap, F.lit(False))
     status = F.when(F.col("negative") & F.col("confidence").isNotNull(), "review").when(sure < reject, "unresolved").when(close | (sure < accept), "review").otherwise("resolved")
-    return rows.select(F.col("key").alias(id_col), status.alias("status"), F.col("country_code").alias("country"), F.col("currency_code").alias("currency"), "value", "year", sure.alias("confidence"))
+    return rows.select(F.col("id_").alias(id_col), status.alias("status"), F.col("country_code").alias("country"), F.col("currency_code").alias("currency"), "value", "year", sure.alias("confidence"))

@@ -74,6 +74,14 @@ def test_resolver_on_empty_and_odd_texts(spark):
     assert resolver.resolve_identity(texts.limit(0), aliases, "id", "text").count() == 0
 
 
+def test_resolver_takes_each_distinct_text_once_and_in_steps(spark):
+    kinds = "kind string, alias string, country_code string, currency_code string, valid_from int, valid_to int, special_value double"
+    texts = spark.range(40).selectExpr("id", "element_at(array('5 mark Germany 1970', '5 mark Germny 1970', null), cast(id % 3 + 1 AS int)) AS text")
+    found = resolver.resolve_identity(texts, spark.createDataFrame(identities.ALIASES, kinds), "id", "text")
+    assert {(r.id, r.currency) for r in found.collect()} == {(k, "DEM" if k % 3 < 2 else None) for k in range(40)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
+
+
 def test_title_score_against_plain_python(spark):
     row = (1, 1, "5 Mark 1970 Austria coin UNC", 5.0, "mark", 1970, "Austria", "MINT")
     rows = spark.createDataFrame([row, (1, 2, " ", *row[3:])], "target_id int, seq int, title string, t_value double, t_unit string, t_year int, t_country string, t_grade string")
